@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, simhash, warc
+from . import line_crf, packing, quality_rules, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,11 +28,16 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op6_simhash": op6_simhash,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
+    "op10_line_crf": op10_line_crf,
 }
 
 #: None of the eleven results can be written in SQL: each has a model, a search, a hash or a tokenizer in it.
