@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_crf, packing, quality_rules, simhash, warc
+from . import line_crf, ngram_model, packing, quality_rules, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +32,13 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_model.score_corpus(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_kneser_ney": op4_kneser_ney,
     "op6_simhash": op6_simhash,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
