@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_crf, ngram_model, packing, quality_rules, simhash, warc
+from . import language_id, line_crf, ngram_model, packing, pieces, quality_rules, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +36,20 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_model.score_corpus(_table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_kneser_ney": op4_kneser_ney,
+    "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
+    "op7_pieces": op7_pieces,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_line_crf": op10_line_crf,
