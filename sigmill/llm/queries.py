@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_crf, ngram_model, packing, pieces, quality_rules, simhash, warc
+from . import language_id, line_crf, ngram_model, packing, pieces, posting_lists, quality_rules, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,8 +44,13 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(_table(spark, sf_dir, "documents"))
 
 
+def op2_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_lists.search(_table(spark, sf_dir, "embeddings"), F.col("query_id") % 50 == 0, k=5)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_posting_lists": op2_posting_lists,
     "op4_kneser_ney": op4_kneser_ney,
     "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
