@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_crf, ngram_model, packing, pieces, posting_lists, quality_rules, simhash, warc
+from . import language_id, line_crf, ngram_model, packing, pieces, posting_lists, quality_rules, simhash, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,9 +48,14 @@ def op2_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posting_lists.search(_table(spark, sf_dir, "embeddings"), F.col("query_id") % 50 == 0, k=5)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_posting_lists": op2_posting_lists,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_kneser_ney": op4_kneser_ney,
     "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
