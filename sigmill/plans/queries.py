@@ -162,10 +162,10 @@ def p7_rebalance_flag(spark, d):
     return days.select("date", cal.is_rebalance(F.col("date"), "M").alias("month_end"), cal.is_rebalance(F.col("date"), "W").alias("week_end"))
 
 
-@query(f"with {PRICES_SQL} select distinct date, last_day(date) as month_end, last_day(date) between date '1994-01-31' and date '1995-06-30' as inside from prices")
+@query(f"with {PRICES_SQL} select distinct date, last_day(date) as month_end, last_day(date) between date '1996-01-31' and date '1997-06-30' as inside from prices")
 def p8_month_range(spark, d):
     days = fx.prices(spark, d).select("date").distinct()
-    return days.select("date", cal.month_end(F.col("date")).alias("month_end"), cal.in_months(F.col("date"), F.lit("1994-01-31").cast("date"), F.lit("1995-06-30").cast("date")).alias("inside"))
+    return days.select("date", cal.month_end(F.col("date")).alias("month_end"), cal.in_months(F.col("date"), F.lit("1996-01-31").cast("date"), F.lit("1997-06-30").cast("date")).alias("inside"))
 
 
 @query(f"with {PRICES_SQL}, days as (select distinct date, isodow(date) as w from prices) select date, date + cast(case when w = 5 then 3 when w = 6 then 2 when w = 7 then 1 else 1 end as integer) as next_1, date + cast(case when w <= 2 then 3 when w <= 5 then 5 when w = 6 then 4 else 3 end as integer) as next_3 from days")
@@ -323,18 +323,18 @@ def a9_null_share(spark, d):
     return statistics.null_share_by_date(built(spark, d), _FS)
 
 
-@query(f"with {FACTORS_SQL} select country, round(avg(vol_60d), {DIGITS}) as mean from factors where date = date '1995-03-15' and vol_60d is not null and country is not null group by 1")
+@query(f"with {FACTORS_SQL} select country, round(avg(vol_60d), {DIGITS}) as mean from factors where date = date '1999-03-15' and vol_60d is not null and country is not null group by 1")
 def a10_mean_by_group(spark, d):
-    return statistics.mean_by_group(built(spark, d), "country", "vol_60d", "1995-03-15")
+    return statistics.mean_by_group(built(spark, d), "country", "vol_60d", "1999-03-15")
 
 
 _RANKED = ", ".join(f"rank() over (order by {f}) + (count(*) over (partition by {f}) - 1) / 2.0 as {f}" for f in _ZS)
 
 
-@query(f"""with {FACTORS_SQL}, x as (select * from factors where date = date '1995-03-15' and {" and ".join(f"{f} is not null" for f in _ZS)}), rk as (select {_RANKED} from x)
+@query(f"""with {FACTORS_SQL}, x as (select * from factors where date = date '1999-03-15' and {" and ".join(f"{f} is not null" for f in _ZS)}), rk as (select {_RANKED} from x)
 select a.f1, a.f2, round(a.c, {DIGITS}) + 0.0 as pearson, round(b.c, {DIGITS}) + 0.0 as spearman from ({_matrix_sql("x", _ZS)}) a join ({_matrix_sql("rk", _ZS)}) b on a.f1 = b.f1 and a.f2 = b.f2""")
 def a11_correlation_table(spark, d):
-    return statistics.correlation_table(built(spark, d), _ZS, "1995-03-15")
+    return statistics.correlation_table(built(spark, d), _ZS, "1999-03-15")
 
 
 @query(f"with {FACTORS_SQL}, l as (select min(vol_60d) as lo, max(vol_60d) as hi from factors) select cast(least(floor((vol_60d - lo) / (hi - lo) * 30) + 1, 30) as bigint) as bin, count(*) as n from factors, l where vol_60d is not null group by 1")
@@ -342,10 +342,10 @@ def a12_histogram(spark, d):
     return statistics.histogram(built(spark, d), "vol_60d", 30)
 
 
-@query(f"""with {FACTORS_SQL}, x as (select *, row_number() over (order by mom_6_1, ticker) as r, count(*) over () as n from factors where date = date '1995-03-15' and mom_6_1 is not null)
+@query(f"""with {FACTORS_SQL}, x as (select *, row_number() over (order by mom_6_1, ticker) as r, count(*) over () as n from factors where date = date '1999-03-15' and mom_6_1 is not null)
 select cast(greatest(1, ceil(5.0 * (r - 1) / (n - 1))) as bigint) as bucket, round(avg(ret_1d_eur), {DIGITS}) + 0.0 as mean, count(*) as n from x group by 1""")
 def a13_quantile_means(spark, d):
-    return statistics.quantile_means(built(spark, d), "mom_6_1", "ret_1d_eur", 5, "1995-03-15")
+    return statistics.quantile_means(built(spark, d), "mom_6_1", "ret_1d_eur", 5, "1999-03-15")
 
 
 _NEXT_DAY = "(date + cast(case when isodow(date) = 5 then 3 when isodow(date) = 6 then 2 else 1 end as integer))"
@@ -464,11 +464,16 @@ def _factor_query(name: str, *columns: str) -> None:
 
 for _name, _columns in {
     "w1_ret_1d": ("ret_1d_eur",), "w2_mom_12_1": ("mom_12_1",), "w3_mom_6_1": ("mom_6_1",), "w4_rev_5d": ("ret_5d", "rev_5d"), "w5_volatility": ("vol_60d", "vol_252d"),
-    "w6_size": ("turnover_eur", "adv_eur_20", "size_proxy"), "w7_hi52_prox": ("hi52_prox",), "w8_liquidity": ("liq_proxy",), "w9_zero_ret": ("zero_ret_20d",), "w10_max5": ("max5_21d",),
+    "w6_size": ("size_proxy",), "w7_hi52_prox": ("hi52_prox",), "w8_liquidity": ("liq_proxy",), "w9_zero_ret": ("zero_ret_20d",), "w10_max5": ("max5_21d",),
 }.items():
     _factor_query(_name, *_columns)
 
 
+@query(f"with {FACTORS_SQL} select {K}, round(turnover_eur, 4) as turnover_eur, round(adv_eur_20, 4) as adv_eur_20 from factors")
+def w6_turnover(spark, d):
+    return built(spark, d).select("date", "ticker", F.round("turnover_eur", 4).alias("turnover_eur"), F.round("adv_eur_20", 4).alias("adv_eur_20"))
+
+
 @query(f"with {FACTORS_SQL} select {K}, round(case when country is not null then mom_6_1 - median(mom_6_1) over (partition by date, country) end, {DIGITS}) + 0.0 as country_rel_mom_6_1, round(case when supersector is not null then mom_6_1 - median(mom_6_1) over (partition by date, supersector) end, {DIGITS}) + 0.0 as sector_rel_mom_6_1 from factors")
 def w11_relative_momentum(spark, d):
     return xs.add_groups(built(spark, d)).select("date", "ticker", "country_rel_mom_6_1", "sector_rel_mom_6_1")
@@ -554,9 +559,9 @@ def w22_rolling_weights(spark, d):
     return weights.rolling_ic_weights(_ic(spark, d))
 
 
-@query(f"with {_CURVE_SQL} select strategy, date, {r('equity')} from curve")
+@query(f"with {_CURVE_SQL} select strategy, date, round(ln(equity), 6) + 0.0 as log_equity from curve")
 def w23_equity_curve(spark, d):
-    return performance.equity_curve(_series(spark, d)).select("strategy", "date", "equity")
+    return performance.equity_curve(_series(spark, d)).select("strategy", "date", (F.round(F.ln("equity"), 6) + 0.0).alias("log_equity"))
 
 
 @query(f"with {_CURVE_SQL} select strategy, date, {r('drawdown')} from dd")
@@ -586,9 +591,10 @@ def w27_align_curves(spark, d):
 # regressions and scores
 
 
-@query(f"with {_EOM_SQL} select date, ticker, round(mom_6_1 - avg(mom_6_1) over (partition by date, coalesce(country, 'AFRICA')), 7) + 0.0 as resid from eom")
+@query(f"with {_EOM_SQL} select date, ticker, round(mom_6_1 - avg(mom_6_1) over (partition by date, coalesce(country, 'AFRICA')), 7) + 0.0 as resid from eom where date in (select date from eom group by 1 having count(mom_6_1) >= 2)")
 def n1_neutralize_one(spark, d):
     out = xs.neutralize(panel.month_end_rows(built(spark, d)), ["mom_6_1"], ["country"])
+    out = out.withColumn("_n", F.count("mom_6_1").over(Window.partitionBy("date"))).filter("_n >= 2")
     return out.select("date", "ticker", (F.round("mom_6_1_neu", 7) + 0.0).alias("resid"))
 
 
@@ -664,14 +670,14 @@ def c3_score_rolling(spark, d):
     return weights.score_rolling(_scored(spark, d), w, _ZN).select("date", "ticker", "score_icw_roll")
 
 
-@query(f"with {FACTORS_SQL} select {K}, {r('mom_6_1')} from factors where date = date '1995-03-15' order by mom_6_1 desc nulls last, ticker limit 20")
+@query(f"with {FACTORS_SQL} select {K}, {r('mom_6_1')} from factors where date = date '1999-03-15' order by mom_6_1 desc nulls last, ticker limit 20")
 def t1_top_n(spark, d):
-    return statistics.top_n(built(spark, d), "mom_6_1", 20, date="1995-03-15")
+    return statistics.top_n(built(spark, d), "mom_6_1", 20, date="1999-03-15")
 
 
-@query(f"with {FACTORS_SQL} select {K}, {r('mom_6_1')} from factors where date = date '1995-03-15' order by mom_6_1 nulls last, ticker limit 20")
+@query(f"with {FACTORS_SQL} select {K}, {r('mom_6_1')} from factors where date = date '1999-03-15' order by mom_6_1 nulls last, ticker limit 20")
 def t1_bottom_n(spark, d):
-    return statistics.top_n(built(spark, d), "mom_6_1", 20, ascending=True, date="1995-03-15")
+    return statistics.top_n(built(spark, d), "mom_6_1", 20, ascending=True, date="1999-03-15")
 
 
 @query(f"with {INDEX_SQL}, s as (select index_ticker as strategy, date, index_close / lag(index_close) over (partition by index_ticker order by date) - 1 as ret from index_prices), p as (select strategy, avg(ret) / stddev_samp(ret) * sqrt(252.0) as sharpe from s where ret is not null group by 1) select strategy, {r('sharpe')} from p")
