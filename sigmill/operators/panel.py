@@ -83,9 +83,10 @@ def effective_return(df: DataFrame, prefer: str = "excess_ret_1d_eur", fallback:
     """ret_effective: the preferred return, else the fallback, each clipped at quantiles of the whole table."""
     if not winsorize:
         return df.withColumn("ret_effective", F.coalesce(prefer, fallback))
-    return df.join(F.broadcast(global_limits(df, [prefer, fallback], low, high, approximate))).withColumn(
-        "ret_effective", F.coalesce(*(clip(F.col(c), F.col(f"_{c}")[0], F.col(f"_{c}")[1]) for c in (prefer, fallback)))
-    ).drop(f"_{prefer}", f"_{fallback}")
+    names = list(dict.fromkeys([prefer, fallback]))
+    clipped = [clip(F.col(c), F.col(f"_{c}")[0], F.col(f"_{c}")[1]) for c in names]
+    out = df.join(F.broadcast(global_limits(df, names, low, high, approximate))).withColumn("ret_effective", F.coalesce(*clipped))
+    return out.drop(*(f"_{c}" for c in names))
 
 
 def global_limits(df: DataFrame, columns: list[str], low: float, high: float, approximate: bool = False) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +13,7 @@ from ..operators import cross_section as xs
 from ..operators import factors as fac
 from ..operators import folds, market, panel, performance, portfolio, statistics, weights
 from ..sources import io
+from ..sources.stage import shared_folder
 from . import fixtures as fx
 from .fixtures import BARS_SQL, COUNTRY_SQL, FACTORS_SQL, INDEX_SQL, MARKET_SQL, PRICES_SQL, RET_SQL, frame, gate
 
@@ -96,8 +96,7 @@ def s10_narrow_doubles(spark, d):
 @query(f"with {PRICES_SQL} select {K}, {r('price_eur', 'volume')} from prices")
 def s3_export_round_trip(spark, d):
     """Exports the bars (S3, S9), finds the export again (S2, S7) and reads it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sigmill-")
-    folder = f"{shared.rstrip('/')}/exports-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/exports-{uuid.uuid4().hex}"
     io.write_artefacts({"factors_daily": fx.prices(spark, d)}, folder)
     return io.load_exports(spark, folder)["panel"].select("date", "ticker", "price_eur", "volume")
 
@@ -469,9 +468,9 @@ for _name, _columns in {
     _factor_query(_name, *_columns)
 
 
-@query(f"with {FACTORS_SQL} select {K}, round(turnover_eur, 4) as turnover_eur, round(adv_eur_20, 4) as adv_eur_20 from factors")
+@query(f"with {FACTORS_SQL} select {K}, round(ln(turnover_eur), 8) + 0.0 as log_turnover, round(ln(adv_eur_20), 8) + 0.0 as log_adv from factors")
 def w6_turnover(spark, d):
-    return built(spark, d).select("date", "ticker", F.round("turnover_eur", 4).alias("turnover_eur"), F.round("adv_eur_20", 4).alias("adv_eur_20"))
+    return built(spark, d).select("date", "ticker", F.ln("turnover_eur").alias("log_turnover"), F.ln("adv_eur_20").alias("log_adv"))
 
 
 @query(f"with {FACTORS_SQL} select {K}, round(case when country is not null then mom_6_1 - median(mom_6_1) over (partition by date, country) end, {DIGITS}) + 0.0 as country_rel_mom_6_1, round(case when supersector is not null then mom_6_1 - median(mom_6_1) over (partition by date, supersector) end, {DIGITS}) + 0.0 as sector_rel_mom_6_1 from factors")
