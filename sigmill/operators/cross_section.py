@@ -1,6 +1,7 @@
 """Per-date operators: scores, clipping, buckets and regressions on groups.
 
-Windows partition by (month, date), so one exchange on the month serves them and the grouped regressions."""
+Windows partition by date, or by date and a group, so one exchange on the date serves them; the grouped regressions
+need another one on the month."""
 
 from __future__ import annotations
 
@@ -57,8 +58,8 @@ def bucket(column: str) -> Column:
 
 
 def add_groups(df: DataFrame) -> DataFrame:
-    """Relative momentum and the size and liquidity buckets."""
-    return df.withColumns({
+    """Relative momentum and the size and liquidity buckets. Dealt by date once: windows on (date, group) keep that."""
+    return df.repartition("date").withColumns({
         "country_rel_mom_6_1": relative_to_group("mom_6_1", "country"),
         "sector_rel_mom_6_1": relative_to_group("mom_6_1", "supersector"),
         "size_bucket": bucket("size_proxy"),
