@@ -6,8 +6,8 @@ exact. Of paths with equal scores the one with the longer last piece wins.
 
 The search keeps scores for a window as long as the longest piece. Whenever the backpointers of all boundaries in the
 window lead through one boundary, the ids before it are committed and forgotten. No piece holds a word start inside, so
-each space behind a non-space is such a boundary: texts are split there, and the ids of short parts are kept in a
-bounded table.
+each space behind a non-space is such a boundary, and so is each full stop or comma that no piece joins to what stands
+before it: texts are split there, and the ids of short parts are kept in a bounded table.
 
 Text is not normalised: a space is the word-start mark, everything without a piece (line feeds, a literal word-start mark)
 becomes byte pieces, and decoding gives back the exact text.
@@ -33,6 +33,8 @@ from pyspark.sql import types as T
 from .textops import chunks
 
 MARK = "▁"
+CUTS = ".,"  # no piece of letters goes on with these
+_CUT = "\x1f"
 UNIT = 1 << 20
 
 
@@ -60,6 +62,10 @@ class Vocabulary:
             self.bytes[i] = bytes([b])
         if any(MARK in name.lstrip(MARK) for name in self.ids):
             raise ValueError("a piece with a word start inside would cross the parts of a text")
+        joined = {name[k : k + 2] for name in self.ids for k in range(len(name) - 1)}
+        self.crossed = sorted(p for p in joined if p[1] in CUTS)  # pieces that cross a cut hold one of these
+        if any("\n" in p for p in joined):
+            raise ValueError("a piece with a line feed inside would cross the parts of a text")
 
 
 @lru_cache(maxsize=2)
@@ -67,71 +73,96 @@ def vocabulary(path: str | None = None) -> Vocabulary:
     return Vocabulary(path)
 
 
+_WORST = -(1 << 60)
+
+
+def _push(v: Vocabulary, raw: str, text: str, score: list[int], back: list[int], piece: list[int], first: int, last: int) -> None:
+    """Extends the best paths by all pieces that begin at boundaries first to last - 1. text: raw with spaces as marks.
+
+    Boundaries come in rising order and an equal score does not replace one, so the longer last piece wins; only byte
+    pieces give way to a piece of the same score."""
+    ids, scores, starts, n = v.ids, v.scores, v.starts, len(text)
+    for begin in range(first, last):
+        s0 = score[begin]
+        s = s0 + v.byte_score * (1 if raw[begin] < "\x80" else len(raw[begin].encode()))
+        if s > score[begin + 1]:
+            score[begin + 1], back[begin + 1], piece[begin + 1] = s, begin, -1
+        for end in range(begin + 1, n + 1):
+            some = text[begin:end]
+            if some not in starts:
+                break
+            i = ids.get(some)
+            if i is not None:
+                s = s0 + scores[i]
+                if s > score[end] or (s == score[end] and piece[end] < 0):
+                    score[end], back[end], piece[end] = s, begin, i
+
+
+def _path(v: Vocabulary, raw: str, back: list[int], piece: list[int], boundary: int) -> list[int]:
+    out: list[int] = []
+    while boundary:
+        begin = back[boundary]
+        if piece[boundary] >= 0:
+            out.append(piece[boundary])
+        else:
+            out.extend(v.byte_ids[b] for b in reversed(raw[begin:boundary].encode()))
+        boundary = begin
+    return out[::-1]
+
+
+def _marked(raw: str) -> str:
+    return raw.replace(MARK, "\0").replace(" ", MARK)
+
+
 class StreamingViterbi:
-    """The best path through one text, given in any number of parts; ids come out as soon as they are certain."""
+    """The best path through one text, given in any number of parts; ids come out as soon as they are certain.
+
+    A boundary is extended once the text behind it is as long as the longest piece. Every later path then leads through
+    one of the boundaries of a window of that length."""
 
     def __init__(self, vocab: Vocabulary):
         self.v = vocab
-        self.keep = vocab.longest
-        self.done = 0  # boundary up to which ids are committed
-        self.text = ""  # characters behind it, spaces as marks
-        self.score = [0]  # of boundaries done, done + 1, ...; only the last `keep` are read
-        self.back: list[tuple[int, int]] = [(0, -1)]  # where the last piece begins, and its id (-1: byte pieces)
-        self.raw = ""
-
-    def _extend(self) -> None:
-        v, text, score, back = self.v, self.text, self.score, self.back
-        for end in range(len(score), len(text) + 1):
-            size = len(self.raw[end - 1].encode())
-            best, where, piece = score[end - 1] + size * v.byte_score, end - 1, -1
-            for begin in range(end - 1, max(-1, end - self.keep - 1), -1):
-                i = v.ids.get(text[begin:end])
-                if i is not None and (s := score[begin] + v.scores[i]) >= best:
-                    best, where, piece = s, begin, i
-            score.append(best)
-            back.append((where, piece))
-
-    def _path(self, boundary: int) -> list[int]:
-        out: list[int] = []
-        while boundary:
-            begin, piece = self.back[boundary]
-            if piece >= 0:
-                out.append(piece)
-            else:
-                out.extend(self.v.byte_ids[b] for b in reversed(self.raw[begin:boundary].encode()))
-            boundary = begin
-        return out[::-1]
+        self.at = 0  # boundary that is extended next
+        self.raw, self.text = "", ""  # characters behind the last commit
+        self.score, self.back, self.piece = [0], [0], [-1]
+
+    def _grow(self, part: str) -> None:
+        self.raw += part
+        self.text += _marked(part)
+        self.score += [_WORST] * len(part)
+        self.back += [0] * len(part)
+        self.piece += [-1] * len(part)
 
     def feed(self, part: str) -> list[int]:
         """Takes more text; returns the ids that no later text can change."""
-        self.raw += part
-        self.text += part.replace(MARK, "\0").replace(" ", MARK)
-        self._extend()
-        n = len(self.text)
-        alive = set(range(max(0, n - self.keep), n + 1))
+        self._grow(part)
+        ready = max(self.at, len(self.text) - self.v.longest + 1)
+        _push(self.v, self.raw, self.text, self.score, self.back, self.piece, self.at, ready)
+        self.at = ready
+        alive = {k for k in range(ready, len(self.text) + 1) if self.score[k] > _WORST}
         while len(alive) > 1:
             last = max(alive)
             alive.discard(last)
-            alive.add(self.back[last][0])
+            alive.add(self.back[last])
         (common,) = alive
-        if not common:
-            return []
-        out = self._path(common)
-        self.raw, self.text = self.raw[common:], self.text[common:]
-        self.score = self.score[common:]
-        self.back = [(0, -1)] + [(max(b - common, 0), p) for b, p in self.back[common + 1 :]]
-        self.done += common
+        out = _path(self.v, self.raw, self.back, self.piece, common)
+        if common:
+            self.raw, self.text, self.at = self.raw[common:], self.text[common:], self.at - common
+            self.score, self.piece = self.score[common:], [-1, *self.piece[common + 1 :]]
+            self.back = [0, *(max(k - common, 0) for k in self.back[common + 1 :])]
         return out
 
     def finish(self) -> list[int]:
-        return self._path(len(self.text))
+        _push(self.v, self.raw, self.text, self.score, self.back, self.piece, self.at, len(self.text))
+        self.at = len(self.text)
+        return _path(self.v, self.raw, self.back, self.piece, len(self.text))
 
 
 _parts = re.compile(r" *[^ ]+| +")
 
 
 class Encoder:
-    MOST = 400_000
+    MOST = 1_000_000
     SHORT = 48
     STEP = 256
 
@@ -150,54 +181,32 @@ class Encoder:
 
     def _short(self, raw: str) -> bytes:
         """The same search over a part that fits into one window, without commits."""
-        v = self.v
-        text = raw.replace(MARK, "\0").replace(" ", MARK)
-        n = len(text)
-        worst = -(1 << 60)
-        score, back, piece = [0] + [worst] * n, [0] * (n + 1), [-1] * (n + 1)
-        ids, scores, starts = v.ids, v.scores, v.starts
-        for begin in range(n):
-            s0 = score[begin]
-            s = s0 + v.byte_score * (1 if raw[begin] < "\x80" else len(raw[begin].encode()))
-            if s > score[begin + 1]:
-                score[begin + 1], back[begin + 1], piece[begin + 1] = s, begin, -1
-            for end in range(begin + 1, n + 1):
-                some = text[begin:end]
-                if some not in starts:
-                    break
-                i = ids.get(some)
-                if i is not None:
-                    s = s0 + scores[i]
-                    # begins come in rising order: an equal score keeps the earlier begin, so the longer last piece,
-                    # but a piece wins over byte pieces of the same character
-                    if s > score[end] or (s == score[end] and piece[end] < 0):
-                        score[end], back[end], piece[end] = s, begin, i
-        out: list[int] = []
-        while n:
-            begin = back[n]
-            if piece[n] >= 0:
-                out.append(piece[n])
-            else:
-                out.extend(v.byte_ids[b] for b in reversed(raw[begin:n].encode()))
-            n = begin
-        return np.array(out[::-1], "<u4").tobytes()
+        n = len(raw)
+        score, back, piece = [0] + [_WORST] * n, [0] * (n + 1), [-1] * (n + 1)
+        _push(self.v, raw, _marked(raw), score, back, piece, 0, n)
+        return np.array(_path(self.v, raw, back, piece, n), "<u4").tobytes()
+
+    def parts(self, text: str) -> list[str]:
+        """The text cut at boundaries that no piece crosses."""
+        if _CUT in text or "  " in text or text[:1] == " " or text[-1:] == " ":
+            return _parts.findall(text)
+        marked = text.replace(" ", _CUT + " ")
+        if not any(p in text for p in self.v.crossed):
+            for c in CUTS:
+                marked = marked.replace(c, _CUT + c)
+            marked = marked.replace("\n", _CUT + "\n" + _CUT)
+        return marked.split(_CUT)
 
     def __call__(self, text: str) -> bytes:
-        if "  " in text or text[:1] == " " or text[-1:] == " ":
-            first, rest = "", _parts.findall(text)
-        else:
-            first, *rest = text.split(" ")
-            rest = [" " + p for p in rest]
-        known = self.known
+        parts, known = self.parts(text), self.known
         if len(known) > self.MOST:
             known.clear()
-        head = self.part(first) if first else b""
         try:
-            return head + b"".join([known[p] for p in rest])
+            return b"".join([known[p] for p in parts])
         except KeyError:
             pass
-        out = [head]
-        for p in rest:
+        out = []
+        for p in parts:
             ids = known.get(p)
             if ids is None:
                 ids = self.part(p)

@@ -254,6 +254,36 @@ def test_pieces_round_trip_and_stream(docs, data, empty):
     assert pieces.digests(empty).count() == 0
 
 
+def _best_path(v, raw):
+    """Plain dynamic programming over all pieces that end at each character."""
+    text = raw.replace("▁", "\0").replace(" ", "▁")
+    score, back = [0], [None]
+    for end in range(1, len(text) + 1):
+        found = [(score[end - 1] + v.byte_score * len(raw[end - 1].encode()), end - 1, None)]
+        for begin in range(max(0, end - v.longest), end):
+            i = v.ids.get(text[begin:end])
+            if i is not None:
+                found.append((score[begin] + v.scores[i], begin, i))
+        best = max(x[0] for x in found)
+        ties = [x for x in found if x[0] == best]
+        ties = [x for x in ties if x[2] is not None] or ties
+        score.append(best)
+        back.append(min(ties, key=lambda x: x[1])[1:])
+    out, end = [], len(text)
+    while end:
+        begin, i = back[end]
+        out += [i] if i is not None else [v.byte_ids[b] for b in reversed(raw[begin:end].encode())]
+        end = begin
+    return out[::-1]
+
+
+def test_pieces_are_the_best_path(data):
+    e = pieces.Encoder()
+    odd = ["wait... and, so,on.", "a.b ,c ..d", "x\n\ny.\n", "3.14, 2,718", "end.", ",", "It's U.S.A. !?.,", "\x1f a.b", "Thé.\nCafé, ñ. ▁."]
+    for t in [t for _, t, *_ in data if t] + odd:
+        assert np.frombuffer(e(t[:2000]), "<u4").tolist() == _best_path(e.v, t[:2000]), t[:80]
+
+
 def test_packing_covers_every_id_once(docs, data, empty):
     from tokenizers import Tokenizer
 
