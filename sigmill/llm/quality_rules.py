@@ -180,6 +180,7 @@ CUTOFF = 37.0
 def judge(docs: DataFrame, cutoff: float = CUTOFF, steps: int = 4, share: float = 0.75, min_group: int = 50) -> DataFrame:
     """doc_id, the counts, base_failed, kept, and the robust distance d2 (null where no group is large enough)."""
     base = counts(docs).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
+    base = materialize(base, "quality-counts")  # one pass over the texts
     seen = mcd_distances(base, steps, share, min_group)
     d2 = F.when(F.col("g_n") >= min_group, F.col("d2"))
     return seen.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & ~F.coalesce(d2 > cutoff, F.lit(False))).alias("kept"), d2.alias("d2"))
