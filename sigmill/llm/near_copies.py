@@ -1,14 +1,17 @@
-"""Near copies by SimHash: one document of each group stays.
+"""Near copies by an exact similarity join: one document of each group stays.
 
 Documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8 are near copies. Documents with
-equal shingle sets form a class, and only its smallest doc_id is compared. Fingerprints of classes meet in shards of
-several tables, each keyed by a random choice of bits; as many bits as keep a shard small at any number of classes. Sets whose sizes alone rule the similarity out are no pair.
-In a shard a BK-tree finds the fingerprints within the radius. Of the links of a shard those of a spanning forest are
-reported, built over rising distances, so that whatever is connected at one of the distances in LEVELS stays connected
-at it by reported links. Each reported pair is then checked by its exact shingle sets, and groups are the components of
-the pairs that pass.
+equal shingle sets form a class, and only its smallest doc_id is compared. Two sets that are similar enough share a
+shingle among the first fifth of each, whatever order all sets are sorted in (prefix filter), so classes that share such
+a shingle meet in its shard and no pair is lost at any size of the corpus. The order is that of the hashes, with the
+shingles that many prefixes hold behind all others, so that shards stay small where the texts allow it.
 
-Recall comes from the radius and the number of tables (measured in tests); precision is exact.
+Small shards report all pairs that the sizes and the places of the shared shingle allow. A larger one first pairs its
+members with one of them; later rounds pair members that no chain of verified pairs connects yet, a few partners each,
+then more, and at last all. Every reported pair is checked by its exact shingle sets before it may connect anything, so a
+false candidate suppresses no true one. Groups are the components of the pairs that pass.
+
+Recall and precision are exact.
 
 Edge cases: null or wordless texts are copies of each other; a text of fewer words than a shingle is one shingle; rows
 with a null doc_id stay; rows that repeat a doc_id stay or go together; an empty table gives an empty result; all
@@ -22,18 +25,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
 from .shared import materialize, shuffle_partitions
-from .simhash import LEAF, SEED, BKTree, shingle_bounds
+from .simhash import SEED, shingle_bounds
 from .textops import U64, chunks, mix, texts_of
 
 SIZE = 5
 SIMILARITY = 0.8
-LEVELS = (3, 6, 10, 15)  # the last is the radius
-TABLES = 64
+HOT = 64  # prefixes that hold a shingle before it goes behind the others
+MOST_HOT = 100_000  # travels with the tasks; where more are hot, the hottest
+SMALL = 16
+BLOCK = 1024  # rows of a larger shard that meet each other block in one task
+QUOTAS = (8, 64, None)  # partners of a member in the later rounds
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,116 +54,152 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nd
     return h[fresh], np.bincount(row[fresh], minlength=len(offsets) - 1)
 
 
-def fingerprints(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, fp (majority bits over the different shingles), n (how many there are), digest (of their set)."""
+def prefix_lengths(many: np.ndarray, similarity: float) -> np.ndarray:
+    """How many of a set's first elements a similar set must share one of."""
+    return np.where(many > 0, many - np.ceil(similarity * many - 1e-9).astype(np.int64) + 1, 0)
+
+
+def prefixes(docs: DataFrame, size: int, similarity: float, hot: np.ndarray | None = None) -> DataFrame:
+    """doc_id, n (how many different shingles), d0 and d1 (digests of their set), keys (the first of them)."""
+    hot = np.zeros(0, U64) if hot is None else hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             h, many = shingle_sets(*texts_of(b.column("text")), size)
-            n = b.num_rows
-            fp, digest = np.zeros(n, U64), np.zeros(n, U64)
+            many = many.astype(np.int64)
+            begin = np.cumsum(many) - many
             full = np.flatnonzero(many)
-            starts = (np.cumsum(many) - many)[full]
+            digests = np.zeros((2, len(many)), U64)
             if len(full):
-                digest[full] = np.add.reduceat(mix(h), starts)
-            for a in range(0, len(full), 512):
-                part = full[a : a + 512]
-                lo, hi = starts[a], starts[a + len(part) - 1] + many[part[-1]]
-                bits = np.unpackbits(h[lo:hi].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                ones = np.add.reduceat(bits, starts[a : a + len(part)] - lo, axis=0, dtype=np.int32)
-                fp[part] = np.packbits(ones * 2 > many[part][:, None], axis=1, bitorder="little").view(U64).ravel()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(many.astype(np.int64)), pa.array(digest.view(np.int64))], names=["doc_id", "fp", "n", "digest"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, n long, digest long")
-
-
-def _masks(count: int, bits: int) -> list[int]:
-    rng = np.random.RandomState(11)
-    return [sum(1 << int(k) for k in rng.choice(64, bits, replace=False)) for _ in range(count)]
-
-
-def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets of these sizes can be similar enough."""
-    return np.minimum(a, b) >= similarity * np.maximum(a, b)
-
-
-def forest(words: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links within the radius between sets of like size, nearer levels first."""
-    root = np.arange(len(words))
-    edges: list[tuple[int, int]] = []
-    tree = BKTree(words)
-    for level in LEVELS:
-        for a, b in tree.within(level):
-            some = (root[a] != root[b]) & _alike(sizes[a], sizes[b], similarity)
-            a, b = a[some], b[some]
-            while len(a):
-                # one edge for each pair of parts that are still apart
-                lo, hi = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
-                _, first = np.unique(lo * len(words) + hi, return_index=True)
-                for i in first.tolist():
-                    x, y = a[i], b[i]
-                    while root[x] != x:
-                        x = root[x]
-                    while root[y] != y:
-                        y = root[y]
-                    if x != y:
-                        root[max(x, y)] = min(x, y)
-                        edges.append((int(a[i]), int(b[i])))
-                while (deeper := root[root] != root).any():
-                    root[deeper] = root[root[deeper]]
-                apart = root[a] != root[b]
-                a, b = a[apart], b[apart]
-    return tuple(np.array(edges, np.int64).reshape(-1, 2).T)
-
-
-def candidates(classes: DataFrame, similarity: float = SIMILARITY, tables: int = TABLES) -> DataFrame:
-    """a < b: pairs of class ids to check. classes: id, fp, n. Sets whose sizes differ too much are no pair."""
-    n = shuffle_partitions(classes.sparkSession)
-    bits = int(np.clip(np.ceil(np.log2(max(classes.count(), 2))), 10, 34))
-    signed = [m - (1 << 64) if m >> 63 else m for m in _masks(tables, bits)]
-    dealt = classes.select("id", "fp", F.col("n").cast("int").alias("n"), F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(signed)))).alias("s"))
-    dealt = dealt.select("s.t", "s.key", "fp", "id", "n").repartition(n, "t", "key").sortWithinPartitions("t", "key", "id")
-
-    def links(rows: np.ndarray) -> pa.RecordBatch:
-        begin = np.flatnonzero(np.any(np.diff(rows[:, :2], axis=0, prepend=rows[:1, :2] - 1), axis=1))
-        sizes = np.diff(begin, append=len(rows))
-        words, ids, n = np.ascontiguousarray(rows[:, 2]).view(U64), rows[:, 3], rows[:, 4]
-        out = [np.zeros((0, 2), np.int64)]
-        # shards of two, the most common ones with a link, all at once
-        i = begin[sizes == 2]
-        i = i[(np.bitwise_count(words[i] ^ words[i + 1]) <= LEVELS[-1]) & _alike(n[i], n[i + 1], similarity)]
-        out.append(np.stack([ids[i], ids[i + 1]], axis=1))
-        for at, m in zip(begin[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            w = words[at : at + m]
-            if m <= LEAF:
-                near = np.bitwise_count(w[:, None] ^ w[None, :]) <= LEVELS[-1]
-                if near.sum() == m:
-                    continue
-            a, b = forest(w, n[at : at + m], similarity)
-            out.append(np.stack([ids[at + a], ids[at + b]], axis=1))
-        pairs = np.concatenate(out)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
+                for k in (0, 1):
+                    digests[k, full] = np.add.reduceat(mix(h + U64(k)), begin[full])
+            row = np.repeat(np.arange(len(many)), many)
+            if len(hot):
+                h = h[np.lexsort((h, np.isin(h, hot), row))]
+            first = prefix_lengths(many, similarity)
+            keys = h[np.arange(len(h)) - begin[row] < first[row]]
+            ends = np.concatenate([[0], np.cumsum(first)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(many), *(pa.array(d.view(np.int64)) for d in digests), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)))],
+                names=["doc_id", "n", "d0", "d1", "keys"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d0 long, d1 long, keys array<long>")
+
+
+def _rows(classes: DataFrame) -> DataFrame:
+    return classes.filter("n > 0").select("id", "n", "d0", "d1", F.posexplode("keys").alias("pos", "key"))
+
+
+def demoted(classes: DataFrame, docs: DataFrame, size: int, similarity: float, rounds: int = 2) -> DataFrame:
+    """The classes with hot shingles behind all others. Only prefixes that hold one of them change."""
+    hot = np.zeros(0, np.int64)
+    same = ["id", "n", "d0", "d1"]
+    for _ in range(rounds):
+        counted = _rows(classes).groupBy("key").count().filter(F.col("count") > HOT).orderBy(F.desc("count"), "key").limit(MOST_HOT)
+        fresh = np.setdiff1d(np.array([r.key for r in counted.collect()], np.int64), hot)
+        if not len(fresh) or len(hot) + len(fresh) > MOST_HOT:
+            break
+        hot = np.concatenate([hot, fresh])
+        listed = classes.sparkSession.createDataFrame([(int(k),) for k in fresh], "key long")
+        touched = materialize(_rows(classes).join(F.broadcast(listed), "key").select(*same).distinct(), "hot-classes")
+        texts = docs.join(touched.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        again = prefixes(texts, size, similarity, np.sort(hot.view(U64))).withColumnRenamed("doc_id", "id").join(touched, same).dropDuplicates(same)
+        classes = materialize(classes.join(touched, same, "left_anti").unionByName(again), "print-classes")
+    return classes
+
+
+def _fits(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets whose first shared shingle lies at these places can share enough."""
+    most = F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos"))
+    return most >= similarity / (1 + similarity) * (F.col(f"{a}.n") + F.col(f"{b}.n")) - 1e-9
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(f"{a}.id", f"{b}.id").alias("a"), F.greatest(f"{a}.id", f"{b}.id").alias("b")]
+
+
+def shards(classes: DataFrame) -> DataFrame:
+    """x (id, n, pos), key, many (members), head (one of them): the prefix rows whose shingle several classes hold."""
+    x = _rows(classes).select("key", F.struct("id", "n", "pos").alias("x"))
+    several = x.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("x").alias("head")).filter("many > 1")
+    return x.join(several, "key")
+
+
+def first_pairs(live: DataFrame, similarity: float) -> DataFrame:
+    """a < b: all pairs of small shards, and those of one member with the others of larger ones."""
+    low = live.filter(F.col("many") <= SMALL)
+    both = low.select("key", "x").join(low.select("key", F.col("x").alias("y")), "key").filter("x.id < y.id").filter(_fits("x", "y", similarity))
+    star = live.filter(F.col("many") > SMALL).filter("x.id <> head.id").filter(_fits("x", "head", similarity))
+    return both.select(*_pair("x", "y")).union(star.select(*_pair("x", "head"))).distinct()
+
+
+def open_pairs(members: np.ndarray, similarity: float, quota: int | None) -> np.ndarray:
+    """Pairs of members (id, n, pos, root, block) of different roots, and of different blocks where there are two. Each
+    member gets its first partners in the order of the members."""
+    ids, n, pos, root, block = members.T
+    across = block.min() != block.max()
+    out = [np.zeros((0, 2), np.int64)]
+    for at in range(0, len(ids), 256):
+        i = slice(at, at + 256)
+        some = root[i, None] != root[None, :]
+        if across:
+            some &= block[i, None] != block[None, :]
+        some &= np.minimum((n - pos)[i, None], (n - pos)[None, :]) >= similarity / (1 + similarity) * (n[i, None] + n[None, :]) - 1e-9
+        if quota is not None:
+            some &= np.cumsum(some, axis=1) <= quota
+        x, y = np.nonzero(some)
+        out.append(np.unique(np.sort(np.stack([ids[i][x], ids[y]], axis=1), axis=1), axis=0))
+    return np.concatenate(out)
+
+
+def later_pairs(live: DataFrame, roots: DataFrame, similarity: float, quota: int | None) -> DataFrame:
+    """a < b: pairs of larger shards between members that verified pairs don't connect. Shards of several blocks are dealt
+    as pairs of blocks."""
+    large = live.filter(F.col("many") > SMALL).select("key", "many", "x.id", "x.n", "x.pos")
+    large = large.join(roots, large.id == roots.node, "left").select("key", "many", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
+    mixed = large.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    blocks = F.ceil(F.col("many") / BLOCK)
+    large = large.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), blocks))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = large.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.xxhash64("id", F.lit(1)).alias("rank"), "id", "n", F.col("pos").cast("long").alias("pos"), "root", "block")
+    dealt = dealt.repartition(shuffle_partitions(live.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1)
-            if held and np.any(held[-1][-1, :2] != rows[0, :2]):
-                yield links(np.concatenate(held))
-                held = []
-            ends = np.flatnonzero(np.any(rows[:, :2] != rows[-1, :2], axis=1))
-            upto = int(ends[-1]) + 1 if len(ends) else 0  # the last shard may go on
-            if upto:
-                yield links(np.concatenate([*held, rows[:upto]]))
-                held = []
-            held.append(rows[upto:])
-        if held:
-            yield links(np.concatenate(held))
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+        held = np.zeros((0, 9), np.int64)
+        done = False
+        while not done:
+            batch = next(batches, None)
+            done = batch is None
+            if not done:
+                held = np.concatenate([held, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1)])
+            ends = np.flatnonzero(np.any(np.diff(held[:, :3], axis=0) != 0, axis=1)) + 1
+            begins = [0, *ends.tolist()]
+            if done and len(held):
+                ends = np.append(ends, len(held))
+            for a, b in zip(begins, ends.tolist()):  # the last shard may go on
+                pairs = open_pairs(held[a:b, 4:], similarity, quota)
+                for k in range(0, len(pairs), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + 100_000, c]) for c in (0, 1)], names=["a", "b"])
+            held = held[ends[-1] if len(ends) else 0 :]
+
+    return dealt.mapInArrow(run, "a long, b long").filter("a < b").distinct()
+
+
+def similar_pairs(classes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """a < b: pairs of class ids that are similar enough, and connect all that are."""
+    live = materialize(shards(demoted(classes, docs, size, similarity)), "shared-shingles")
+    seen = materialize(first_pairs(live, similarity), "near-pairs")
+    good = materialize(verified(seen, docs, size, similarity), "verified-pairs")
+    if live.filter(F.col("many") > SMALL).isEmpty():
+        return good
+    for quota in QUOTAS:
+        fresh = materialize(later_pairs(live, connected(good), similarity, quota).join(seen, ["a", "b"], "left_anti"), "near-pairs")
+        if fresh.isEmpty():
+            break
+        good = good.union(materialize(verified(fresh, docs, size, similarity), "verified-pairs"))
+        seen = seen.union(fresh)
+    return good
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -187,18 +229,17 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) ->
     return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
-def groups(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, tables: int = TABLES) -> DataFrame:
+def groups(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, group_id (the smallest doc_id of its group) of each different doc_id that is not null."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    prints = materialize(fingerprints(docs, size), "shingle-prints")
-    classes = materialize(prints.groupBy("fp", "n", "digest").agg(F.min("doc_id").alias("id")), "print-classes")
-    pairs = materialize(candidates(classes.filter("n > 0").groupBy("id").agg(F.first("fp").alias("fp"), F.first("n").alias("n")), similarity, tables), "near-pairs")
-    roots = connected(verified(pairs, docs, size, similarity))
-    named = classes.join(roots, classes.id == roots.node, "left").select("fp", "n", "digest", F.coalesce("root", "id").alias("group_id"))
-    return prints.join(named, ["fp", "n", "digest"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+    prints = materialize(prefixes(docs, size, similarity), "shingle-prints")
+    classes = materialize(prints.groupBy("n", "d0", "d1").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "print-classes")
+    roots = connected(similar_pairs(classes, docs, size, similarity))
+    named = classes.join(roots, classes.id == roots.node, "left").select("n", "d0", "d1", F.coalesce("root", "id").alias("group_id"))
+    return prints.join(named, ["n", "d0", "d1"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
 
 
-def keep_one(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, tables: int = TABLES) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without those that are near copies of one with a smaller doc_id."""
-    gone = groups(docs, size, similarity, tables).filter("doc_id <> group_id").select(F.col("doc_id").alias("gone"))
+    gone = groups(docs, size, similarity).filter("doc_id <> group_id").select(F.col("doc_id").alias("gone"))
     return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")

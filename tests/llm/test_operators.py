@@ -432,3 +432,39 @@ def test_near_copies_keep_one(spark, empty):
     ids = [r.doc_id for r in kept.collect()]
     assert set(ids) == want and len(ids) == len(want) + 1
     assert near_copies.keep_one(empty).count() == 0
+
+
+def _near_groups(texts):
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    return H.groups(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+
+
+def test_near_copies_find_each_pair_near_the_threshold(spark):
+    rng = np.random.RandomState(10)
+    texts = []
+    for i in range(400):
+        t = [f"w{k}" for k in rng.randint(0, 10**6, 104)]
+        near = list(t)
+        for at in (20, 50)[: 1 + i % 2]:  # 100 shingles of which 5 or 10 differ: 0.905 or 0.818
+            near[at] = f"other{i}"
+        texts += [" ".join(t), " ".join(near)]
+    docs = H.frame(spark, [(i, t, None, None, None, 1, 0.0, 1, "k", 2) for i, t in enumerate(texts)]).repartition(3)
+    got = by_id(near_copies.groups(docs))
+    assert [got[i].group_id for i in range(len(texts))] == [i - i % 2 for i in range(len(texts))]
+
+
+def test_near_copies_in_a_dense_family_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 40, raising=False)  # shards of several blocks
+    rng = np.random.RandomState(11)
+    base = [f"w{k}" for k in range(104)]
+    texts = []
+    for i in range(150):  # templated pages: all alike, and near copies only now and then
+        t = list(base)
+        for at in rng.choice(104, rng.randint(1, 5), replace=False):
+            t[at] = f"v{rng.randint(0, 10**6)}"
+        texts.append(" ".join(t))
+    docs = H.frame(spark, [(i, t, None, None, None, 1, 0.0, 1, "k", 2) for i, t in enumerate(texts)]).repartition(3)
+    want = _near_groups(texts)
+    assert 1 < len(set(want)) < 140
+    got = by_id(near_copies.groups(docs))
+    assert [got[i].group_id for i in range(len(texts))] == want
