@@ -1,17 +1,16 @@
-"""Interpolated modified Kneser-Ney model of word pairs.
-
-Counting: each task combines its pairs over a few million tokens and sends them, packed in columns, to the shard of
-their first word; a shard sums them and writes its pairs as a sorted hash array with counts, its contexts with the
-number of followers seen once, twice and more often, and sends on how many different words each word followed. A second
-exchange by word gives continuation counts and word counts. Nothing whole passes the driver: it gets one short row of
-sums for each shard. Scoring: workers map the arrays of the shared folder into memory and look up each different pair of a slice once.
-
-The order is 2: on this kind of text the different triples alone take more room than the contract of four times the
-input (see README).
-
-Edge cases: null, empty or wordless text is the end token alone; repeated rows are counted and scored each; a null
-doc_id is not held out; with no training text all probabilities are uniform over one unknown word (score 0); an empty
-table gives an empty result; other columns are ignored.
+"""Interpolated modified Kneser-Ney model of word n-grams of any order from two.
+
+Counting: each task combines its n-grams of the highest order over a few million tokens and sends them, packed in
+columns, to the shard of their context; a shard sums them and writes them as a sorted hash array with counts, its
+contexts with the number of followers seen once, twice and more often, and sends on, to the shards of the order below,
+how many different words stood before each shorter n-gram. These continuation counts are the counts of the lower orders.
+A last exchange by word gives those of words and the word counts. Nothing whole passes the driver: it gets one short row
+of sums for each shard. Scoring: workers map the arrays of the shared folder into memory and look up each different
+n-gram of a slice once, at every order.
+
+Edge cases: null, empty or wordless text is the end token alone; words before a text's first are start tokens; repeated
+rows are counted and scored each; a null doc_id is not held out; with no training text all probabilities are uniform over
+one unknown word (score 0); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,17 +44,30 @@ def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(v * _PAIR + w)
 
 
-def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Previous token, token and row of each token: 56-bit hashes of the words of each row, then the end."""
+def gram_key(columns: list[np.ndarray]) -> np.ndarray:
+    """One key for the words of each n-gram; that of a single word is the word."""
+    key = columns[0]
+    for c in columns[1:]:
+        key = pair_key(key, c)
+    return key
+
+
+def tokens(raw: np.ndarray, offsets: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The n-gram that ends at each token, oldest word first, and the token's row. Tokens are 56-bit hashes of the words of
+    each row, then the end."""
     raw = LOWER[raw]
     w = Words(raw, offsets)
     out = np.full(len(w.begin) + w.rows, END, U64)
     out[np.arange(len(w.begin)) + w.row] = span_hash(prefix_hash(raw), w.begin, w.end) >> U64(64 - HASH_BITS)
     row = np.repeat(np.arange(w.rows), w.count + 1)
-    before = np.empty_like(out)
-    before[1:] = out[:-1]
-    before[np.cumsum(w.count + 1) - w.count - 1] = START
-    return before, out, row
+    place = np.arange(len(out)) - np.repeat(np.cumsum(w.count + 1) - w.count - 1, w.count + 1)
+    columns = [out]
+    for lag in range(1, order):
+        before = np.full_like(out, START)
+        before[lag:] = out[:-lag]
+        before[place < lag] = START
+        columns.insert(0, before)
+    return columns, row
 
 
 def pack_columns(*columns: np.ndarray) -> bytes:
@@ -116,31 +128,34 @@ def load(folder: str, at: str, key: str) -> np.ndarray:
     return array
 
 
-def _pairs(shards: int):
+def _blobs(columns: list[np.ndarray], counts: list[np.ndarray], shards: int) -> Iterator[tuple[int, bytes]]:
+    """Shard and packed n-grams, each context once with the number of its followers."""
+    context = gram_key(columns[:-1])
+    shard = (context % U64(shards)).astype(np.int64)
+    order = np.lexsort((context, shard))
+    context = context[order]
+    ends = np.searchsorted(shard[order], np.arange(shards + 1))
+    for k in np.flatnonzero(np.diff(ends)).tolist():
+        a, b = ends[k], ends[k + 1]
+        some = order[a:b]
+        first = np.flatnonzero(np.diff(context[a:b], prepend=~context[a : a + 1]) != 0)
+        yield k, pack_columns(*(c[some][first] for c in columns[:-1]), np.diff(first, append=b - a).astype("<u4"), columns[-1][some], *(c[some].astype("<i8") for c in counts))
+
+
+def _grams(order: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            v, w = (np.concatenate(x) for x in zip(*held))
+            columns = [np.concatenate(x) for x in zip(*held)]
             held.clear()
-            _, at, n = combine(pair_key(v, w), np.ones(len(v), np.int64))
-            v, w, n = v[at], w[at], n
-            shard = (v % U64(shards)).astype(np.int64)
-            order = np.lexsort((v, shard))
-            v, w, n, shard = v[order], w[order], n[order], shard[order]
-            ends = np.searchsorted(shard, np.arange(shards + 1))
-            some = np.flatnonzero(np.diff(ends))
-            blobs = []
-            for k in some.tolist():
-                a, b = ends[k], ends[k + 1]
-                first = np.flatnonzero(np.diff(v[a:b], prepend=~v[a : a + 1]) != 0)
-                blobs.append(pack_columns(v[a:b][first], np.diff(first, append=b - a).astype("<u4"), w[a:b], n[a:b].astype("<u4")))
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary())], names=["shard", "blob"])
+            _, at, n = combine(gram_key(columns), np.ones(len(columns[0]), np.int64))
+            for k, blob in _blobs([c[at] for c in columns], [n], shards):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], names=["shard", "blob"])
 
         for b in chunks(batches, most=SLICE_BYTES):
-            v, w, _ = tokens(*texts_of(b.column("text")))
-            held.append((v, w))
-            if sum(len(x) for x, _ in held) >= COMBINE_TOKENS:
+            held.append(tokens(*texts_of(b.column("text")), order)[0])
+            if sum(len(x[0]) for x in held) >= COMBINE_TOKENS:
                 yield from flush()
         if held:
             yield from flush()
@@ -151,25 +166,40 @@ def _pairs(shards: int):
 _SHARD = "kind string, shard int, path string, blob binary, sums array<long>"
 
 
-def _count_pairs(folder: str, shards: int):
+def _least(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _count_grams(folder: str, shards: int, size: int, highest: bool):
+    """Counts the n-grams of a shard. Of the highest order the counts are those in the text, of lower ones the number of
+    words seen before; the count in the text goes with them for the sake of word counts."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpack_columns(b, "hash", "<u4", "hash", "<u4") for b in rows["blob"]]
-        v = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-        w = np.concatenate([p[2] for p in parts])
-        key, at, n = combine(pair_key(v, w), np.concatenate([p[3] for p in parts]).astype(np.int64))
+        kinds = ["hash"] * (size - 1) + ["<u4", "hash"] + ["<i8"] * (1 if highest else 2)
+        parts = [unpack_columns(b, *kinds) for b in rows["blob"]]
+        columns = [np.concatenate([np.repeat(p[k], p[size - 1]) for p in parts]) for k in range(size - 1)]
+        columns.append(np.concatenate([p[size] for p in parts]))
+        counts = [np.concatenate([p[k] for p in parts]) for k in range(size + 1, len(kinds))]
         del parts
-        v, w = v[at], w[at]
+        key, at, *counts = combine(gram_key(columns), *counts)
+        columns = [c[at] for c in columns]
+        n, seen = counts[0], counts[-1]
         values, code = np.unique(n, return_inverse=True)
-        context, _, total, ones, twos, more = combine(v, n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))
-        path = save(folder, "pairs", key=key, code=code.astype(np.min_scalar_type(max(len(values) - 1, 0))), value=values, context=context, total=total, ones=ones.astype(np.uint32), twos=twos.astype(np.uint32), more=more.astype(np.uint32))
-        out = [("pairs", int(rows["shard"].iloc[0]), path, None, [len(key), *(int((n == k).sum()) for k in (1, 2, 3, 4))])]
-        word, _, before, count = combine(w, np.ones(len(w), np.int64), n)
-        to = (word % U64(shards)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        ends = np.searchsorted(to[order], np.arange(shards + 1))
-        for k in np.flatnonzero(np.diff(ends)).tolist():
-            some = order[ends[k] : ends[k + 1]]
-            out.append(("words", k, None, pack_columns(word[some], before[some].astype("<u4"), count[some].astype("<i8")), None))
+        context, _, total, ones, twos, more = combine(gram_key(columns[:-1]), n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))
+        path = save(folder, f"grams{size}", key=key, code=code.astype(np.min_scalar_type(max(len(values) - 1, 0))), value=values, context=context, total=_least(total), ones=_least(ones), twos=_least(twos), more=_least(more))
+        out = [("grams", int(rows["shard"].iloc[0]), path, None, [len(key), *(int((n == k).sum()) for k in (1, 2, 3, 4))])]
+        del key, code, context, total, ones, twos, more
+        shorter = columns[1:]
+        lower, at, before, count = combine(gram_key(shorter), np.ones(len(n), np.int64), seen)
+        if size > 2:
+            out += [("lower", k, None, blob, None) for k, blob in _blobs([c[at] for c in shorter], [before, count], shards)]
+        else:
+            to = (lower % U64(shards)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            ends = np.searchsorted(to[order], np.arange(shards + 1))
+            for k in np.flatnonzero(np.diff(ends)).tolist():
+                some = order[ends[k] : ends[k + 1]]
+                out.append(("lower", k, None, pack_columns(lower[some], before[some].astype("<u4"), count[some].astype("<i8")), None))
         return pd.DataFrame(out, columns=["kind", "shard", "path", "blob", "sums"])
 
     return run
@@ -198,11 +228,12 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 class Model:
     """Paths of the arrays and the few numbers that all probabilities share; arrays are mapped when first asked for."""
 
-    def __init__(self, folder: str, shards: int, pairs: dict[int, str], words: dict[int, str], pair_sums: np.ndarray, word_sums: np.ndarray):
-        self.folder, self.shards, self.paths = folder, shards, {"pairs": pairs, "words": words}
-        self.pairs = int(pair_sums[0])
+    def __init__(self, folder: str, shards: int, grams: dict[int, dict[int, str]], words: dict[int, str], gram_sums: dict[int, np.ndarray], word_sums: np.ndarray):
+        self.folder, self.shards, self.paths = folder, shards, {**grams, 1: words}
+        self.order = max(grams)
+        self.pairs = int(gram_sums[2][0])
         self.vocabulary, self.tokens = int(word_sums[0]), int(word_sums[1])
-        self.pair_discount = discounts(*pair_sums[1:].tolist())
+        self.discount = {k: discounts(*x[1:].tolist()) for k, x in gram_sums.items()}
         self.word_discount = discounts(*word_sums[2:].tolist())
         # what the discounts of continuation counts free for the uniform share
         n1, n2 = int(word_sums[2]), int(word_sums[3])
@@ -212,7 +243,7 @@ class Model:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "open"}
 
-    def array(self, kind: str, shard: int, key: str) -> np.ndarray | None:
+    def array(self, kind: int, shard: int, key: str) -> np.ndarray | None:
         if not hasattr(self, "open"):
             self.open: dict = {}
         at = self.paths[kind].get(shard)
@@ -222,7 +253,7 @@ class Model:
             self.open[kind, shard, key] = load(self.folder, at, key)
         return self.open[kind, shard, key]
 
-    def find(self, kind: str, sorted_key: str, by: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def find(self, kind: int, sorted_key: str, by: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each shard: which of the wanted are there, and where."""
         shard = (by % U64(self.shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
@@ -239,41 +270,52 @@ class Model:
     def words(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count and lower-order probability of each word."""
         count, before = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
-        for k, some, at in self.find("words", "word", w, w):
-            count[some] = self.array("words", k, "count")[at]
-            before[some] = self.array("words", k, "before")[at]
+        for k, some, at in self.find(1, "word", w, w):
+            count[some] = self.array(1, k, "count")[at]
+            before[some] = self.array(1, k, "before")[at]
         kept = before - self.word_discount[np.minimum(before, 3)]
         return count, (kept / self.pairs if self.pairs else kept) + self.word_rest / (self.vocabulary + 1)
 
-    def probabilities(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count of each word, and its probability behind v."""
-        words, back = np.unique(w, return_inverse=True)
-        count, lower = (x[back] for x in self.words(words))
-        contexts, back = np.unique(v, return_inverse=True)
+    def probabilities(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Count of the last word of each n-gram, and its probability behind the others."""
+        words, back = np.unique(columns[-1], return_inverse=True)
+        count, p = (x[back] for x in self.words(words))
+        for size in range(2, self.order + 1):
+            p = self.step(size, columns[-size:], p)
+        return count, p
+
+    def step(self, size: int, columns: list[np.ndarray], lower: np.ndarray) -> np.ndarray:
+        """Probabilities of one order from those of the order below."""
+        before, discount = gram_key(columns[:-1]), self.discount[size]
+        contexts, back = np.unique(before, return_inverse=True)
         total, rest = np.zeros(len(contexts)), np.ones(len(contexts))
-        for k, some, at in self.find("pairs", "context", contexts, contexts):
-            total[some] = self.array("pairs", k, "total")[at]
-            freed = sum(self.pair_discount[i] * self.array("pairs", k, key)[at] for i, key in ((1, "ones"), (2, "twos"), (3, "more")))
+        for k, some, at in self.find(size, "context", contexts, contexts):
+            total[some] = self.array(size, k, "total")[at]
+            freed = sum(discount[i] * self.array(size, k, key)[at] for i, key in ((1, "ones"), (2, "twos"), (3, "more")))
             rest[some] = freed / total[some]
         total, rest = total[back], rest[back]
-        n = np.zeros(len(v), np.int64)
-        for k, some, at in self.find("pairs", "key", v, pair_key(v, w)):
-            n[some] = self.array("pairs", k, "value")[self.array("pairs", k, "code")[at]]
-        return count, np.where(total > 0, (n - self.pair_discount[np.minimum(n, 3)]) / np.maximum(total, 1), 0.0) + rest * lower
+        n = np.zeros(len(before), np.int64)
+        for k, some, at in self.find(size, "key", before, gram_key(columns)):
+            n[some] = self.array(size, k, "value")[self.array(size, k, "code")[at]]
+        return np.where(total > 0, (n - discount[np.minimum(n, 3)]) / np.maximum(total, 1), 0.0) + rest * lower
 
 
-def train(docs: DataFrame, shards: int | None = None) -> Model:
+def train(docs: DataFrame, order: int = 2, shards: int | None = None) -> Model:
     """Counts all texts of docs."""
     spark = docs.sparkSession
     shards = shards or shuffle_partitions(spark)
     folder = new_path(spark, "ngrams")
-    packed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_pairs(shards), "shard int, blob binary")
-    counted = materialize(packed.groupBy("shard").applyInPandas(_count_pairs(folder, shards), _SHARD), "pair-shards")
-    words = materialize(counted.filter("kind = 'words'").groupBy("shard").applyInPandas(_count_words(folder), _SHARD), "word-shards")
-    listed = [x.select("shard", "path", "sums").collect() for x in (counted.filter("kind = 'pairs'"), words)]
-    paths = [{r.shard: r.path for r in rows} for rows in listed]
-    sums = [np.sum([r.sums for r in rows], axis=0) if rows else np.zeros(n, np.int64) for rows, n in zip(listed, (5, 6))]
-    return Model(folder, shards, *paths, *sums)
+    sent = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_grams(order, shards), "shard int, blob binary")
+    listed = {}
+    for size in range(order, 1, -1):
+        counted = materialize(sent.groupBy("shard").applyInPandas(_count_grams(folder, shards, size, size == order), _SHARD), f"gram-shards-{size}")
+        listed[size] = counted.filter("kind = 'grams'").select("shard", "path", "sums").collect()
+        sent = counted.filter("kind = 'lower'").select("shard", "blob")
+    words = materialize(sent.groupBy("shard").applyInPandas(_count_words(folder), _SHARD), "word-shards")
+    listed[1] = words.select("shard", "path", "sums").collect()
+    paths = {k: {r.shard: r.path for r in rows} for k, rows in listed.items()}
+    sums = {k: np.sum([r.sums for r in rows], axis=0) if rows else np.zeros(6 if k == 1 else 5, np.int64) for k, rows in listed.items()}
+    return Model(folder, shards, {k: x for k, x in paths.items() if k > 1}, paths[1], {k: x for k, x in sums.items() if k > 1}, sums[1])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -281,9 +323,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, most=SLICE_BYTES):
-            v, w, row = tokens(*texts_of(b.column("text")))
-            _, at, back = np.unique(pair_key(v, w), return_index=True, return_inverse=True)
-            count, p = model.probabilities(v[at], w[at])
+            columns, row = tokens(*texts_of(b.column("text")), model.order)
+            _, at, back = np.unique(gram_key(columns), return_index=True, return_inverse=True)
+            count, p = model.probabilities([c[at] for c in columns])
             base = np.log10((count + 1) / (model.tokens + model.vocabulary + 1))
             n = b.num_rows
             yield pa.RecordBatch.from_arrays(
@@ -297,8 +339,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
-def score_corpus(docs: DataFrame) -> DataFrame:
+def score_corpus(docs: DataFrame, order: int = 2) -> DataFrame:
     """Learns from the texts that are not held out and scores all."""
     held = is_held_out("doc_id", 7, 2)
-    model = train(docs.filter(~held))
+    model = train(docs.filter(~held), order)
     return score(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -33,7 +33,7 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_model.score_corpus(_table(spark, sf_dir, "documents"))
+    return ngram_model.score_corpus(_table(spark, sf_dir, "documents"), order=3)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

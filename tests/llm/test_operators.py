@@ -468,3 +468,41 @@ def test_near_copies_in_a_dense_family_are_exact(spark, monkeypatch):
     assert 1 < len(set(want)) < 140
     got = by_id(near_copies.groups(docs))
     assert [got[i].group_id for i in range(len(texts))] == want
+
+
+def test_kneser_ney_of_three_words_matches_brute_force(docs, data):
+    tokens = [(i, H.WORD.findall(H.lower(t)) + ["\n"]) for i, t, *_ in data]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in tokens}
+    one, three = collections.Counter(), collections.Counter()
+    grams = lambda t: zip(["\t", "\t"] + t, ["\t"] + t, t)
+    for i, t in tokens:
+        if not held[i]:
+            one.update(t)
+            three.update(grams(t))
+    two = collections.Counter((v, w) for _, v, w in three)
+    before = collections.Counter(w for _, w in two)
+    n, v = sum(one.values()), len(one)
+
+    def level(counts):
+        d = ngram_model.discounts(*(sum(1 for c in counts.values() if c == k) for k in (1, 2, 3, 4)))
+        total, kinds = collections.Counter(), collections.Counter()
+        for (*a, _), c in counts.items():
+            total[tuple(a)] += c
+            kinds[tuple(a), min(c, 3)] += 1
+        return lambda a, w, low: low if not total[a] else (counts[(*a, w)] - d[min(counts[(*a, w)], 3)] + sum(d[k] * kinds[a, k] for k in (1, 2, 3)) * low) / total[a]
+
+    d1 = ngram_model.discounts(*(sum(1 for c in before.values() if c == k) for k in (1, 2, 3, 4)))
+    rest = sum(d1[min(c, 3)] for c in before.values()) / len(two)
+    p3, p2 = level(three), level(two)
+
+    def p(u, a, w):
+        return p3((u, a), w, p2((a,), w, (before[w] - d1[min(before[w], 3)]) / len(two) + rest / (v + 1)))
+
+    found = by_id(ngram_model.score_corpus(docs, order=3))
+    pairs = by_id(ngram_model.score_corpus(docs))
+    for i, t in tokens:
+        r = found[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (len(t), pairs[i].n_known, n, pytest.approx(pairs[i].base_score))
+        assert r.score == pytest.approx(sum(np.log10(p(*g)) for g in grams(t)))
+    u, a, _ = max(three, key=three.get)
+    assert sum(p(u, a, w) for w in one) + p(u, a, "unseen") == pytest.approx(1.0)
