@@ -75,7 +75,7 @@ def prefixes(docs: DataFrame, size: int, similarity: float, hot: np.ndarray | No
                     digests[k, full] = np.add.reduceat(mix(h + U64(k)), begin[full])
             row = np.repeat(np.arange(len(many)), many)
             if len(hot):
-                h = h[np.lexsort((h, np.isin(h, hot), row))]
+                h = h[np.lexsort((h, hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h, row))]
             first = prefix_lengths(many, similarity)
             keys = h[np.arange(len(h)) - begin[row] < first[row]]
             ends = np.concatenate([[0], np.cumsum(first)]).astype(np.int32)
@@ -88,25 +88,14 @@ def prefixes(docs: DataFrame, size: int, similarity: float, hot: np.ndarray | No
 
 
 def _rows(classes: DataFrame) -> DataFrame:
-    return classes.filter("n > 0").select("id", "n", "d0", "d1", F.posexplode("keys").alias("pos", "key"))
+    return classes.filter("n > 0").select("id", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("pos", "key"))
 
 
-def demoted(classes: DataFrame, docs: DataFrame, size: int, similarity: float, rounds: int = 2) -> DataFrame:
-    """The classes with hot shingles behind all others. Only prefixes that hold one of them change."""
-    hot = np.zeros(0, np.int64)
-    same = ["id", "n", "d0", "d1"]
-    for _ in range(rounds):
-        counted = _rows(classes).groupBy("key").count().filter(F.col("count") > HOT).orderBy(F.desc("count"), "key").limit(MOST_HOT)
-        fresh = np.setdiff1d(np.array([r.key for r in counted.collect()], np.int64), hot)
-        if not len(fresh) or len(hot) + len(fresh) > MOST_HOT:
-            break
-        hot = np.concatenate([hot, fresh])
-        listed = classes.sparkSession.createDataFrame([(int(k),) for k in fresh], "key long")
-        touched = materialize(_rows(classes).join(F.broadcast(listed), "key").select(*same).distinct(), "hot-classes")
-        texts = docs.join(touched.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        again = prefixes(texts, size, similarity, np.sort(hot.view(U64))).withColumnRenamed("doc_id", "id").join(touched, same).dropDuplicates(same)
-        classes = materialize(classes.join(touched, same, "left_anti").unionByName(again), "print-classes")
-    return classes
+def hot_shingles(docs: DataFrame, size: int, similarity: float) -> np.ndarray:
+    """Hashes that many prefixes in the order of hashes alone hold, sorted."""
+    keys = prefixes(docs, size, similarity).select(F.explode("keys").alias("key"))
+    counted = keys.groupBy("key").count().filter(F.col("count") > HOT).orderBy(F.desc("count"), "key").limit(MOST_HOT)
+    return np.sort(np.array([r.key for r in counted.collect()], np.int64).view(U64))
 
 
 def _fits(a: str, b: str, similarity: float) -> Column:
@@ -120,18 +109,18 @@ def _pair(a: str, b: str) -> list[Column]:
 
 
 def shards(classes: DataFrame) -> DataFrame:
-    """x (id, n, pos), key, many (members), head (one of them): the prefix rows whose shingle several classes hold."""
-    x = _rows(classes).select("key", F.struct("id", "n", "pos").alias("x"))
-    several = x.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("x").alias("head")).filter("many > 1")
+    """key, id, n, pos, many (members), head (one of them): the prefix rows whose shingle several classes hold."""
+    x = _rows(classes)
+    several = x.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("head")).filter("many > 1")
     return x.join(several, "key")
 
 
 def first_pairs(live: DataFrame, similarity: float) -> DataFrame:
     """a < b: all pairs of small shards, and those of one member with the others of larger ones."""
-    low = live.filter(F.col("many") <= SMALL)
-    both = low.select("key", "x").join(low.select("key", F.col("x").alias("y")), "key").filter("x.id < y.id").filter(_fits("x", "y", similarity))
-    star = live.filter(F.col("many") > SMALL).filter("x.id <> head.id").filter(_fits("x", "head", similarity))
-    return both.select(*_pair("x", "y")).union(star.select(*_pair("x", "head"))).distinct()
+    low, large = (live.filter(c).select("key", "id", "n", "pos", "head") for c in (F.col("many") <= SMALL, F.col("many") > SMALL))
+    both = low.alias("x").join(low.alias("y"), "key").filter("x.id < y.id").filter(_fits("x", "y", similarity))
+    star = large.alias("x").join(large.filter("id = head").alias("y"), "key").filter("x.id <> y.id").filter(_fits("x", "y", similarity))
+    return both.select(*_pair("x", "y")).union(star.select(*_pair("x", "y"))).distinct()
 
 
 def open_pairs(members: np.ndarray, similarity: float, quota: int | None) -> np.ndarray:
@@ -156,7 +145,7 @@ def open_pairs(members: np.ndarray, similarity: float, quota: int | None) -> np.
 def later_pairs(live: DataFrame, roots: DataFrame, similarity: float, quota: int | None) -> DataFrame:
     """a < b: pairs of larger shards between members that verified pairs don't connect. Shards of several blocks are dealt
     as pairs of blocks."""
-    large = live.filter(F.col("many") > SMALL).select("key", "many", "x.id", "x.n", "x.pos")
+    large = live.filter(F.col("many") > SMALL).select("key", "many", "id", "n", "pos")
     large = large.join(roots, large.id == roots.node, "left").select("key", "many", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
     mixed = large.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
     blocks = F.ceil(F.col("many") / BLOCK)
@@ -188,23 +177,26 @@ def later_pairs(live: DataFrame, roots: DataFrame, similarity: float, quota: int
 
 def similar_pairs(classes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """a < b: pairs of class ids that are similar enough, and connect all that are."""
-    live = materialize(shards(demoted(classes, docs, size, similarity)), "shared-shingles")
+    live = materialize(shards(classes), "shared-shingles")
     seen = materialize(first_pairs(live, similarity), "near-pairs")
-    good = materialize(verified(seen, docs, size, similarity), "verified-pairs")
-    if live.filter(F.col("many") > SMALL).isEmpty():
+    ends = seen.select(F.col("a").alias("doc_id")).union(seen.select("b"))
+    if large := not live.filter(F.col("many") > SMALL).isEmpty():
+        ends = ends.union(live.filter(F.col("many") > SMALL).select("id"))
+    sets = materialize(sets_of(ends.distinct(), docs, size), "shingle-sets")
+    good = materialize(verified(seen, sets, similarity), "verified-pairs")
+    if not large:
         return good
     for quota in QUOTAS:
         fresh = materialize(later_pairs(live, connected(good), similarity, quota).join(seen, ["a", "b"], "left_anti"), "near-pairs")
         if fresh.isEmpty():
             break
-        good = good.union(materialize(verified(fresh, docs, size, similarity), "verified-pairs"))
+        good = good.union(materialize(verified(fresh, sets, similarity), "verified-pairs"))
         seen = seen.union(fresh)
     return good
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs whose exact similarity is large enough."""
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def sets_of(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, s (its sorted shingle hashes, shortened) of the documents that ids (column doc_id) names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
@@ -213,8 +205,12 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) ->
             short = pa.array((h >> U64(32)).astype(np.uint32).view(np.int32))  # sorted, as their 64 bits were
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), short)], names=["doc_id", "s"])
 
-    sets = docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").mapInArrow(run, "doc_id long, s array<int>").dropDuplicates(["doc_id"])
-    sets = materialize(sets, "shingle-sets")
+    sets = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, s array<int>")
+    return sets.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose exact similarity is large enough."""
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +228,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) ->
 def groups(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, group_id (the smallest doc_id of its group) of each different doc_id that is not null."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    prints = materialize(prefixes(docs, size, similarity), "shingle-prints")
+    prints = materialize(prefixes(docs, size, similarity, hot_shingles(docs, size, similarity)), "shingle-prints")
     classes = materialize(prints.groupBy("n", "d0", "d1").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "print-classes")
     roots = connected(similar_pairs(classes, docs, size, similarity))
     named = classes.join(roots, classes.id == roots.node, "left").select("n", "d0", "d1", F.coalesce("root", "id").alias("group_id"))
