@@ -1,17 +1,22 @@
-"""Near copies by an exact similarity join: one document of each group stays.
+"""Near copies: SimHash links first, then an exact similarity join for the rest; one document of each group stays.
 
 Documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8 are near copies. Documents with
-equal shingle sets form a class, and only its smallest doc_id is compared. Two sets that are similar enough share a
-shingle among the first fifth of each, whatever order all sets are sorted in (prefix filter), so classes that share such
-a shingle meet in its shard and no pair is lost at any size of the corpus. The order is that of the hashes, with the
-shingles that many prefixes hold behind all others, so that shards stay small where the texts allow it.
+equal shingle sets form a class, and only its smallest doc_id is compared. Candidates come from two places:
+
+* the SimHash operator's BK-trees, over the classes' fingerprints, at its radius. They find most copies, but not all: at a
+  similarity of 0.8 fingerprints differ in ten bits or so, where neither trees nor tables prune enough to search them all;
+* a prefix filter, which loses no pair at any size of the corpus. Two sets that are similar enough share a shingle among
+  the first fifth of each, whatever order all sets are sorted in, so classes that share such a shingle meet in its shard.
+  The order is that of the hashes, with the shingles that many prefixes hold behind all others, so that shards stay small
+  where the texts allow it.
 
 Small shards report all pairs that the sizes and the places of the shared shingle allow. A larger one first pairs its
 members with one of them; later rounds pair members that no chain of verified pairs connects yet, a few partners each,
-then more, and at last all. Every reported pair is checked by its exact shingle sets before it may connect anything, so a
-false candidate suppresses no true one. Groups are the components of the pairs that pass.
+then all. A candidate must pass two checks before it may connect anything, so a false one suppresses no true one: how
+many shingles its sets can share at most, by the numbers of their hashes in each of some hundred ranges, and then how many
+they do share, by the sets themselves. Groups are the components of the pairs that pass.
 
-Recall and precision are exact.
+Nothing is lost or added but what equal 64-bit hashes of different shingles would.
 
 Edge cases: null or wordless texts are copies of each other; a text of fewer words than a shingle is one shingle; rows
 with a null doc_id stay; rows that repeat a doc_id stay or go together; an empty table gives an empty result; all
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import connected
 from .shared import materialize, shuffle_partitions
-from .simhash import SEED, shingle_bounds
+from .simhash import SEED, block_masks, links, majority, shingle_bounds
 from .textops import U64, chunks, mix, texts_of
 
 SIZE = 5
@@ -39,7 +44,9 @@ HOT = 64  # prefixes that hold a shingle before it goes behind the others
 MOST_HOT = 100_000  # travels with the tasks; where more are hot, the hottest
 SMALL = 16
 BLOCK = 1024  # rows of a larger shard that meet each other block in one task
-QUOTAS = (8, 64, None)  # partners of a member in the later rounds
+QUOTAS = (8, None)  # partners of a member in the later rounds
+RADIUS = 3  # of the SimHash links
+FULL = 255  # a count that stands for this many or more
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,8 +66,23 @@ def prefix_lengths(many: np.ndarray, similarity: float) -> np.ndarray:
     return np.where(many > 0, many - np.ceil(similarity * many - 1e-9).astype(np.int64) + 1, 0)
 
 
+def range_counts(h: np.ndarray) -> bytes:
+    """How many of a set's hashes lie in each of 2^k equal ranges: about four to eight in one."""
+    k = max(int(len(h)).bit_length() - 3, 0)
+    return np.minimum(np.bincount((h >> U64(64 - k)).astype(np.int64) if k else np.zeros(len(h), np.int64), minlength=1 << k), FULL).astype(np.uint8).tobytes()
+
+
+def most_shared(a: bytes, b: bytes) -> int:
+    """How many elements two sets can share, by their range counts."""
+    x, y = (np.where((v := np.frombuffer(s, np.uint8)) == FULL, 1 << 40, v.astype(np.int64)) for s in (a, b))
+    if len(x) != len(y):
+        x, y = (v.reshape(min(len(x), len(y)), -1).sum(axis=1) for v in (x, y))
+    return int(np.minimum(x, y).sum())
+
+
 def prefixes(docs: DataFrame, size: int, similarity: float, hot: np.ndarray | None = None) -> DataFrame:
-    """doc_id, n (how many different shingles), d0 and d1 (digests of their set), keys (the first of them)."""
+    """doc_id, n (how many different shingles), d0 and d1 (digests of their set), keys (the first of them), counts (in
+    ranges of hashes), fp (the set's fingerprint)."""
     hot = np.zeros(0, U64) if hot is None else hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,17 +96,19 @@ def prefixes(docs: DataFrame, size: int, similarity: float, hot: np.ndarray | No
                 for k in (0, 1):
                     digests[k, full] = np.add.reduceat(mix(h + U64(k)), begin[full])
             row = np.repeat(np.arange(len(many)), many)
+            counts = [range_counts(h[a : a + n]) for a, n in zip(begin.tolist(), many.tolist())]
+            fp = majority(h, many)
             if len(hot):
                 h = h[np.lexsort((h, hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h, row))]
             first = prefix_lengths(many, similarity)
             keys = h[np.arange(len(h)) - begin[row] < first[row]]
             ends = np.concatenate([[0], np.cumsum(first)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(many), *(pa.array(d.view(np.int64)) for d in digests), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)))],
-                names=["doc_id", "n", "d0", "d1", "keys"],
+                [b.column("doc_id"), pa.array(many), *(pa.array(d.view(np.int64)) for d in digests), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64))), pa.array(counts, pa.binary()), pa.array(fp.view(np.int64))],
+                names=["doc_id", "n", "d0", "d1", "keys", "counts", "fp"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d0 long, d1 long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d0 long, d1 long, keys array<long>, counts binary, fp long")
 
 
 def _rows(classes: DataFrame) -> DataFrame:
@@ -175,42 +199,68 @@ def later_pairs(live: DataFrame, roots: DataFrame, similarity: float, quota: int
     return dealt.mapInArrow(run, "a long, b long").filter("a < b").distinct()
 
 
-def similar_pairs(classes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """a < b: pairs of class ids that are similar enough, and connect all that are."""
+def simhash_pairs(classes: DataFrame) -> DataFrame:
+    """a < b: classes with equal fingerprints, and those that the SimHash operator links."""
+    heads = materialize(classes.filter("n > 0").groupBy("fp").agg(F.min("id").alias("head")), "set-fingerprints")
+    near = links(heads.select("fp"), block_masks(RADIUS, heads.count()), RADIUS)
+    x, y = (heads.select(F.col("fp").alias(k), F.col("head").alias(f"h{k}")) for k in ("a", "b"))
+    near = near.join(x, "a").join(y, "b").select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+    equal = classes.filter("n > 0").join(heads, "fp").filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    return near.union(equal)
+
+
+def possible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets can share enough by their range counts."""
+    x, y = (classes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}")) for k in ("a", "b"))
+    both = pairs.join(x, "a").join(y, "b").filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [most_shared(s, t) * (1 + similarity) >= similarity * n - 1e-9 for s, t, n in zip(b.column("ca").to_pylist(), b.column("cb").to_pylist(), b.column("both").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.select("a", "b", (F.col("na") + F.col("nb")).alias("both"), "ca", "cb").mapInArrow(check, "a long, b long")
+
+
+def joined(classes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """node, root: the components of the class ids that similar enough pairs connect."""
     live = materialize(shards(classes), "shared-shingles")
-    seen = materialize(first_pairs(live, similarity), "near-pairs")
-    ends = seen.select(F.col("a").alias("doc_id")).union(seen.select("b"))
-    if large := not live.filter(F.col("many") > SMALL).isEmpty():
-        ends = ends.union(live.filter(F.col("many") > SMALL).select("id"))
-    sets = materialize(sets_of(ends.distinct(), docs, size), "shingle-sets")
-    good = materialize(verified(seen, sets, similarity), "verified-pairs")
-    if not large:
-        return good
+    seen = materialize(first_pairs(live, similarity).union(simhash_pairs(classes)).distinct(), "near-pairs")
+    likely = materialize(possible(seen, classes, similarity), "likely-pairs")
+    good = materialize(verified(likely, docs, size, similarity), "verified-pairs")
+    roots = connected(good)
+    if live.filter(F.col("many") > SMALL).isEmpty():
+        return roots
     for quota in QUOTAS:
-        fresh = materialize(later_pairs(live, connected(good), similarity, quota).join(seen, ["a", "b"], "left_anti"), "near-pairs")
-        if fresh.isEmpty():
-            break
-        good = good.union(materialize(verified(fresh, sets, similarity), "verified-pairs"))
+        fresh = materialize(later_pairs(live, roots, similarity, quota).join(seen, ["a", "b"], "left_anti"), "near-pairs")
         seen = seen.union(fresh)
-    return good
+        likely = materialize(possible(fresh, classes, similarity), "likely-pairs")
+        if likely.isEmpty():
+            continue
+        more = materialize(verified(likely, docs, size, similarity), "verified-pairs")
+        if not more.isEmpty():
+            good = good.union(more)
+            roots = connected(good)
+    return roots
 
 
 def sets_of(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, s (its sorted shingle hashes, shortened) of the documents that ids (column doc_id) names."""
+    """doc_id, s (its sorted shingle hashes) of the documents that ids (column doc_id) names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             h, many = shingle_sets(*texts_of(b.column("text")), size)
             offsets = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
-            short = pa.array((h >> U64(32)).astype(np.uint32).view(np.int32))  # sorted, as their 64 bits were
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), short)], names=["doc_id", "s"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))], names=["doc_id", "s"])
 
-    sets = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, s array<int>")
-    return sets.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, s array<long>")
+    return sets.groupBy("doc_id").agg(F.min("s").alias("s"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs whose exact similarity is large enough."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = materialize(sets_of(ends, docs, size), "shingle-sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,8 +279,8 @@ def groups(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) ->
     """doc_id, group_id (the smallest doc_id of its group) of each different doc_id that is not null."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     prints = materialize(prefixes(docs, size, similarity, hot_shingles(docs, size, similarity)), "shingle-prints")
-    classes = materialize(prints.groupBy("n", "d0", "d1").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "print-classes")
-    roots = connected(similar_pairs(classes, docs, size, similarity))
+    classes = materialize(prints.groupBy("n", "d0", "d1").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("keys", "counts", "fp"))), "print-classes")
+    roots = joined(classes, docs, size, similarity)
     named = classes.join(roots, classes.id == roots.node, "left").select("n", "d0", "d1", F.coalesce("root", "id").alias("group_id"))
     return prints.join(named, ["n", "d0", "d1"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
 

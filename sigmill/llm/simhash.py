@@ -54,11 +54,13 @@ def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarr
     """The fingerprint of each row of a slice."""
     text, begin, end, row = shingle_bounds(raw, offsets, size)
     digest = xxhash.xxh64_intdigest
-    out = np.zeros(len(offsets) - 1, np.uint64)
-    if not len(row):
-        return out
     h = np.fromiter((digest(text[a:b], SEED) for a, b in zip(begin.tolist(), end.tolist())), np.uint64, len(row))
-    many = np.bincount(row, minlength=len(out))
+    return majority(h, np.bincount(row, minlength=len(offsets) - 1))
+
+
+def majority(h: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """For each row, the bits that over half of its hashes have. h: the rows' hashes, one row after the other."""
+    out = np.zeros(len(many), np.uint64)
     full = np.flatnonzero(many)
     starts = (np.cumsum(many) - many)[full]
     for a in range(0, len(full), 512):
