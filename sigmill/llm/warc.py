@@ -6,6 +6,9 @@ start at any record. Of records with equal payloads the one with the smallest pa
 revisit records that refer to it and keep the HTTP header only. Archives go to the shared folder under a name of their
 own for each task attempt; the manifest, written by Spark, names those of the attempts that counted.
 
+Which payloads repeat is found from digests and page_ids alone. Payloads stay where they are read, and only what is said
+of pages that are not the only one with their payload is sent back to them.
+
 Edge cases: null html is an empty payload; empty payloads are equal to each other; rows that repeat the smallest
 page_id of their payload are responses each; a null page_id is a response only where no row of the payload has one;
 null url leaves the target out; an empty table gives no archive and an empty result; other columns are ignored.
@@ -132,13 +135,20 @@ def read_archive(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def with_originals(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, refers_to (null for responses)."""
-    p = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-        F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"),
-    ).withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
-    firsts = p.groupBy("digest", "size").agg(F.min("page_id").alias("first"))
-    original = F.col("first").isNull() | F.coalesce(F.col("page_id") == F.col("first"), F.lit(False))
-    return p.join(firsts, ["digest", "size"]).select("page_id", "url", "payload", (~original).alias("revisit"), F.when(~original, F.col("first")).alias("refers_to"))
+    spark = pages.sparkSession
+    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    prints = materialize(p.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size")), "payload-digests")
+    firsts = prints.groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null")
+    # one row for each page that refers to another; a page_id that has several payloads is told apart by the digest
+    later = prints.join(firsts, ["digest", "size"]).filter("page_id is null or page_id <> first").select("page_id", "digest", "size", "first").distinct()
+    later = later.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), F.col("size").alias("_size"), "first")
+    where = F.col("page_id").eqNullSafe(F.col("_id"))
+    if prints.groupBy("page_id").count().filter("count > 1 or page_id is null").isEmpty():
+        later = later.select("_id", "first")
+    else:
+        where &= (F.sha1("payload") == F.col("_digest")) & (F.octet_length("payload") == F.col("_size"))
+    return p.join(later, where, "left").select("page_id", "url", "payload", F.col("first").isNotNull().alias("revisit"), F.col("first").alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
