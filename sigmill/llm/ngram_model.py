@@ -1,12 +1,18 @@
 """Interpolated modified Kneser-Ney model of word n-grams of any order from two.
 
-Counting: each task combines its n-grams of the highest order over a few million tokens and sends them, packed in
-columns, to the shard of their context; a shard sums them and writes them as a sorted hash array with counts, its
-contexts with the number of followers seen once, twice and more often, and sends on, to the shards of the order below,
-how many different words stood before each shorter n-gram. These continuation counts are the counts of the lower orders.
-A last exchange by word gives those of words and the word counts. Nothing whole passes the driver: it gets one short row
-of sums for each shard. Scoring: workers map the arrays of the shared folder into memory and look up each different
-n-gram of a slice once, at every order.
+Counting: each task combines its n-grams of the highest order over a few million tokens and sends them to the shard of
+their context; a shard sums them and writes them as a sorted hash array with counts, its contexts with the number of
+followers seen once, twice and more often, and sends on, to the shards of the order below, how many different words stood
+before each shorter n-gram. These continuation counts are the counts of the lower orders. A last exchange by word gives
+those of words and the word counts. The arrays' names travel through the same exchanges, so that each n-gram is sent once
+an order and never written in between. Nothing whole passes the driver: it gets one short row of sums for each shard.
+Scoring: workers map the arrays of the shared folder into memory and look up each different n-gram of a slice once, at
+every order.
+
+What is sent is small because a blob names each of its words once and is sorted: n-grams are the places of their words
+among these, as differences. What is stored is small because a shard's arrays hold 48 bits of a key besides those that
+chose the shard (two n-grams of a shard of two million are taken for one with a chance of one in a hundred million), and
+its counts as places in the list of its different counts.
 
 Edge cases: null, empty or wordless text is the end token alone; words before a text's first are start tokens; repeated
 rows are counted and scored each; a null doc_id is not held out; with no training text all probabilities are uniform over
@@ -35,6 +41,7 @@ from .textops import LOWER, U64, Words, chunks, mix, prefix_hash, span_hash, tex
 
 SLICE_BYTES = 2 << 20
 COMBINE_TOKENS = 3 << 20
+SHARD_BYTES = 16 << 20
 HASH_BITS = 56
 START, END = (U64(0x51A9C0FFEE1234 + k) for k in (0, 1))
 _PAIR = U64(0xD6E8FEB86659FD93)
@@ -71,31 +78,70 @@ def tokens(raw: np.ndarray, offsets: np.ndarray, order: int) -> tuple[list[np.nd
 
 
 def pack_columns(*columns: np.ndarray) -> bytes:
-    """Columns of one blob; 64-bit hashes lose their empty top byte."""
+    """Columns of one blob, each in the smallest type that holds it; 64-bit hashes lose their empty top byte."""
     parts = []
     for c in columns:
         if c.dtype == U64:
-            c = np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8)[:, : HASH_BITS // 8]
-        parts.append(zstandard.compress(np.ascontiguousarray(c).tobytes(), 1))
-    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+            kind, c = "h", np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8)[:, : HASH_BITS // 8]
+        else:
+            c = _least(c)
+            kind = str(c.dtype.itemsize)
+        z = zstandard.compress(np.ascontiguousarray(c).tobytes(), 1)
+        parts.append(kind.encode() + len(z).to_bytes(4, "little") + z)
+    return b"".join(parts)
 
 
-def unpack_columns(blob: bytes, *kinds: str) -> list[np.ndarray]:
+def unpack_columns(blob: bytes) -> list[np.ndarray]:
     out, at = [], 0
-    for kind in kinds:
-        n = int.from_bytes(blob[at : at + 4], "little")
-        raw = zstandard.decompress(blob[at + 4 : at + 4 + n])
-        at += 4 + n
-        if kind == "hash":
+    while at < len(blob):
+        kind, n = blob[at : at + 1], int.from_bytes(blob[at + 1 : at + 5], "little")
+        raw = zstandard.decompress(blob[at + 5 : at + 5 + n])
+        at += 5 + n
+        if kind == b"h":
             short = np.frombuffer(raw, np.uint8).reshape(-1, HASH_BITS // 8)
             full = np.zeros((len(short), 8), np.uint8)
             full[:, : HASH_BITS // 8] = short
             out.append(full.view(U64).ravel())
         else:
-            out.append(np.frombuffer(raw, kind))
+            out.append(np.frombuffer(raw, f"<u{int(kind)}").astype(np.int64))
     return out
 
 
+def _least(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def pack_grams(columns: list[np.ndarray], *counts: np.ndarray) -> bytes:
+    """N-grams in the order of their words: the words of the blob, for each column places among them, and the counts. The
+    first column is stored as steps; the others as steps as long as the columns before them stay the same."""
+    words, place = np.unique(np.concatenate(columns), return_inverse=True)
+    place = place.reshape(len(columns), -1)
+    order = np.lexsort(place[::-1])
+    place = place[:, order]
+    out, same = [], np.zeros(place.shape[1], bool)
+    same[1:] = True
+    for c in place:
+        step = np.diff(c, prepend=0)
+        out.append(np.where(same, step, c))
+        same = same & (step == 0)
+    return pack_columns(words, *out, *(c[order] for c in counts))
+
+
+def unpack_grams(blob: bytes, size: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    words, *rest = unpack_columns(blob)
+    columns, n = [], len(rest[0])
+    same = np.zeros(n, bool)
+    same[1:] = True
+    for c in rest[:size]:
+        run = np.cumsum(c)
+        begin = np.flatnonzero(~same)  # here the sum starts anew
+        base = np.repeat(run[begin] - c[begin], np.diff(begin, append=n))
+        place = run - base
+        columns.append(words[place])
+        same[1:] &= place[1:] == place[:-1]
+    return columns, rest[size:]
+
+
 def combine(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted different keys and the sums of their values."""
     order = np.argsort(keys, kind="stable")
@@ -129,17 +175,20 @@ def load(folder: str, at: str, key: str) -> np.ndarray:
 
 
 def _blobs(columns: list[np.ndarray], counts: list[np.ndarray], shards: int) -> Iterator[tuple[int, bytes]]:
-    """Shard and packed n-grams, each context once with the number of its followers."""
-    context = gram_key(columns[:-1])
-    shard = (context % U64(shards)).astype(np.int64)
-    order = np.lexsort((context, shard))
-    context = context[order]
+    """Shard and packed n-grams; a shard has all followers of a context."""
+    for k, some in _dealt(gram_key(columns[:-1]) if len(columns) > 1 else columns[0], shards):
+        yield k, pack_grams([c[some] for c in columns], *(c[some] for c in counts))
+
+
+def _dealt(key: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    shard = (key % U64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
     ends = np.searchsorted(shard[order], np.arange(shards + 1))
     for k in np.flatnonzero(np.diff(ends)).tolist():
-        a, b = ends[k], ends[k + 1]
-        some = order[a:b]
-        first = np.flatnonzero(np.diff(context[a:b], prepend=~context[a : a + 1]) != 0)
-        yield k, pack_columns(*(c[some][first] for c in columns[:-1]), np.diff(first, append=b - a).astype("<u4"), columns[-1][some], *(c[some].astype("<i8") for c in counts))
+        yield k, order[ends[k] : ends[k + 1]]
+
+
+_SHARD = "kind string, shard int, path string, blob binary, sums array<long>"
 
 
 def _grams(order: int, shards: int):
@@ -151,7 +200,7 @@ def _grams(order: int, shards: int):
             held.clear()
             _, at, n = combine(gram_key(columns), np.ones(len(columns[0]), np.int64))
             for k, blob in _blobs([c[at] for c in columns], [n], shards):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], names=["shard", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array(["grams"]), pa.array([k], pa.int32()), pa.array([None], pa.string()), pa.array([blob], pa.binary()), pa.array([None], pa.list_(pa.int64()))], names=["kind", "shard", "path", "blob", "sums"])
 
         for b in chunks(batches, most=SLICE_BYTES):
             held.append(tokens(*texts_of(b.column("text")), order)[0])
@@ -163,11 +212,32 @@ def _grams(order: int, shards: int):
     return run
 
 
-_SHARD = "kind string, shard int, path string, blob binary, sums array<long>"
+def split_key(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 48 upper bits of each key, as 32 and 16."""
+    return (key >> U64(32)).astype(np.uint32), ((key >> U64(16)) & U64(0xFFFF)).astype(np.uint16)
 
 
-def _least(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+def find_keys(high: np.ndarray, low: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the wanted keys are there, and where. high and low: sorted, as split_key gives them."""
+    h, l = split_key(wanted)
+    at = np.searchsorted(high, h)
+    hit = np.zeros(len(wanted), bool)
+    left = np.arange(len(wanted))
+    while True:
+        left = left[at[left] < len(high)]
+        left = left[high[at[left]] == h[left]]  # keys with equal upper bits stand side by side
+        if not len(left):
+            return hit, at
+        same = low[at[left]] == l[left]
+        hit[left[same]] = True
+        left = left[~same]
+        at[left] += 1
+
+
+def _coded(*values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of the values, and which of them each row is."""
+    kinds, code = np.unique(np.stack(values, axis=1), axis=0, return_inverse=True) if len(values) > 1 else np.unique(values[0], return_inverse=True)
+    return kinds, code.ravel().astype(np.min_scalar_type(max(len(kinds) - 1, 0)))
 
 
 def _count_grams(folder: str, shards: int, size: int, highest: bool):
@@ -175,31 +245,29 @@ def _count_grams(folder: str, shards: int, size: int, highest: bool):
     words seen before; the count in the text goes with them for the sake of word counts."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        kinds = ["hash"] * (size - 1) + ["<u4", "hash"] + ["<i8"] * (1 if highest else 2)
-        parts = [unpack_columns(b, *kinds) for b in rows["blob"]]
-        columns = [np.concatenate([np.repeat(p[k], p[size - 1]) for p in parts]) for k in range(size - 1)]
-        columns.append(np.concatenate([p[size] for p in parts]))
-        counts = [np.concatenate([p[k] for p in parts]) for k in range(size + 1, len(kinds))]
+        done = rows[rows["kind"] != "grams"]  # what longer n-grams have said goes on
+        out = list(done.itertuples(index=False, name=None))
+        parts = [unpack_grams(b, size) for b in rows["blob"][rows["kind"] == "grams"]]
+        if not parts:
+            return pd.DataFrame(out, columns=["kind", "shard", "path", "blob", "sums"])
+        columns = [np.concatenate([p[0][k] for p in parts]) for k in range(size)]
+        counts = [np.concatenate([p[1][k] for p in parts]) for k in range(1 if highest else 2)]
         del parts
         key, at, *counts = combine(gram_key(columns), *counts)
         columns = [c[at] for c in columns]
         n, seen = counts[0], counts[-1]
-        values, code = np.unique(n, return_inverse=True)
         context, _, total, ones, twos, more = combine(gram_key(columns[:-1]), n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))
-        path = save(folder, f"grams{size}", key=key, code=code.astype(np.min_scalar_type(max(len(values) - 1, 0))), value=values, context=context, total=_least(total), ones=_least(ones), twos=_least(twos), more=_least(more))
-        out = [("grams", int(rows["shard"].iloc[0]), path, None, [len(key), *(int((n == k).sum()) for k in (1, 2, 3, 4))])]
-        del key, code, context, total, ones, twos, more
+        value, code = _coded(n)
+        stats, stat = _coded(total, ones, twos, more)
+        high, low = split_key(key)
+        chigh, clow = split_key(context)
+        shard = int(rows["shard"].iloc[0])
+        path = save(folder, f"grams{size}", high=high, low=low, code=code, value=value, chigh=chigh, clow=clow, stat=stat, stats=stats)
+        out.append((f"order{size}", shard, path, None, [len(key), *(int((n == k).sum()) for k in (1, 2, 3, 4))]))
+        del key, high, low, code, context, total, ones, twos, more, stat
         shorter = columns[1:]
-        lower, at, before, count = combine(gram_key(shorter), np.ones(len(n), np.int64), seen)
-        if size > 2:
-            out += [("lower", k, None, blob, None) for k, blob in _blobs([c[at] for c in shorter], [before, count], shards)]
-        else:
-            to = (lower % U64(shards)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            ends = np.searchsorted(to[order], np.arange(shards + 1))
-            for k in np.flatnonzero(np.diff(ends)).tolist():
-                some = order[ends[k] : ends[k + 1]]
-                out.append(("lower", k, None, pack_columns(lower[some], before[some].astype("<u4"), count[some].astype("<i8")), None))
+        _, at, before, count = combine(gram_key(shorter), np.ones(len(n), np.int64), seen)
+        out += [("grams", k, None, blob, None) for k, blob in _blobs([c[at] for c in shorter], [before, count], shards)]
         return pd.DataFrame(out, columns=["kind", "shard", "path", "blob", "sums"])
 
     return run
@@ -207,12 +275,14 @@ def _count_grams(folder: str, shards: int, size: int, highest: bool):
 
 def _count_words(folder: str):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpack_columns(b, "hash", "<u4", "<i8") for b in rows["blob"]]
-        word, before, count = (np.concatenate(x) for x in zip(*parts))
-        word, _, before, count = combine(word, before.astype(np.int64), count)
-        path = save(folder, "words", word=word, before=before.astype(np.uint32), count=count)
-        sums = [len(word), int(count.sum()), *(int((before == k).sum()) for k in (1, 2, 3, 4))]
-        return pd.DataFrame([("words", int(rows["shard"].iloc[0]), path, None, sums)], columns=["kind", "shard", "path", "blob", "sums"])
+        out = list(rows[rows["kind"] != "grams"].itertuples(index=False, name=None))
+        parts = [unpack_grams(b, 1) for b in rows["blob"][rows["kind"] == "grams"]]
+        if parts:
+            word = np.concatenate([p[0][0] for p in parts])
+            word, _, before, count = combine(word, *(np.concatenate([p[1][k] for p in parts]) for k in (0, 1)))
+            path = save(folder, "words", word=word, before=before.astype(np.uint32), count=count)
+            out.append(("order1", int(rows["shard"].iloc[0]), path, None, [len(word), int(count.sum()), *(int((before == k).sum()) for k in (1, 2, 3, 4))]))
+        return pd.DataFrame(out, columns=["kind", "shard", "path", "blob", "sums"])
 
     return run
 
@@ -253,26 +323,23 @@ class Model:
             self.open[kind, shard, key] = load(self.folder, at, key)
         return self.open[kind, shard, key]
 
-    def find(self, kind: int, sorted_key: str, by: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each shard: which of the wanted are there, and where."""
-        shard = (by % U64(self.shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        ends = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for k in np.flatnonzero(np.diff(ends)).tolist():
-            keys = self.array(kind, k, sorted_key)
-            if keys is None:
-                continue
-            some = order[ends[k] : ends[k + 1]]
-            at = np.minimum(np.searchsorted(keys, wanted[some]), len(keys) - 1)
-            hit = keys[at] == wanted[some]
-            yield k, some[hit], at[hit]
+    def find(self, kind: int, part: str, by: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each shard: which of the wanted are there, and where. part: the n-grams ("") or the contexts ("c")."""
+        for k, some in _dealt(by, self.shards):
+            high = self.array(kind, k, part + "high")
+            if high is not None:
+                hit, at = find_keys(high, self.array(kind, k, part + "low"), wanted[some])
+                yield k, some[hit], at[hit]
 
     def words(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count and lower-order probability of each word."""
         count, before = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
-        for k, some, at in self.find(1, "word", w, w):
-            count[some] = self.array(1, k, "count")[at]
-            before[some] = self.array(1, k, "before")[at]
+        for k, some in _dealt(w, self.shards):
+            if (known := self.array(1, k, "word")) is not None:
+                at = np.minimum(np.searchsorted(known, w[some]), len(known) - 1)
+                hit = known[at] == w[some]
+                count[some[hit]] = self.array(1, k, "count")[at[hit]]
+                before[some[hit]] = self.array(1, k, "before")[at[hit]]
         kept = before - self.word_discount[np.minimum(before, 3)]
         return count, (kept / self.pairs if self.pairs else kept) + self.word_rest / (self.vocabulary + 1)
 
@@ -289,33 +356,36 @@ class Model:
         before, discount = gram_key(columns[:-1]), self.discount[size]
         contexts, back = np.unique(before, return_inverse=True)
         total, rest = np.zeros(len(contexts)), np.ones(len(contexts))
-        for k, some, at in self.find(size, "context", contexts, contexts):
-            total[some] = self.array(size, k, "total")[at]
-            freed = sum(discount[i] * self.array(size, k, key)[at] for i, key in ((1, "ones"), (2, "twos"), (3, "more")))
-            rest[some] = freed / total[some]
+        for k, some, at in self.find(size, "c", contexts, contexts):
+            stats = self.array(size, k, "stats")[self.array(size, k, "stat")[at]]  # total, followers seen once, twice, more
+            total[some] = stats[:, 0]
+            rest[some] = (stats[:, 1:] @ discount[1:]) / total[some]
         total, rest = total[back], rest[back]
         n = np.zeros(len(before), np.int64)
-        for k, some, at in self.find(size, "key", before, gram_key(columns)):
+        for k, some, at in self.find(size, "", before, gram_key(columns)):
             n[some] = self.array(size, k, "value")[self.array(size, k, "code")[at]]
         return np.where(total > 0, (n - discount[np.minimum(n, 3)]) / np.maximum(total, 1), 0.0) + rest * lower
 
 
 def train(docs: DataFrame, order: int = 2, shards: int | None = None) -> Model:
-    """Counts all texts of docs."""
+    """Counts all texts of docs. There is a shard for each SHARD_BYTES of text."""
     spark = docs.sparkSession
-    shards = shards or shuffle_partitions(spark)
+    text = docs.select(F.col("text").cast("string").alias("text"))
+    if not shards:
+        shards = max(shuffle_partitions(spark), -(-(text.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
     folder = new_path(spark, "ngrams")
-    sent = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_grams(order, shards), "shard int, blob binary")
-    listed = {}
+    rows = text.mapInArrow(_grams(order, shards), _SHARD)
     for size in range(order, 1, -1):
-        counted = materialize(sent.groupBy("shard").applyInPandas(_count_grams(folder, shards, size, size == order), _SHARD), f"gram-shards-{size}")
-        listed[size] = counted.filter("kind = 'grams'").select("shard", "path", "sums").collect()
-        sent = counted.filter("kind = 'lower'").select("shard", "blob")
-    words = materialize(sent.groupBy("shard").applyInPandas(_count_words(folder), _SHARD), "word-shards")
-    listed[1] = words.select("shard", "path", "sums").collect()
-    paths = {k: {r.shard: r.path for r in rows} for k, rows in listed.items()}
-    sums = {k: np.sum([r.sums for r in rows], axis=0) if rows else np.zeros(6 if k == 1 else 5, np.int64) for k, rows in listed.items()}
-    return Model(folder, shards, {k: x for k, x in paths.items() if k > 1}, paths[1], {k: x for k, x in sums.items() if k > 1}, sums[1])
+        rows = rows.groupBy("shard").applyInPandas(_count_grams(folder, shards, size, size == order), _SHARD)
+    rows = rows.groupBy("shard").applyInPandas(_count_words(folder), _SHARD).select("kind", "shard", "path", "sums")
+    paths: dict[int, dict[int, str]] = {k: {} for k in range(1, order + 1)}
+    sums = {k: np.zeros(6 if k == 1 else 5, np.int64) for k in paths}
+    for r in materialize(rows, "ngram-shards").collect():
+        size = int(r.kind.removeprefix("order"))
+        paths[size][r.shard] = r.path
+        sums[size] += np.array(r.sums)
+    words, word_sums = paths.pop(1), sums.pop(1)
+    return Model(folder, shards, paths, words, sums, word_sums)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
