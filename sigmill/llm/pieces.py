@@ -4,10 +4,13 @@ The vocabulary file gives pieces but no probabilities, so a piece's log-probabil
 1 / (r + 2), normalised; a byte piece counts half as much as the last rank. Scores are whole multiples of 2^-20, so sums are
 exact. Of paths with equal scores the one with the longer last piece wins.
 
-The search keeps scores for a window as long as the longest piece. Whenever the backpointers of all boundaries in the
-window lead through one boundary, the ids before it are committed and forgotten. No piece holds a word start inside, so
-each space behind a non-space is such a boundary, and so is each full stop or comma that no piece joins to what stands
-before it: texts are split there, and the ids of short parts are kept in a bounded table.
+The search takes a text character by character. Only boundaries from which a piece may still go on can lead further, so its
+window is never longer than the longest piece; whenever the backpointers of all of them lead through one boundary, the ids
+before it are committed and forgotten. (In a run of one character they may never meet; then the backpointers, not the
+window, grow with the run, and the time stays linear.) No piece holds a word start inside, so each space behind a
+non-space is such a boundary, and so is each full stop or comma that no piece joins to what stands before it: the stream is
+told of these cuts, and what it commits between two of them is kept in a bounded table, so that it need not go through
+the same span again.
 
 Text is not normalised: a space is the word-start mark, everything without a piece (line feeds, a literal word-start mark)
 becomes byte pieces, and decoding gives back the exact text.
@@ -54,7 +57,9 @@ class Vocabulary:
         self.byte_ids = {int(names[i][3:5], 16): i for i in range(len(names)) if p.is_byte(i)}
         self.byte_score = -round((log(2 * (len(plain) + 2)) + norm) * UNIT)
         self.longest = max(map(len, self.ids))
-        self.starts = {name[:k] for name in self.ids for k in range(1, len(name) + 1)}
+        # beginnings of pieces: twice the piece's id (-2: none), and one more where a piece goes on
+        self.table = {name[:k]: -1 for name in self.ids for k in range(1, len(name))}
+        self.table |= {name: 2 * i + (name in self.table) for name, i in self.ids.items()}
         self.bytes = [b""] * len(names)
         for name, i in self.ids.items():
             self.bytes[i] = name.replace(MARK, " ").encode()
@@ -73,118 +78,107 @@ def vocabulary(path: str | None = None) -> Vocabulary:
     return Vocabulary(path)
 
 
-_WORST = -(1 << 60)
-
-
-def _push(v: Vocabulary, raw: str, text: str, score: list[int], back: list[int], piece: list[int], first: int, last: int) -> None:
-    """Extends the best paths by all pieces that begin at boundaries first to last - 1. text: raw with spaces as marks.
-
-    Boundaries come in rising order and an equal score does not replace one, so the longer last piece wins; only byte
-    pieces give way to a piece of the same score."""
-    ids, scores, starts, n = v.ids, v.scores, v.starts, len(text)
-    for begin in range(first, last):
-        s0 = score[begin]
-        s = s0 + v.byte_score * (1 if raw[begin] < "\x80" else len(raw[begin].encode()))
-        if s > score[begin + 1]:
-            score[begin + 1], back[begin + 1], piece[begin + 1] = s, begin, -1
-        for end in range(begin + 1, n + 1):
-            some = text[begin:end]
-            if some not in starts:
-                break
-            i = ids.get(some)
-            if i is not None:
-                s = s0 + scores[i]
-                if s > score[end] or (s == score[end] and piece[end] < 0):
-                    score[end], back[end], piece[end] = s, begin, i
-
-
-def _path(v: Vocabulary, raw: str, back: list[int], piece: list[int], boundary: int) -> list[int]:
-    out: list[int] = []
-    while boundary:
-        begin = back[boundary]
-        if piece[boundary] >= 0:
-            out.append(piece[boundary])
-        else:
-            out.extend(v.byte_ids[b] for b in reversed(raw[begin:boundary].encode()))
-        boundary = begin
-    return out[::-1]
-
-
-def _marked(raw: str) -> str:
-    return raw.replace(MARK, "\0").replace(" ", MARK)
-
-
 class StreamingViterbi:
-    """The best path through one text, given in any number of parts; ids come out as soon as they are certain.
+    """The best path through one text, given in any number of parts; ids come out as soon as they are certain."""
 
-    A boundary is extended once the text behind it is as long as the longest piece. Every later path then leads through
-    one of the boundaries of a window of that length."""
+    STEP = 64  # boundaries after which the survivors' backpointers are compared, at first
 
     def __init__(self, vocab: Vocabulary):
         self.v = vocab
-        self.at = 0  # boundary that is extended next
-        self.raw, self.text = "", ""  # characters behind the last commit
-        self.score, self.back, self.piece = [0], [0], [-1]
+        self._restart()
 
-    def _grow(self, part: str) -> None:
-        self.raw += part
-        self.text += _marked(part)
-        self.score += [_WORST] * len(part)
-        self.back += [0] * len(part)
-        self.piece += [-1] * len(part)
+    def _restart(self) -> None:
+        """A new beginning at the present boundary."""
+        self.raw, self.text = "", ""  # characters behind the last commit
+        self.score, self.back, self.piece = [0], [0], [-1]  # of each boundary there
+        self.open: list[int] = []  # boundaries from which a piece may go on behind the last character
+        self.next = self.STEP
 
     def feed(self, part: str) -> list[int]:
         """Takes more text; returns the ids that no later text can change."""
-        self._grow(part)
-        ready = max(self.at, len(self.text) - self.v.longest + 1)
-        _push(self.v, self.raw, self.text, self.score, self.back, self.piece, self.at, ready)
-        self.at = ready
-        alive = {k for k in range(ready, len(self.text) + 1) if self.score[k] > _WORST}
-        while len(alive) > 1:
-            last = max(alive)
-            alive.discard(last)
-            alive.add(self.back[last])
-        (common,) = alive
-        out = _path(self.v, self.raw, self.back, self.piece, common)
-        if common:
-            self.raw, self.text, self.at = self.raw[common:], self.text[common:], self.at - common
-            self.score, self.piece = self.score[common:], [-1, *self.piece[common + 1 :]]
-            self.back = [0, *(max(k - common, 0) for k in self.back[common + 1 :])]
+        out: list[int] = []
+        raw, text = self.raw + part, self.text + part.replace(MARK, "\0").replace(" ", MARK)
+        score, back, piece, open_ = self.score, self.back, self.piece, self.open
+        table, scores, byte_score = self.v.table, self.v.scores, self.v.byte_score
+        at = len(score) - 1
+        while at < len(text):
+            best, begin, found = score[at] + byte_score * (1 if raw[at] < "\x80" else len(raw[at].encode())), at, -1
+            open_.append(at)
+            at += 1
+            on = []
+            for b in open_:  # the longest piece first; it wins over others of the same score
+                code = table.get(text[b:at])
+                if code is not None:
+                    if code >= 0:
+                        s = score[b] + scores[code >> 1]
+                        if s > best or (s == best and found < 0):
+                            best, begin, found = s, b, code >> 1
+                    if code & 1:
+                        on.append(b)
+            open_ = on
+            score.append(best)
+            back.append(begin)
+            piece.append(found)
+            if at >= self.next:
+                common = at
+                if open_:
+                    alive = {at, *open_}
+                    while len(alive) > 1:
+                        last = max(alive)
+                        alive.discard(last)
+                        alive.add(back[last])
+                    (common,) = alive
+                if common:
+                    out += self._path(raw, back, piece, common)
+                    raw, text, at = raw[common:], text[common:], at - common
+                    score, piece = score[common:], [-1, *piece[common + 1 :]]
+                    back = [0, *(max(k - common, 0) for k in back[common + 1 :])]
+                    open_ = [k - common for k in open_]
+                self.next = max(self.STEP, 2 * at)
+        self.raw, self.text, self.score, self.back, self.piece, self.open = raw, text, score, back, piece, open_
+        return out
+
+    def cut(self) -> list[int]:
+        """No piece crosses the present boundary, or the text ends here: all is certain."""
+        out = self._path(self.raw, self.back, self.piece, len(self.score) - 1)
+        self._restart()
         return out
 
-    def finish(self) -> list[int]:
-        _push(self.v, self.raw, self.text, self.score, self.back, self.piece, self.at, len(self.text))
-        self.at = len(self.text)
-        return _path(self.v, self.raw, self.back, self.piece, len(self.text))
+    def _path(self, raw: str, back: list[int], piece: list[int], boundary: int) -> list[int]:
+        out: list[int] = []
+        while boundary:
+            begin = back[boundary]
+            if piece[boundary] >= 0:
+                out.append(piece[boundary])
+            else:
+                out.extend(self.v.byte_ids[b] for b in reversed(raw[begin:boundary].encode()))
+            boundary = begin
+        return out[::-1]
 
 
 _parts = re.compile(r" *[^ ]+| +")
 
 
 class Encoder:
-    MOST = 1_000_000
-    SHORT = 48
-    STEP = 256
+    """Sends texts through one stream and keeps what it commits between cuts that are near each other."""
+
+    MOST = 1_000_000  # spans
+    SPAN = 48  # characters
+    FEED = 4096
 
     def __init__(self, path: str | None = None):
         self.v = vocabulary(path)
+        self.stream = StreamingViterbi(self.v)
         self.known: dict[str, bytes] = {}
+        self.streamed = 0  # characters that went through the stream
 
-    def part(self, text: str) -> bytes:
-        """Ids of a part that begins a word, or of the text's beginning."""
-        if len(text) <= self.SHORT:
-            return self._short(text)
-        search, ids = StreamingViterbi(self.v), []
-        for i in range(0, len(text), self.STEP):
-            ids += search.feed(text[i : i + self.STEP])
-        return np.array(ids + search.finish(), "<u4").tobytes()
-
-    def _short(self, raw: str) -> bytes:
-        """The same search over a part that fits into one window, without commits."""
-        n = len(raw)
-        score, back, piece = [0] + [_WORST] * n, [0] * (n + 1), [-1] * (n + 1)
-        _push(self.v, raw, _marked(raw), score, back, piece, 0, n)
-        return np.array(_path(self.v, raw, back, piece, n), "<u4").tobytes()
+    def span(self, text: str) -> bytes:
+        """Ids of the text between two cuts."""
+        self.streamed += len(text)
+        ids: list[int] = []
+        for i in range(0, len(text), self.FEED):
+            ids += self.stream.feed(text[i : i + self.FEED])
+        return np.array(ids + self.stream.cut(), "<u4").tobytes()
 
     def parts(self, text: str) -> list[str]:
         """The text cut at boundaries that no piece crosses."""
@@ -209,8 +203,8 @@ class Encoder:
         for p in parts:
             ids = known.get(p)
             if ids is None:
-                ids = self.part(p)
-                if len(p) <= self.SHORT:
+                ids = self.span(p)
+                if len(p) <= self.SPAN:
                     known[p] = ids
             out.append(ids)
         return b"".join(out)
@@ -219,12 +213,18 @@ class Encoder:
         return b"".join(map(self.v.bytes.__getitem__, ids)).decode()
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str | None) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
+
+
 def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
     """Adds ids (array<int>, null for null text)."""
     docs = docs.drop("ids") if text != "ids" else docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for b in chunks(batches, text):
             ids = [None if t is None else np.frombuffer(encoder(t), "<u4").astype(np.int32) for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, "ids"])
@@ -237,7 +237,7 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids") -> DataFr
     rows = rows.drop("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for b in batches:
             texts = [None if i is None else encoder.decode(i) for i in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "text"])
@@ -249,7 +249,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_ids, n_byte_ids, ids_crc32 (little-endian 32-bit ids) and round_trip: decoding gives the text back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         is_byte = np.zeros(len(encoder.v.bytes), bool)
         is_byte[list(encoder.v.byte_ids.values())] = True
         for b in chunks(batches):
