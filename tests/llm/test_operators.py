@@ -249,8 +249,9 @@ def test_pieces_round_trip_and_stream(docs, data, empty):
         want, s, out = np.frombuffer(e(t), "<u4").tolist(), pieces.StreamingViterbi(e.v), []
         for k in range(0, len(t), 5):
             out += s.feed(t[k : k + 5])
-            assert len(s.text) < 60 or len(set(t)) < 3  # a run of one character has no boundary that all paths share
-        assert out + s.finish() == want
+            assert len(s.open) <= e.v.longest
+            assert len(s.text) < 250 or len(set(t)) < 3  # a run of one character has no boundary that all paths share
+        assert out + s.cut() == want
     assert pieces.digests(empty).count() == 0
 
 
@@ -284,6 +285,30 @@ def test_pieces_are_the_best_path(data):
         assert np.frombuffer(e(t[:2000]), "<u4").tolist() == _best_path(e.v, t[:2000]), t[:80]
 
 
+def test_each_different_span_goes_through_the_stream(data):
+    e = pieces.Encoder()
+    spans = set()
+    for t in [t for _, t, *_ in data if t]:
+        e(t)
+        spans |= {p for p in e.parts(t) if len(p) <= e.SPAN}
+    long = sum(len(p) for _, t, *_ in data if t for p in e.parts(t) if len(p) > e.SPAN)
+    assert e.streamed == sum(map(len, spans)) + long
+    assert set(e.known) == spans
+
+
+def test_a_run_of_one_character_takes_linear_time():
+    import time
+
+    e = pieces.Encoder()
+    took = []
+    for n in (100_000, 1_000_000):
+        began = time.perf_counter()
+        ids = np.frombuffer(e("x" * n), "<u4")
+        took.append(time.perf_counter() - began)
+        assert e.decode(ids.tolist()) == "x" * n
+    assert took[1] < 25 * took[0] + 1
+
+
 def test_packing_covers_every_id_once(docs, data, empty):
     from tokenizers import Tokenizer
 
