@@ -3,14 +3,15 @@
 Each language has a probability for every piece of a fixed public vocabulary (and for every byte, so that any text has
 a segmentation). The probability of a word is the sum over all its segmentations into pieces, found by the forward
 algorithm; a text's is the product over its words. The forward pass runs once for each different word of a slice, over
-all words and languages at the same time.
+all words and languages at the same time; words of more than LONG bytes, which are few, come one by one, with sums that
+are rescaled as they grow, so that a word of any length is scored by all its segmentations.
 
 Piece probabilities are fitted by expectation-maximisation on a bounded sample of labelled training texts (the first
-`most` of each language by a hash of doc_id).
+`most` of each language by a hash of doc_id) and their words of up to LONG bytes.
 
 Edge cases: null text or text without a letter is `und` with score 0; without training texts every text is `und`; null
-lang is not learned; words longer than 64 bytes are scored by their pieces of 64 bytes; repeated rows are scored each;
-an empty table gives an empty result; other columns are ignored.
+lang is not learned; rows that repeat a doc_id count once in the sample and are scored each; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .pieces import vocabulary
 from .textops import LOWER, Words, chunks, powers, prefix_hash, span_hash, texts_of
 
 SLICE_BYTES = 2 << 20
-LONGEST_WORD = 64
+LONG = 40  # bytes with the space; shorter words' sums need no rescaling
 UND = "und"
 _SCALE = np.log(24.0)  # about the inverse probability of a byte: keeps forward sums near 1
 
@@ -38,8 +39,7 @@ class Pieces:
     def __init__(self, path: str | None = None):
         v = vocabulary(path)
         texts = sorted({bytes(LOWER[np.frombuffer(b, np.uint8)]) for b in v.bytes if b} | {bytes([b]) for b in range(256)})
-        texts = [t for t in texts if len(t) <= 16]
-        self.count, self.longest = len(texts), max(map(len, texts))
+        self.count, self.lengths = len(texts), sorted({len(t) for t in texts})
         joined = np.frombuffer(b"".join(texts), np.uint8)
         sizes = np.array([len(t) for t in texts])
         ends = np.cumsum(sizes)
@@ -56,7 +56,9 @@ class Pieces:
         for end in range(1, int(size[0]) + 1 if len(size) else 1):
             n = int(np.searchsorted(-size, -end, side="right"))
             here = []
-            for length in range(1, min(self.longest, end) + 1):
+            for length in self.lengths:
+                if length > end:
+                    break
                 b = begin[:n] + (end - length)
                 h = span_hash(prefix, b, b + length)
                 w = np.flatnonzero(self.maybe[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
@@ -70,6 +72,44 @@ class Pieces:
         return out
 
 
+    def ends(self, word: np.ndarray) -> Iterator[list[tuple[int, int]]]:
+        """For each end position of one word: (length, piece) of the pieces that end there."""
+        prefix = prefix_hash(word)
+        found = []
+        for length in self.lengths:
+            if length > len(word):
+                break
+            b = np.arange(len(word) - length + 1)
+            h = span_hash(prefix, b, b + length)
+            w = np.flatnonzero(self.maybe[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.hashes, h[w]), self.count - 1)
+            hit = self.hashes[at] == h[w]
+            found.append(np.stack([w[hit] + length, np.full(hit.sum(), length), self.ids[at[hit]]]))
+        end, length, piece = np.concatenate(found, axis=1)
+        order = np.argsort(end, kind="stable")
+        upto = np.searchsorted(end[order], np.arange(1, len(word) + 2))
+        length, piece = length[order].tolist(), piece[order].tolist()
+        for a, b in zip(upto[:-1].tolist(), upto[1:].tolist()):
+            yield list(zip(length[a:b], piece[a:b]))
+
+
+def forward_long(pieces: Pieces, word: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Log-probability of one word in each language, by a window of forward sums that is rescaled at each end position.
+    p: pieces x languages, scaled by exp(_SCALE) a byte."""
+    width = pieces.lengths[-1]
+    alpha = np.zeros((width, p.shape[1]))
+    alpha[0] = 1  # of end position e, in row e % width
+    log_scale = np.zeros(p.shape[1])
+    for end, here in enumerate(pieces.ends(word), 1):
+        now = sum((alpha[(end - length) % width] * p[piece] for length, piece in here), np.zeros(p.shape[1]))
+        alpha[end % width] = now
+        if end % 8 == 0:
+            top = np.maximum(alpha.max(axis=0), 1e-300)
+            alpha /= top
+            log_scale += np.log(top)
+    return np.log(alpha[len(word) % width]) + log_scale - _SCALE * len(word)
+
+
 def forward(lattice: list, n: int, p: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forward sums (end, word, language), scaled by exp(_SCALE) a byte, and the log-probability of each word.
     p: pieces x languages, already scaled."""
@@ -78,23 +118,15 @@ def forward(lattice: list, n: int, p: np.ndarray, size: np.ndarray) -> tuple[np.
     for end, here in enumerate(lattice):
         for length, w, ids in here:
             alpha[end, w] += alpha[end - length, w] * p[ids]
-    total = alpha[size, np.arange(n)]
-    with np.errstate(divide="ignore"):
-        return alpha, np.maximum(np.log(total), -700.0) - _SCALE * size[:, None]
+    return alpha, np.log(alpha[size, np.arange(n)]) - _SCALE * size[:, None]
 
 
 def distinct_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of the different words (a space, then the word in lower case), begin and size of each with falling size,
-    which of them each word is, and the row of each word. A long word comes as several."""
+    which of them each word is, and the row of each word."""
     raw = LOWER[raw]
     w = Words(raw, offsets)
     begin, end, row = w.begin, w.end, w.row
-    if len(begin) and (end - begin).max() >= LONGEST_WORD:
-        many = -(-(end - begin) // (LONGEST_WORD - 1))
-        k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        row = np.repeat(row, many)
-        first = np.repeat(begin, many)
-        begin, end = first + k * (LONGEST_WORD - 1), np.minimum(first + (k + 1) * (LONGEST_WORD - 1), np.repeat(end, many))
     _, at, back = np.unique(span_hash(prefix_hash(raw), begin, end), return_index=True, return_inverse=True)
     size = end[at] - begin[at]
     order = np.argsort(-size, kind="stable")
@@ -120,7 +152,10 @@ class Model:
             self.pieces = Pieces(self.path)
             self.p = np.exp(self.log_p + _SCALE * self.pieces.sizes[:, None])
         out = np.zeros((len(begin), len(self.langs)))
-        for a in range(0, len(begin), 20_000):
+        long = int(np.searchsorted(-size, -LONG, side="left"))
+        for k in range(long):
+            out[k] = forward_long(self.pieces, words[begin[k] : begin[k] + size[k]], self.p)
+        for a in range(long, len(begin), 20_000):
             b, s = begin[a : a + 20_000], size[a : a + 20_000]
             out[a : a + 20_000] = forward(self.pieces.lattice(words, b, s), len(b), self.p, s)[1]
         return out
@@ -139,6 +174,8 @@ def fit(texts: dict[str, list[str]], rounds: int = 4, path: str | None = None) -
         powers(len(raw) + 1)
         words, begin, size, which, _ = distinct_words(raw, np.array([0, len(raw)]))
         count = np.bincount(which, minlength=len(begin)).astype(float)
+        long = int(np.searchsorted(-size, -LONG, side="left"))
+        begin, size, count = begin[long:], size[long:], count[long:]
         p = np.full(pieces.count, 1.0 / pieces.count)
         # words of at most 15,000 at a time, so that the lattices stay small
         parts = [(slice(a, a + 15_000), pieces.lattice(words, begin[a : a + 15_000], size[a : a + 15_000])) for a in range(0, len(begin), 15_000)]
@@ -169,7 +206,9 @@ def train(docs: DataFrame, most: int = 250, path: str | None = None) -> Model |
     by = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = rows.withColumn("k", F.row_number().over(by)).filter(F.col("k") <= most).select("doc_id")
     texts: dict[str, list[str]] = {}
-    for r in docs.filter("lang is not null").join(F.broadcast(chosen.distinct()), "doc_id").select("lang", "text").collect():
+    sample = docs.filter("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    sample = sample.join(F.broadcast(chosen.distinct()), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x"))
+    for r in sample.orderBy("doc_id").select("x.lang", "x.text").collect():
         if r.text:
             texts.setdefault(str(r.lang), []).append(r.text)
     return fit(texts, path=path)

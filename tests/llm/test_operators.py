@@ -188,7 +188,7 @@ def test_forward_sums_all_segmentations():
     v = pieces.vocabulary()
     for b in {bytes(language_id.LOWER[np.frombuffer(x, np.uint8)]) for x in v.bytes if x} | {bytes([k]) for k in range(256)}:
         table[b] = None
-    names = sorted(t for t in table if len(t) <= 16)
+    names = sorted(table)
     where = {t: k for k, t in enumerate(names)}
 
     def total(s, k):
@@ -200,6 +200,62 @@ def test_forward_sums_all_segmentations():
         assert got[k] == pytest.approx(np.log(total(b" then", k)))
 
 
+def test_long_pieces_and_long_words_are_summed_whole():
+    model = language_id.fit({"a": ["the then internationalisation the"], "b": ["ten net tent"]})
+    p = language_id.Pieces()
+    assert p.lengths[-1] > 16
+    v = pieces.vocabulary()
+    names = sorted({bytes(language_id.LOWER[np.frombuffer(x, np.uint8)]) for x in v.bytes if x} | {bytes([k]) for k in range(256)})
+    where = {t: k for k, t in enumerate(names)}
+    longest = max((t for t in names if t.isascii() and b" " not in t.strip() and t.strip()), key=len)
+    assert len(longest) >= 16
+    rng = np.random.RandomState(4)
+    tests = [longest.strip(), b"x" + longest.strip() * 2, bytes(rng.choice(list(b"thenxyz"), 200)), b"the" * 30, b"q" * 300, b"a" * 39, b"a" * 40]
+    for word in tests:
+        words, begin, size, which, _ = language_id.distinct_words(np.frombuffer(word, np.uint8), np.array([0, len(word)]))
+        assert len(begin) == 1
+        got = model.word_scores(words, begin, size)[0]
+        s = b" " + word
+        for k in range(2):
+            log_a = [0.0]
+            for end in range(1, len(s) + 1):
+                terms = [log_a[a] + model.log_p[where[s[a:end]], k] for a in range(end) if s[a:end] in where]
+                log_a.append(max(terms) + np.log(sum(np.exp(x - max(terms)) for x in terms)))
+            assert got[k] == pytest.approx(log_a[-1], rel=1e-9)
+
+
+def test_language_id_predicts_as_brute_force_does(spark, data, docs):
+    """The whole query once more in plain Python, from the operator's piece probabilities."""
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in data}
+    texts = {}
+    for i, (t, lang) in {i: (t, lang) for i, t, lang, *_ in data if not held[i] and lang and t}.items():
+        texts.setdefault(lang, []).append((i, t))
+    model = language_id.fit({k: [t for _, t in sorted(x)] for k, x in texts.items()})
+    v = pieces.vocabulary()
+    names = sorted({bytes(language_id.LOWER[np.frombuffer(x, np.uint8)]) for x in v.bytes if x} | {bytes([k]) for k in range(256)})
+    log_p = {t: model.log_p[k] for k, t in enumerate(names)}
+    memo = {}
+
+    def score(word):
+        if word not in memo:
+            s, a = b" " + word, [np.zeros(len(model.langs))]
+            for end in range(1, len(s) + 1):
+                a.append(np.logaddexp.reduce([a[b] + log_p[s[b:end]] for b in range(end) if s[b:end] in log_p]))
+            memo[word] = a[-1]
+        return memo[word]
+
+    for r in language_id.identify(docs).collect():
+        t = dict((i, t) for i, t, *_ in data)[r.doc_id]
+        if not any(c.isalpha() for c in t or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        total = sum((score(w.encode()) for w in H.WORD.findall(H.lower(t))), np.zeros(len(model.langs))) + model.prior
+        p = np.exp(total - total.max())
+        p /= p.sum()
+        assert r.held_out == held[r.doc_id] and r.lang_pred == model.langs[int(p.argmax())]
+        assert r.score == pytest.approx(p.max(), rel=1e-6)
+
+
 def test_simhash_components_are_exact(docs, data, empty):
     got = simhash.components(docs)
     assert got.count() == len(data)
