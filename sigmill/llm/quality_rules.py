@@ -1,27 +1,37 @@
 """Quality rules with robust multivariate outliers (minimum covariance determinant).
 
-Every document gets length, symbol and repetition counts. The counts become a transformed statistic vector, and per
-(language, source) group a minimum-covariance-determinant estimate is found by distributed C-steps over all documents
-of the group: each step keeps the share `h` of nearest documents and takes their mean and covariance. A document whose
-squared Mahalanobis distance passes the cutoff is rejected.
+Every document gets length, symbol and repetition counts, which become a vector of transformed statistics:
+
+* the logarithm of its words, and its mean word length against the group's median in units of that mean's own error;
+* Freeman-Tukey roots (sqrt(k) + sqrt(k + 1), whose error is about one for any count) of symbols, repeated lines and
+  repeated windows, as counts in a text of up to a thousand words.
+
+For each (language, source) group the share `share` of documents whose covariance has the least determinant is searched
+for from several starts: the moments of all documents, and of random subsets. C-steps (the share of nearest documents
+gives the next mean and covariance) go on from the start with the least determinant until it falls no further. The result
+is made consistent for normal data, and a document whose squared Mahalanobis distance lies above the chi-squared quantile
+`level` is rejected. A statistic that most documents share exactly has no variance; so that no distance is infinite, every
+covariance gets the variance of the statistics' own rounding and counting error (ERROR), and the degrees of freedom of the
+quantile count only what variance there is besides.
 
 A C-step is one aggregation over (group, distance bin): the bins hold counts and moments, so a group that holds a third
 of all rows is combined map-side and no task or driver ever holds a group's documents.
 
 Edge cases: null or wordless text has zero counts and fails the base rules; null lang or source form their own groups;
-groups of fewer than `min_group` documents are pooled by language, then over all languages, and a pool that is still
-smaller rejects nothing; repeated rows count as often as they occur; an empty table gives an empty result; other
+groups of fewer than `min_group` documents that pass the base rules are pooled by language, then over all languages, and a
+pool that is still smaller rejects nothing; repeated rows count as often as they occur; an empty table gives an empty result; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import exp, lgamma, log
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize
@@ -98,48 +108,89 @@ def counts(docs: DataFrame) -> DataFrame:
     ).mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
-#: Transformed statistics, and for each the spread below which a difference is no sign of bad quality: the
-#: covariance gets its square added, so that a statistic that most documents share exactly can't reject by itself.
+_ROOT = "sqrt({0}) + sqrt({0} + 1)"
+_RATE = "{0} / (1 + n_words / 1000)"
+#: Transformed statistics, and the variance of each one's own error.
 FEATURES = {
-    "x0": ("ln(1 + n_words)", 0.5),
-    "x1": ("ln(greatest(word_chars, 1) / greatest(n_words, 1))", 0.12),
-    "x2": ("sqrt(n_symbols / greatest(word_chars, 1))", 0.05),
-    "x3": ("sqrt(n_dup_lines / greatest(n_words, 1))", 0.05),
-    "x4": ("n_repeat_words / greatest(n_words, 1)", 0.06),
+    "x0": ("ln(1 + n_words)", 0.01),
+    "x1": ("(word_length - median_length) / sqrt(1 / greatest(n_words, 1) + 0.005)", 0.01),
+    "x2": (_ROOT.format(_RATE.format("n_symbols")), 1.0),
+    "x3": (_ROOT.format(_RATE.format("n_dup_lines")), 1.0),
+    "x4": (_ROOT.format(_RATE.format(f"n_repeat_words / {WINDOW}")), 1.0),
 }
 _X = list(FEATURES)
+ERROR = np.diag([v for _, v in FEATURES.values()])
 _PAIRS = [(i, j) for i in range(len(_X)) for j in range(i, len(_X))]
 _BIN = 24.0  # bins for each unit of ln(1 + d2)
-
-
-def _estimate(rows: pd.DataFrame, keys: list[str], share: float, first: bool, consistency: float) -> pd.DataFrame:
+SUBSET = 24  # documents of a random start, about
+_PARAMS = "g_lang string, g_source string, start int, g_n long, log_det double, cutoff double, " + ", ".join(
+    [*(f"m{i} double" for i in range(len(_X))), *(f"v{i}_{j} double" for i, j in _PAIRS)]
+)
+
+
+def chi2_cdf(x: float, k: float) -> float:
+    """Chi-squared distribution with k degrees of freedom, by the series of the incomplete gamma function."""
+    if x <= 0:
+        return 0.0
+    a, x = k / 2, x / 2
+    term = total = 1 / a
+    n = a
+    while term > total * 1e-16:
+        n += 1
+        term *= x / n
+        total += term
+    return min(total * exp(a * log(x) - x - lgamma(a)), 1.0)
+
+
+def chi2_quantile(q: float, k: float) -> float:
+    low, high = 0.0, 10.0
+    while chi2_cdf(high, k) < q:
+        high *= 2
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi2_cdf(middle, k) < q else (low, middle)
+    return high
+
+
+def _estimate(rows: pd.DataFrame, share: float, level: float, last: bool) -> pd.DataFrame:
     """Mean and inverse covariance from the nearest bins that hold the share of a group."""
     rows = rows.sort_values("bin")
     n = rows["n"].sum()
-    upto = len(rows) if first else int(np.searchsorted(rows["n"].cumsum().to_numpy(), share * n)) + 1
-    part = rows.iloc[:upto]
+    part = rows.iloc[: int(np.searchsorted(rows["n"].cumsum().to_numpy(), share * n)) + 1]
     m = part["n"].sum()
     p = len(_X)
     mean = np.array([part[f"s{i}"].sum() / m for i in range(p)])
     cov = np.zeros((p, p))
     for i, j in _PAIRS:
         cov[i, j] = cov[j, i] = part[f"s{i}_{j}"].sum() / m - mean[i] * mean[j]
-    cov = cov * (1.0 if first else consistency) + np.diag([FEATURES[x][1] ** 2 for x in _X])
-    inverse = np.linalg.inv(cov)
-    out = {k: rows[k].iloc[:1].to_list() for k in keys} | {"g_n": [int(n)], "log_det": [float(np.linalg.slogdet(cov)[1])]}
+    log_det = float(np.linalg.slogdet(cov + ERROR)[1])
+    cutoff = 0.0
+    if last:
+        free = max(float(np.trace(cov @ np.linalg.inv(cov + ERROR))), 1.0)
+        held = min(m / n, 0.9999)
+        # the mean of squared distances within the nearest share of a normal cloud is less than all of its mean
+        cov = cov * (held / chi2_cdf(chi2_quantile(held, free), free + 2))
+        cutoff = chi2_quantile(level, free)
+    inverse = np.linalg.inv(cov + ERROR)
+    out = {k: rows[k].iloc[:1].to_list() for k in ("g_lang", "g_source", "start")} | {"g_n": [int(n)], "log_det": [log_det], "cutoff": [cutoff]}
     out |= {f"m{i}": [float(mean[i])] for i in range(p)} | {f"v{i}_{j}": [float(inverse[i, j])] for i, j in _PAIRS}
     return pd.DataFrame(out)
 
 
-def _estimator(keys: list[str], share: float, first: bool, consistency: float):
-    return lambda rows: _estimate(rows, keys, share, first, consistency)
+def _step(binned: DataFrame, share: float, level: float = 0.0, last: bool = False) -> DataFrame:
+    """Parameters of each group and start, from rows with a bin."""
+    sums = binned.groupBy("g_lang", "g_source", "start", "bin").agg(
+        F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(f"s{i}") for i, c in enumerate(_X)),
+        *(F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"s{i}_{j}") for i, j in _PAIRS),
+    )
+    made = sums.groupBy("g_lang", "g_source", "start").applyInPandas(lambda rows: _estimate(rows, share, level, last), _PARAMS)
+    return materialize(made, "quality-mcd")
 
 
-def mcd_distances(stats: DataFrame, steps: int = 4, share: float = 0.75, min_group: int = 50) -> DataFrame:
-    """Adds g_lang, g_source (the group used), g_n and d2, the squared robust distance."""
-    sizes = stats.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("g0"))
-    small = F.col("g0") < min_group
-    sizes = sizes.withColumns({"p_source": F.when(small, F.lit("(small)")).otherwise(F.concat(F.lit("="), F.coalesce("source", F.lit("(null)"))))})
+def _grouped(stats: DataFrame, min_group: int) -> DataFrame:
+    """Adds g_lang, g_source: the group, or the pool of a small one, by what passed the base rules."""
+    sizes = stats.groupBy("lang", "source").agg(F.count_if(~F.col("base_failed")).alias("g0"))
+    sizes = sizes.withColumn("p_source", F.when(F.col("g0") < min_group, F.lit("(small)")).otherwise(F.concat(F.lit("="), F.coalesce("source", F.lit("(null)")))))
     sizes = sizes.withColumn("p_lang", F.concat(F.lit("="), F.coalesce("lang", F.lit("(null)"))))
     pooled = sizes.groupBy("p_lang", "p_source").agg(F.sum("g0").alias("g1"))
     sizes = sizes.join(pooled, ["p_lang", "p_source"]).select(
@@ -147,40 +198,49 @@ def mcd_distances(stats: DataFrame, steps: int = 4, share: float = 0.75, min_gro
         F.when(F.col("g1") < min_group, F.lit("(small)")).otherwise(F.col("p_lang")).alias("g_lang"),
         F.when(F.col("g1") < min_group, F.lit("(small)")).otherwise(F.col("p_source")).alias("g_source"),
     )
-    x = stats.join(sizes, F.col("lang").eqNullSafe(F.col("k_lang")) & F.col("source").eqNullSafe(F.col("k_source")), "left").drop("k_lang", "k_source")
-    x = materialize(x.withColumns({k: F.expr(e) for k, (e, _) in FEATURES.items()}), "quality-stats")
+    return stats.join(sizes, F.col("lang").eqNullSafe(F.col("k_lang")) & F.col("source").eqNullSafe(F.col("k_source")), "left").drop("k_lang", "k_source")
+
+
+def mcd(stats: DataFrame, starts: int = 5, share: float = 0.75, level: float = 0.999999, min_group: int = 50, most_steps: int = 30) -> tuple[DataFrame, DataFrame]:
+    """The rows with their group (g_lang, g_source) and transformed statistics, and each group's parameters."""
     keys = ["g_lang", "g_source"]
-    p = len(_X)
-    # the mean of squared distances within the nearest share of a normal cloud is below p; this factor undoes it
-    consistency = {0.75: 1.57}.get(share, 1.0 / share)
-    params = None
-    for step in range(steps + 1):
-        binned = x.withColumn("bin", F.lit(0)) if params is None else _distance(x, params, keys).withColumn("bin", F.floor(F.log1p("d2") * _BIN).cast("int"))
-        sums = binned.filter("not base_failed").groupBy(*keys, "bin").agg(
-            F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(f"s{i}") for i, c in enumerate(_X)),
-            *(F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"s{i}_{j}") for i, j in _PAIRS),
-        )
-        schema = "g_lang string, g_source string, g_n long, log_det double, " + ", ".join([*(f"m{i} double" for i in range(p)), *(f"v{i}_{j} double" for i, j in _PAIRS)])
-        first = params is None
-        params = materialize(sums.groupBy(*keys).applyInPandas(_estimator(keys, share, first, consistency), schema), "quality-mcd")
-    return _distance(x, params, keys)
-
-
-def _distance(x: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
-    joined = x.join(params, keys, "left")
+    x = _grouped(stats, min_group).withColumn("word_length", F.expr("ln(greatest(word_chars, 1) / greatest(n_words, 1))"))
+    x = materialize(x, "quality-groups")
+    middle = x.filter("not base_failed").groupBy(*keys).agg(F.percentile_approx("word_length", 0.5).alias("median_length"), F.count(F.lit(1)).alias("all"))
+    x = x.join(middle, keys, "left").withColumns({k: F.expr(e) for k, (e, _) in FEATURES.items()})
+    every = F.greatest(F.floor(F.col("all") / SUBSET), F.lit(1)).cast("long")
+    begins = F.array(*(F.when(F.lit(s) == 0, F.lit(True)).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(s)), every) == 0) for s in range(starts)))
+    x = materialize(x.withColumn("begins", begins).drop("word_length", "median_length", "all"), "quality-stats")
+    good = x.filter("not base_failed")
+    params = _step(good.withColumn("start", F.explode(F.filter(F.sequence(F.lit(0), F.lit(starts - 1)), lambda s: F.element_at("begins", s + 1)))).withColumn("bin", F.lit(0)), share)
+    for _ in range(2):
+        params = _step(_binned(good, params), share)
+    params = params.groupBy(*keys).agg(F.min_by(F.struct(*(c for c in params.columns if c not in keys)), F.struct("log_det", "start")).alias("p")).select(*keys, "p.*")
+    params = materialize(params, "quality-mcd")
+    for _ in range(most_steps):
+        before, params = params, _step(_binned(good, params), share)
+        fall = before.select(*keys, F.col("log_det").alias("was")).join(params, keys).agg(F.max(F.col("was") - F.col("log_det"))).first()[0]
+        if fall is None or fall < 1e-4:
+            break
+    return x, _step(_binned(good, params), share, level, True)
+
+
+def _distance() -> Column:
     d = {i: F.col(_X[i]) - F.col(f"m{i}") for i in range(len(_X))}
-    d2 = sum((d[i] * d[j] * F.col(f"v{i}_{j}") * (1 if i == j else 2) for i, j in _PAIRS), F.lit(0.0))
-    return joined.withColumn("d2", F.greatest(d2, F.lit(0.0))).select(*x.columns, "g_n", "d2")
+    return F.greatest(sum((d[i] * d[j] * F.col(f"v{i}_{j}") * (1 if i == j else 2) for i, j in _PAIRS), F.lit(0.0)), F.lit(0.0))
 
 
-#: Chi-squared quantile of five degrees of freedom at 0.999999.
-CUTOFF = 37.0
+def _binned(x: DataFrame, params: DataFrame) -> DataFrame:
+    joined = x.join(params, ["g_lang", "g_source"])
+    return joined.select("g_lang", "g_source", "start", *_X, F.floor(F.log1p(_distance()) * _BIN).cast("int").alias("bin"))
 
 
-def judge(docs: DataFrame, cutoff: float = CUTOFF, steps: int = 4, share: float = 0.75, min_group: int = 50) -> DataFrame:
-    """doc_id, the counts, base_failed, kept, and the robust distance d2 (null where no group is large enough)."""
+def judge(docs: DataFrame, starts: int = 5, share: float = 0.75, level: float = 0.999999, min_group: int = 50) -> DataFrame:
+    """doc_id, the counts, base_failed, kept, the robust distance d2 and the group's cutoff (null where no group is large
+    enough)."""
     base = counts(docs).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
     base = materialize(base, "quality-counts")  # one pass over the texts
-    seen = mcd_distances(base, steps, share, min_group)
-    d2 = F.when(F.col("g_n") >= min_group, F.col("d2"))
-    return seen.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & ~F.coalesce(d2 > cutoff, F.lit(False))).alias("kept"), d2.alias("d2"))
+    x, params = mcd(base, starts, share, level, min_group)
+    x = x.join(params.filter(F.col("g_n") >= min_group), ["g_lang", "g_source"], "left")
+    d2 = F.when(F.col("cutoff").isNotNull(), _distance())
+    return x.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & ~F.coalesce(d2 > F.col("cutoff"), F.lit(False))).alias("kept"), d2.alias("d2"), "cutoff")

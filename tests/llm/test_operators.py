@@ -53,6 +53,60 @@ def test_quality_rejects_an_outlier(spark):
     assert not got[999].kept
 
 
+def _least_determinant(x, share, starts=300):
+    """Exact C-steps from many random starts."""
+    rng, best = np.random.RandomState(0), None
+    h = int(np.ceil(share * len(x)))
+    for k in range(starts):
+        s = x if not k else x[rng.choice(len(x), 12, replace=False)]
+        m, c = s.mean(0), np.cov(s.T, bias=True) + quality_rules.ERROR
+        for _ in range(50):
+            d = np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m)
+            near = x[np.argsort(d)[:h]]
+            m, c = near.mean(0), np.cov(near.T, bias=True) + quality_rules.ERROR
+        det = np.linalg.slogdet(c)[1]
+        if best is None or det < best[0]:
+            best = (det, m, c - quality_rules.ERROR)
+    return best
+
+
+def test_quality_distances_match_a_brute_force_determinant_search(spark):
+    rng = np.random.RandomState(3)
+    rows = []
+    for i in range(160):
+        n = int(np.exp(rng.normal(4.6, 0.5))) + 20
+        words = ["abcdefghijkl"[: 2 + k] + f"{j}" for j, k in enumerate(rng.randint(0, 8, n))]
+        if i % 10 == 3:  # moderate outliers: longer words and symbols
+            words = [w + "#" * (j % 3 == 0) + "zzz" for j, w in enumerate(words)]
+        rows.append((i, " ".join(words), "en", "s", None, 0, 0.0, 0, "", 0))
+    base = quality_rules.counts(H.frame(spark, rows)).withColumn("base_failed", quality_rules.F.lit(False))
+    x, params = quality_rules.mcd(base)
+    (p,) = params.collect()
+    table = x.toPandas().sort_values("doc_id")
+    at = table[["x0", "x1", "x2", "x3", "x4"]].to_numpy()
+    det, m, c = _least_determinant(at, 0.75)
+    assert p.log_det <= det + 0.2  # whole bins hold a few more than the share
+    free = max(np.trace(c @ np.linalg.inv(c + quality_rules.ERROR)), 1)
+    c = c * 0.75 / quality_rules.chi2_cdf(quality_rules.chi2_quantile(0.75, free), free + 2) + quality_rules.ERROR
+    d2 = np.einsum("ni,ij,nj->n", at - m, np.linalg.inv(c), at - m)
+    cut = quality_rules.chi2_quantile(0.999999, free)
+    assert p.cutoff == pytest.approx(cut, rel=0.05)
+    got = by_id(quality_rules.judge(H.frame(spark, rows)))
+    for i in range(160):
+        assert got[i].d2 == pytest.approx(d2[i], rel=0.5, abs=1.0)
+        if abs(np.log(d2[i] / cut)) > 0.5:
+            assert got[i].kept == (d2[i] <= cut)
+        assert got[i].kept == (i % 10 != 3)
+    clean = np.array([got[i].d2 for i in range(160) if i % 10 != 3])
+    assert abs(np.median(clean) - quality_rules.chi2_quantile(0.5, free)) < 0.6
+
+
+def test_chi_squared():
+    assert quality_rules.chi2_quantile(0.75, 5) == pytest.approx(6.6257, abs=1e-4)
+    assert quality_rules.chi2_quantile(0.999999, 5) == pytest.approx(35.888, abs=1e-3)
+    assert quality_rules.chi2_cdf(2.0, 2) == pytest.approx(1 - np.exp(-1))
+
+
 def test_posting_lists_match_brute_force(spark):
     rng = np.random.RandomState(5)
     x = rng.randn(900, 12).astype(np.float32)
