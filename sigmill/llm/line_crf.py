@@ -183,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000) -> tuple[np.ndar
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(blobs, pa.binary())], names=["doc_id", "quality", "x"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x binary").filter("length(x) > 0").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = texts.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x binary").filter("length(x) > 0")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("r")).orderBy("doc_id").select("r.*").collect()
     if not rows:
         return None
     parts = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES + 1) for r in rows]

@@ -47,6 +47,7 @@ CHUNK_TEXT = 6 << 20  # text bytes of a chunk of documents, about
 COMBINE = 2_000_000  # anchors that a task combines before it sends them
 SLICE = 1 << 20
 FLAG_BITS = 40
+ADDED = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "_chunk")
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -521,5 +522,5 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The columns of docs with the removed bytes cut from text (a character that a cut divides goes too), and n_bytes,
-    n_removed, n_spans, kept_sha256 (of the exact remaining bytes)."""
-    return _run(docs, [c for c in docs.columns if c not in ("text", "_chunk")], True)
+    n_removed, n_spans, kept_sha256 (of the exact remaining bytes); columns of these names, and of the name _chunk, go."""
+    return _run(docs, [c for c in docs.columns if c != "text" and c.lower() not in ADDED], True)

@@ -43,3 +43,19 @@ def test_stages_keep_columns_and_cut_repeats(spark, tmp_path):
     assert set(pieces.doc_id.dropna()) == set(seen["suffix_dedup"]) - {None}
     total = cp.run(spark, str(tmp_path)).toPandas()
     assert len(total) == len(pieces) and total.length.sum() == pieces.length.sum()
+
+
+def test_columns_of_any_name_and_tables_without_n_chars(spark, tmp_path):
+    names = "score, n_bytes, n_removed, n_spans, kept_sha256, _chunk, kept, gone, group_id, rank, d2, id"
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(i, f"{text} {i} {i + 1} x{i}.", "en", *([i] * 12)) for i in range(12)] + [(None, None, None, *([None] * 12)), (20, "", "en", *([0] * 12)), (3, "a repeated id", "en", *([1] * 12))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"`{c}` int" for c in names.split(", ")))
+    docs = docs.withColumn("source", cp.F.lit("s"))
+    spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        for r in out.filter("doc_id < 12 and score > 1").collect():
+            assert r["n_bytes"] == r["_chunk"] == r["score"] == r["id"]
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= 13
