@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmill.llm import line_crf, near_copies, packing, quality_rules, suffix_dedup
-from sigmill.llm.shared import materialize
+from sigmill.llm.shared import materialize, set_aside
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,18 +22,23 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Documents that the line model predicts bad go; it learns from labels of documents that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~line_crf.is_held_out("doc_id", 5, 0))
     model = line_crf.train(docs, labels)
-    return line_crf.score(docs, model, tuple(docs.columns)).filter(F.col("score") >= line_crf.THRESHOLD).select(*docs.columns)
+    docs, own = set_aside(docs, "score")
+    return line_crf.score(docs, model, tuple(docs.columns)).filter(F.col("score") >= line_crf.THRESHOLD).select(*own)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id stays. SimHash links
+    come first, an exact join finds the pairs that they miss."""
     return near_copies.keep_one(docs)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes that an earlier document has are cut from the texts."""
+    docs, own = set_aside(docs, *suffix_dedup.ADDED)
     cut = suffix_dedup.dedup(docs)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*own)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
