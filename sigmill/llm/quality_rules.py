@@ -8,7 +8,8 @@ Every document gets length, symbol and repetition counts, which become a vector
 
 For each (language, source) group the share `share` of documents whose covariance has the least determinant is searched
 for from several starts: the moments of all documents, and of random subsets. C-steps (the share of nearest documents
-gives the next mean and covariance) go on from the start with the least determinant until it falls no further. The result
+gives the next mean and covariance) go on from the start with the least determinant, `most_steps` of them or until it
+falls no further in any group, which a handful does. The result
 is made consistent for normal data, and a document whose squared Mahalanobis distance lies above the chi-squared quantile
 `level` is rejected. A statistic that most documents share exactly has no variance; so that no distance is infinite, every
 covariance gets the variance of the statistics' own rounding and counting error (ERROR), and the degrees of freedom of the
@@ -201,7 +202,7 @@ def _grouped(stats: DataFrame, min_group: int) -> DataFrame:
     return stats.join(sizes, F.col("lang").eqNullSafe(F.col("k_lang")) & F.col("source").eqNullSafe(F.col("k_source")), "left").drop("k_lang", "k_source")
 
 
-def mcd(stats: DataFrame, starts: int = 5, share: float = 0.75, level: float = 0.999999, min_group: int = 50, most_steps: int = 30) -> tuple[DataFrame, DataFrame]:
+def mcd(stats: DataFrame, starts: int = 5, share: float = 0.75, level: float = 0.999999, min_group: int = 50, most_steps: int = 6) -> tuple[DataFrame, DataFrame]:
     """The rows with their group (g_lang, g_source) and transformed statistics, and each group's parameters."""
     keys = ["g_lang", "g_source"]
     x = _grouped(stats, min_group).withColumn("word_length", F.expr("ln(greatest(word_chars, 1) / greatest(n_words, 1))"))
@@ -220,7 +221,7 @@ def mcd(stats: DataFrame, starts: int = 5, share: float = 0.75, level: float = 0
     for _ in range(most_steps):
         before, params = params, _step(_binned(good, params), share)
         fall = before.select(*keys, F.col("log_det").alias("was")).join(params, keys).agg(F.max(F.col("was") - F.col("log_det"))).first()[0]
-        if fall is None or fall < 1e-4:
+        if fall is None or fall < 1e-3:
             break
     return x, _step(_binned(good, params), share, level, True)
 
