@@ -6,8 +6,9 @@ start at any record. Of records with equal payloads the one with the smallest pa
 revisit records that refer to it and keep the HTTP header only. Archives go to the shared folder under a name of their
 own for each task attempt; the manifest, written by Spark, names those of the attempts that counted.
 
-Which payloads repeat is found from digests and page_ids alone. Payloads stay where they are read, and only what is said
-of pages that are not the only one with their payload is sent back to them.
+Which payloads repeat is found from digests and page_ids alone, and only what is said of pages that are not the first with
+their payload is joined to the payloads, by page_id: a payload that very many pages share makes no large group, and where
+the repeats are few Spark broadcasts them and payloads stay where they are read.
 
 Edge cases: null html is an empty payload; empty payloads are equal to each other; rows that repeat the smallest
 page_id of their payload are responses each; a null page_id is a response only where no row of the payload has one;
@@ -135,7 +136,6 @@ def read_archive(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def with_originals(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, refers_to (null for responses)."""
-    spark = pages.sparkSession
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     prints = materialize(p.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size")), "payload-digests")
