@@ -35,6 +35,16 @@ def gated(aggregate: Column, counted: Column, window: WindowSpec, least: int) ->
     return F.when(F.count(counted).over(window) >= least, aggregate.over(window))
 
 
+def running(x: Column) -> Column:
+    """Sum of the ticker's values up to this row, null ones counting as zero."""
+    return F.sum(F.coalesce(x, F.lit(0.0))).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0))
+
+
+def within(total: str, rows: int) -> Column:
+    """The sum over the last `rows` rows, by the running sum of that name: constant work a row, however long the window."""
+    return F.col(total) - F.coalesce(F.lag(total, rows).over(by_ticker()), F.lit(0.0))
+
+
 def clip(x: Column, low: Column, high: Column) -> Column:
     """x within [low, high]; null stays null, and a null bound does not bind."""
     return F.when(x.isNotNull(), F.least(F.greatest(x, low), high))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import clip
+from ..sources.stage import staged
 from .panel import month_end_rows
 
 DATE = ("date",)
@@ -67,10 +68,12 @@ def add_groups(df: DataFrame) -> DataFrame:
     })
 
 
-def demean_by(column: str, group: str) -> Column:
-    """The residual on one group's dummies, which is x less the group's mean. A null group counts as the first one."""
+def demean_by(column: str, group: str, first: str, least: int = 2) -> Column:
+    """The residual on one group's dummies, which is x less the group's mean. A null group counts as `first`; dates with
+    fewer than `least` values have none."""
     x = F.col(column)
-    return x - F.avg(x).over(Window.partitionBy("date", group))
+    own = F.avg(x).over(Window.partitionBy("date", F.coalesce(F.col(group).cast("string"), F.lit(first))))
+    return F.when(F.count(x).over(Window.partitionBy("date")) >= least, x - own)
 
 
 def _residuals(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
@@ -120,11 +123,17 @@ def neutralize(df: DataFrame, factors: list[str], by: list[str], mode: str = "dr
     """Adds <factor>_neu: per-date residuals on intercept and dummies of `by`.
 
     drop_first: a null level shares the baseline, the first level of the whole table. full: all levels get a dummy, null
-    rows none, `numeric` columns enter as they are, and a date needs more rows than columns. Levels come from one small
-    distinct per column, as codes; a task gets a month of names and slices it by date."""
+    rows none, `numeric` columns enter as they are, and a date needs more rows than columns. The table is staged once, its
+    levels come from one aggregation, as codes. With one key and no ridge the residuals are differences from group means;
+    else a task gets a month of names and slices it by date."""
+    df = staged(df, "neutralize")
+    found_all = df.agg(*(F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(c) for c in by)).first()  # a row of levels
+    if len(by) == 1 and mode == "drop_first" and not ridge and not numeric:
+        first = (found_all[0] or [""])[0]
+        return df.withColumns({f"{f}_neu": demean_by(f, by[0], first, least) for f in factors})
     levels = []
     for k, c in enumerate(by):
-        found = [r[0] for r in df.select(F.col(c).cast("string")).distinct().dropna().orderBy(c).collect()]
+        found = found_all[k]
         levels.append(len(found))
         code = F.array_position(F.array(*map(F.lit, found)), F.col(c).cast("string")) - 1 if found else F.lit(-1)
         df = df.withColumn(f"_c{k}", F.coalesce(code, F.lit(-1)).cast("int"))

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import by_ticker, gated, ratio, trailing
+from ..functions.numbers import by_ticker, gated, ratio, running, trailing, within
 
 RATIOS = (2, 3, 5, 10)
 HORIZONS = (1, 5, 21, 40)
 
 
-
 def daily_return(price: str = "price_eur", window=None) -> Column:
     return ratio(F.col(price), F.lag(price).over(window or by_ticker())) - 1
 
@@ -31,17 +30,26 @@ def add_returns(bars: DataFrame) -> DataFrame:
     return bars.withColumns({"ret_1d_eur": daily_return(), "turnover_eur": F.col("price_eur") * F.coalesce("volume", F.lit(0.0))})
 
 
+def deviation(rows: int, least: int) -> Column:
+    """Sample deviation of the returns in the last `rows` rows, from running sums _n, _s and _ss. Daily returns lie near
+    zero, so their squares need no centring."""
+    n, s, ss = (within(c, rows) for c in ("_n", "_s", "_ss"))
+    spread = F.greatest(ss - s * s / n, F.lit(0.0)) / (n - 1)
+    return F.when(n >= least, F.sqrt(spread))
+
+
 def add_factors(bars: DataFrame) -> DataFrame:
     """Momentum, reversal, volatility, size, liquidity and lottery factors of every row."""
     p, r, t = F.col("price_eur"), F.col("ret_1d_eur"), F.col("turnover_eur")
     df = add_returns(bars).withColumn("_illiq", ratio(F.abs(r), F.nullif(t, F.lit(0.0))))
+    df = df.withColumns({"_n": running(r.isNotNull().cast("double")), "_s": running(r), "_ss": running(r * r)})
     zero = (F.coalesce(r, F.lit(0.0)) == 0).cast("double")
     df = df.withColumns({
         "mom_12_1": past_return(21, 273),
         "mom_6_1": past_return(21, 147),
         "ret_5d": F.when(F.lag(p, 5).over(by_ticker()).isNotNull(), past_return(0, 5)),
-        "vol_60d": gated(F.stddev_samp(r), r, trailing(60), 40),
-        "vol_252d": gated(F.stddev_samp(r), r, trailing(252), 200),
+        "vol_60d": deviation(60, 40),
+        "vol_252d": deviation(252, 200),
         "adv_eur_20": gated(F.avg(t), t, trailing(20), 10),
         "hi52_prox": ratio(p, gated(F.max(p), p, trailing(252), 20)) - 1,
         "amihud_20d": gated(F.avg("_illiq"), F.col("_illiq"), trailing(20), 10),
@@ -53,7 +61,7 @@ def add_factors(bars: DataFrame) -> DataFrame:
         "size_proxy": F.ln(F.nullif(F.col("adv_eur_20"), F.lit(0.0))),
         "liq_proxy": -F.ln(F.nullif(F.col("amihud_20d"), F.lit(0.0))),
         "max5_21d": _largest_mean(F.col("_recent"), 5),
-    }).drop("_illiq", "_recent")
+    }).drop("_illiq", "_recent", "_n", "_s", "_ss")
 
 
 def detect_splits(bars: DataFrame, tolerance: float = 0.02) -> DataFrame:

@@ -101,6 +101,14 @@ def s3_export_round_trip(spark, d):
     return io.load_exports(spark, folder)["panel"].select("date", "ticker", "price_eur", "volume")
 
 
+@query(f"with {PRICES_SQL} select {K}, {r('price_eur', 'volume')} from prices")
+def s1_read_csv(spark, d):
+    """Exports the bars and reads their CSV."""
+    base = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    io.export(fx.prices(spark, d), base)
+    return io.read_csv_flex(spark, f"{base}.csv", "date date, ticker string, price_eur double, volume double").select("date", "ticker", "price_eur", "volume")
+
+
 # projections and filters
 
 
@@ -180,6 +188,15 @@ def p10_effective_return(spark, d):
     return panel.effective_return(_with_country(spark, d)).select("date", "ticker", "ret_effective")
 
 
+_ALL = ["mom_12_1", "mom_6_1", "vol_60d", "vol_252d", "adv_eur_20", "hi52_prox", "amihud_20d", "zero_ret_20d", "rev_5d", "size_proxy", "liq_proxy", "max5_21d"]
+
+
+@query(f"with {FACTORS_SQL} " + " union all ".join(f"select '{f}' as factor, count({f}) as non_null from factors" for f in _ALL))
+def p11_factor_columns(spark, d):
+    df = built(spark, d)
+    return statistics.completeness(df, panel.factor_columns(df)).select("factor", "non_null")
+
+
 @query(f"with {_RAW_SQL} select ticker, date, count(*) as n_rows from raw where date is not null group by 1, 2 having count(*) > 1")
 def p13_key_faults(spark, d):
     return panel.key_faults(_raw(spark, d).select(F.col("Ticker_YF").alias("ticker"), cal.to_date(F.col("Date")).alias("date")).dropna())
@@ -383,10 +400,15 @@ def a16_newey_west(spark, d):
     return statistics.newey_west(_ic(spark, d), 39).select("factor", F.col("t_NW").alias("t_nw"))
 
 
-@query()
+#: erfc(z) = 1 - 2 / sqrt(pi) * exp(-z * z) * sum of 4^k * k! / (2k + 1)! * z^(2k + 1); SQL has no erfc.
+_ERFC = "1 - 2 / sqrt(pi()) * exp(-t_nw * t_nw / 2) * list_sum(list_transform(range(0, 80), lambda k: pow(4.0, k) * gamma(k + 1) / gamma(2 * k + 2) * pow(abs(t_nw) / sqrt(2.0), 2 * k + 1)))"
+
+
+@query(f"""with {_SUM_SQL}, pv as (select factor, case when abs(t_nw) > 6 then 0.0 when t_nw is not null then {_ERFC} end as p from summ),
+o as (select *, row_number() over (order by coalesce(p, 1), factor) as i, count(*) over () as m from pv)
+select factor, {r('p')}, round(least(1.0, min(m * coalesce(p, 1) / i) over (order by i desc rows between unbounded preceding and current row)), {DIGITS}) + 0.0 as q from o""")
 def a17_significance(spark, d):
-    """Two-sided p values need erfc, which SQL lacks."""
-    return statistics.ic_significance(_ic(spark, d), "M", 40)
+    return statistics.ic_significance(_ic(spark, d), "M", 40).select("factor", F.col("p_NW").alias("p"), F.col("q_BH").alias("q"))
 
 
 _PSQL = f"{_IC_SQL}, p as (select factor, 1 - avg(case when ic > 0 then 1.0 else 0.0 end) as p, avg(ic) as mean from ic where ic is not null group by 1), o as (select *, row_number() over (order by p, factor) as i, count(*) over () as m from p), bh as (select factor, mean, least(1.0, min(m * p / i) over (order by i desc rows between unbounded preceding and current row)) as q from o)"
@@ -633,9 +655,14 @@ def n4_neutralize_and_z(spark, d):
     return xs.neutralize_and_z(built(spark, d), ["mom_6_1", "vol_60d"], ["country", "supersector"]).select("date", "ticker", "mom_6_1_z", "mom_6_1_neu_z", "vol_60d_z", "vol_60d_neu_z")
 
 
-@query(f"with {_EOM_SQL} select {K}, {r(*_ZN)} from z")
+_NEU = ", ".join(f"case when count({f}) over (partition by date) >= 2 then {f} - avg({f}) over (partition by date, coalesce(country, 'AFRICA')) end as {f}_neu" for f in _ZS)
+_NEU_Z = ", ".join(f"round(case when stddev_pop({f}_neu) over w = 0 then {f}_neu * 0.0 else ({f}_neu - avg({f}_neu) over w) / stddev_pop({f}_neu) over w end, 6) + 0.0 as {f}_neu_z" for f in _ZS)
+
+
+@query(f"with {_EOM_SQL}, neu as (select date, ticker, {_NEU} from eom), nz as (select date, ticker, {_NEU_Z} from neu window w as (partition by date)) select z.date, z.ticker, {r(*_ZN)}, {', '.join(f'{z[:-2]}_neu_z' for z in _ZN)} from z join nz on z.date = nz.date and z.ticker = nz.ticker")
 def n5_month_end_scores(spark, d):
-    return xs.month_end_scores(built(spark, d), _ZS, ["country", "supersector"]).select("date", "ticker", *_ZN)
+    out = xs.month_end_scores(built(spark, d), _ZS, ["country"])
+    return out.select("date", "ticker", *_ZN, *((F.round(f"{f}_neu_z", 6) + 0.0).alias(f"{f}_neu_z") for f in _ZS))
 
 
 def _scored(spark, d):
@@ -714,20 +741,37 @@ def j10_attach_folds(spark, d):
     return folds.attach_folds(p, folds.time_blocks(p), "train").select("fold", "date", "ticker")
 
 
+@query(f"with {_BETA_SQL} select {K}, {r('beta_60')}, round(case when country is not null then mom_6_1 - median(mom_6_1) over (partition by date, country) end, {DIGITS}) + 0.0 as country_rel_mom_6_1 from betas")
+def d1_build_factors(spark, d):
+    """The whole build job, two of its columns."""
+    from . import jobs
+
+    return jobs.build_factors(fx.bars(spark, d), fx.index_prices(spark, d)).select("date", "ticker", "beta_60", "country_rel_mom_6_1")
+
+
 @query()
 def v2_walk_forward(spark, d):
     """Performance by fold and strategy; its parts have their own oracles."""
     from . import jobs
 
-    return jobs.walk_forward(built(spark, d), _ZS)[1]
+    return jobs.walk_forward(built(spark, d), _ZS)["cv_oos_summary_by_fold"]
+
+
+@query()
+def a23_oos_summary(spark, d):
+    """Performance by strategy over all test months."""
+    from . import jobs
+
+    return jobs.walk_forward(built(spark, d), _ZS)["cv_oos_summary_overall"]
 
 
 @query()
 def d3_research(spark, d):
-    """The whole-sample research job's performance table."""
+    """The whole-sample research job's performance table, over the months' universe."""
     from . import jobs
 
-    return jobs.research(built(spark, d), _ZS)["performance"]
+    df = built(spark, d)
+    return jobs.research(df, _ZS, universe=panel.universe_monthly(df))["IS_summary_overall"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
