@@ -404,7 +404,7 @@ def a16_newey_west(spark, d):
 _ERFC = "1 - 2 / sqrt(pi()) * exp(-t_nw * t_nw / 2) * list_sum(list_transform(range(0, 80), lambda k: pow(4.0, k) * gamma(k + 1) / gamma(2 * k + 2) * pow(abs(t_nw) / sqrt(2.0), 2 * k + 1)))"
 
 
-@query(f"""with {_SUM_SQL}, pv as (select factor, case when abs(t_nw) > 6 then 0.0 when t_nw is not null then {_ERFC} end as p from summ),
+@query(f"""with {_SUM_SQL}, pv as (select factor, case when abs(t_nw) > 6 then 0.0 when t_nw is not null then {_ERFC} end as p from (select distinct factor from ic) left join summ using (factor)),
 o as (select *, row_number() over (order by coalesce(p, 1), factor) as i, count(*) over () as m from pv)
 select factor, {r('p')}, round(least(1.0, min(m * coalesce(p, 1) / i) over (order by i desc rows between unbounded preceding and current row)), {DIGITS}) + 0.0 as q from o""")
 def a17_significance(spark, d):
