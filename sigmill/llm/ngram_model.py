@@ -10,9 +10,10 @@ Scoring: workers map the arrays of the shared folder into memory and look up eac
 every order.
 
 What is sent is small because a blob names each of its words once and is sorted: n-grams are the places of their words
-among these, as differences. What is stored is small because a shard's arrays hold 48 bits of a key besides those that
-chose the shard (two n-grams of a shard of two million are taken for one with a chance of one in a hundred million), and
-its counts as places in the list of its different counts.
+among these, as differences, whose bytes are compressed by their rank. What is stored is small because a shard's keys are
+dealt by their upper bits to buckets of some 16 to 32, and only the 32 bits that follow are kept of each (an n-gram that is
+not there is taken for one that is with a chance of less than one in a hundred million), and counts are places in the list
+of the shard's different counts.
 
 Edge cases: null, empty or wordless text is the end token alone; words before a text's first are start tokens; repeated
 rows are counted and scored each; a null doc_id is not held out; with no training text all probabilities are uniform over
@@ -78,7 +79,8 @@ def tokens(raw: np.ndarray, offsets: np.ndarray, order: int) -> tuple[list[np.nd
 
 
 def pack_columns(*columns: np.ndarray) -> bytes:
-    """Columns of one blob, each in the smallest type that holds it; 64-bit hashes lose their empty top byte."""
+    """Columns of one blob, each in the smallest type that holds it; 64-bit hashes lose their empty top byte. The lowest
+    bytes of all values come first, then the next ones, as upper bytes are alike and compress well."""
     parts = []
     for c in columns:
         if c.dtype == U64:
@@ -86,7 +88,8 @@ def pack_columns(*columns: np.ndarray) -> bytes:
         else:
             c = _least(c)
             kind = str(c.dtype.itemsize)
-        z = zstandard.compress(np.ascontiguousarray(c).tobytes(), 1)
+            c = np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1) if len(c) else c
+        z = zstandard.compress(c.T.tobytes(), 1)
         parts.append(kind.encode() + len(z).to_bytes(4, "little") + z)
     return b"".join(parts)
 
@@ -97,13 +100,10 @@ def unpack_columns(blob: bytes) -> list[np.ndarray]:
         kind, n = blob[at : at + 1], int.from_bytes(blob[at + 1 : at + 5], "little")
         raw = zstandard.decompress(blob[at + 5 : at + 5 + n])
         at += 5 + n
-        if kind == b"h":
-            short = np.frombuffer(raw, np.uint8).reshape(-1, HASH_BITS // 8)
-            full = np.zeros((len(short), 8), np.uint8)
-            full[:, : HASH_BITS // 8] = short
-            out.append(full.view(U64).ravel())
-        else:
-            out.append(np.frombuffer(raw, f"<u{int(kind)}").astype(np.int64))
+        width = HASH_BITS // 8 if kind == b"h" else int(kind)
+        full = np.zeros((len(raw) // width, 8), np.uint8)
+        full[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+        out.append(full.view(U64 if kind == b"h" else np.int64).ravel())
     return out
 
 
@@ -212,26 +212,30 @@ def _grams(order: int, shards: int):
     return run
 
 
-def split_key(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 48 upper bits of each key, as 32 and 16."""
-    return (key >> U64(32)).astype(np.uint32), ((key >> U64(16)) & U64(0xFFFF)).astype(np.uint16)
-
-
-def find_keys(high: np.ndarray, low: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the wanted keys are there, and where. high and low: sorted, as split_key gives them."""
-    h, l = split_key(wanted)
-    at = np.searchsorted(high, h)
-    hit = np.zeros(len(wanted), bool)
-    left = np.arange(len(wanted))
-    while True:
-        left = left[at[left] < len(high)]
-        left = left[high[at[left]] == h[left]]  # keys with equal upper bits stand side by side
-        if not len(left):
-            return hit, at
-        same = low[at[left]] == l[left]
-        hit[left[same]] = True
-        left = left[~same]
-        at[left] += 1
+def split_keys(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys: where the bucket of each value of their upper bits ends, led by 0, and the 32 bits that follow."""
+    bits = max(len(key).bit_length() - 5, 1)
+    ends = np.searchsorted(key >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=U64))
+    return ends.astype(np.min_scalar_type(len(key))), (key >> U64(32 - bits)).astype(np.uint32)
+
+
+def find_keys(ends: np.ndarray, low: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the wanted keys are there, and where: all bisect their buckets at once."""
+    bits = (len(ends) - 1).bit_length() - 1
+    bucket = (wanted >> U64(64 - bits)).astype(np.int64)
+    bits32 = (wanted >> U64(32 - bits)).astype(np.uint32)
+    at, end = ends[bucket].astype(np.int64), ends[bucket + 1].astype(np.int64)
+    after = end.copy()
+    left = np.flatnonzero(at < end)
+    while len(left):
+        middle = (at[left] + end[left]) >> 1
+        less = low[middle] < bits32[left]
+        at[left[less]] = middle[less] + 1
+        end[left[~less]] = middle[~less]
+        left = left[at[left] < end[left]]
+    hit = at < after
+    hit[hit] = low[at[hit]] == bits32[hit]
+    return hit, at
 
 
 def _coded(*values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,12 +263,12 @@ def _count_grams(folder: str, shards: int, size: int, highest: bool):
         context, _, total, ones, twos, more = combine(gram_key(columns[:-1]), n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))
         value, code = _coded(n)
         stats, stat = _coded(total, ones, twos, more)
-        high, low = split_key(key)
-        chigh, clow = split_key(context)
+        ends, low = split_keys(key)
+        cends, clow = split_keys(context)
         shard = int(rows["shard"].iloc[0])
-        path = save(folder, f"grams{size}", high=high, low=low, code=code, value=value, chigh=chigh, clow=clow, stat=stat, stats=stats)
+        path = save(folder, f"grams{size}", ends=ends, low=low, code=code, value=value, cends=cends, clow=clow, stat=stat, stats=stats)
         out.append((f"order{size}", shard, path, None, [len(key), *(int((n == k).sum()) for k in (1, 2, 3, 4))]))
-        del key, high, low, code, context, total, ones, twos, more, stat
+        del key, ends, low, code, context, total, ones, twos, more, stat
         shorter = columns[1:]
         _, at, before, count = combine(gram_key(shorter), np.ones(len(n), np.int64), seen)
         out += [("grams", k, None, blob, None) for k, blob in _blobs([c[at] for c in shorter], [before, count], shards)]
@@ -326,9 +330,9 @@ class Model:
     def find(self, kind: int, part: str, by: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each shard: which of the wanted are there, and where. part: the n-grams ("") or the contexts ("c")."""
         for k, some in _dealt(by, self.shards):
-            high = self.array(kind, k, part + "high")
-            if high is not None:
-                hit, at = find_keys(high, self.array(kind, k, part + "low"), wanted[some])
+            ends = self.array(kind, k, part + "ends")
+            if ends is not None:
+                hit, at = find_keys(ends, self.array(kind, k, part + "low"), wanted[some])
                 yield k, some[hit], at[hit]
 
     def words(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
