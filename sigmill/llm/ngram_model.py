@@ -37,12 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .line_crf import is_held_out
-from .shared import materialize, new_path, shuffle_partitions
+from .shared import materialize, new_path
 from .textops import LOWER, U64, Words, chunks, mix, prefix_hash, span_hash, texts_of
 
 SLICE_BYTES = 2 << 20
 COMBINE_TOKENS = 3 << 20
-SHARD_BYTES = 16 << 20
+TASK_BYTES = 18 << 20  # text of a counting task: small input files are read together, as each blob names its words
+SHARD_BYTES = 20 << 20
 HASH_BITS = 56
 START, END = (U64(0x51A9C0FFEE1234 + k) for k in (0, 1))
 _PAIR = U64(0xD6E8FEB86659FD93)
@@ -372,13 +373,13 @@ class Model:
 
 
 def train(docs: DataFrame, order: int = 2, shards: int | None = None) -> Model:
-    """Counts all texts of docs. There is a shard for each SHARD_BYTES of text."""
+    """Counts all texts of docs. There is a shard for each SHARD_BYTES of text, and at most a task for each TASK_BYTES."""
     spark = docs.sparkSession
     text = docs.select(F.col("text").cast("string").alias("text"))
-    if not shards:
-        shards = max(shuffle_partitions(spark), -(-(text.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
+    n_bytes = text.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    shards = shards or -(-n_bytes // SHARD_BYTES)
     folder = new_path(spark, "ngrams")
-    rows = text.mapInArrow(_grams(order, shards), _SHARD)
+    rows = text.coalesce(-(-n_bytes // TASK_BYTES)).mapInArrow(_grams(order, shards), _SHARD)
     for size in range(order, 1, -1):
         rows = rows.groupBy("shard").applyInPandas(_count_grams(folder, shards, size, size == order), _SHARD)
     rows = rows.groupBy("shard").applyInPandas(_count_words(folder), _SHARD).select("kind", "shard", "path", "sums")

@@ -186,7 +186,9 @@ def test_loser_tree_merges_and_knows_prefixes(seed):
         assert commons[k] == next((i for i in range(50) if a[i] != b[i]), 50)
 
 
-def test_kneser_ney_matches_brute_force(docs, data, empty):
+def test_kneser_ney_matches_brute_force(docs, data, empty, monkeypatch):
+    monkeypatch.setattr(ngram_model, "SHARD_BYTES", 5_000)  # several shards and tasks
+    monkeypatch.setattr(ngram_model, "TASK_BYTES", 5_000)
     tokens = [(i, H.WORD.findall(H.lower(t)) + ["\n"]) for i, t, *_ in data]
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in tokens}
     one, two = collections.Counter(), collections.Counter()
