@@ -1,19 +1,22 @@
 """Interpolated modified Kneser-Ney model of word n-grams of any order from two.
 
-Counting: each task combines its n-grams of the highest order over a few million tokens and sends them to the shard of
-their context; a shard sums them and writes them as a sorted hash array with counts, its contexts with the number of
-followers seen once, twice and more often, and sends on, to the shards of the order below, how many different words stood
-before each shorter n-gram. These continuation counts are the counts of the lower orders. A last exchange by word gives
-those of words and the word counts. The arrays' names travel through the same exchanges, so that each n-gram is sent once
-an order and never written in between. Nothing whole passes the driver: it gets one short row of sums for each shard.
+Counting: each task combines its n-grams of the highest order over a few million tokens and sends them to shards. A shard
+sums them and writes them as a sorted hash array with counts, its contexts with the number of followers seen once, twice
+and more often, and derives how many different words stood before each shorter n-gram. These continuation counts are the
+counts of the lower orders. Triples are dealt by their middle word, so that a shard has all triples of a context and all
+triples that end in the same pair: it counts the pairs too, without another exchange. Words that would fill a shard alone
+(found by a pass over the text; their number is bounded by that of the shards) are split: their triples are dealt by
+context, and the pairs that they begin are exchanged once more. The last exchange is by word: counts, continuation counts
+and followers. The arrays' names travel through the same exchanges. Longer n-grams are dealt by context, and each order
+sends on the one below. Nothing whole passes the driver: it gets one short row of sums for each shard.
 Scoring: workers map the arrays of the shared folder into memory and look up each different n-gram of a slice once, at
 every order.
 
 What is sent is small because a blob names each of its words once and is sorted: n-grams are the places of their words
 among these, as differences, whose bytes are compressed by their rank. What is stored is small because a shard's keys are
 dealt by their upper bits to buckets of some 16 to 32, and only the 32 bits that follow are kept of each (an n-gram that is
-not there is taken for one that is with a chance of less than one in a hundred million), and counts are places in the list
-of the shard's different counts.
+not there is taken for one that is with a chance of less than one in a hundred million), and counts are single bytes that
+stand for the shard's 255 most frequent ones; others have a list.
 
 Edge cases: null, empty or wordless text is the end token alone; words before a text's first are start tokens; repeated
 rows are counted and scored each; a null doc_id is not held out; with no training text all probabilities are uniform over
@@ -44,6 +47,7 @@ SLICE_BYTES = 2 << 20
 COMBINE_TOKENS = 3 << 20
 TASK_BYTES = 18 << 20  # text of a counting task: small input files are read together, as each blob names its words
 SHARD_BYTES = 20 << 20
+HOT_SHARE = 16  # a word that stands before others once for every 16 bytes of a shard is dealt to several
 HASH_BITS = 56
 START, END = (U64(0x51A9C0FFEE1234 + k) for k in (0, 1))
 _PAIR = U64(0xD6E8FEB86659FD93)
@@ -113,8 +117,10 @@ def _least(x: np.ndarray) -> np.ndarray:
 
 
 def pack_grams(columns: list[np.ndarray], *counts: np.ndarray) -> bytes:
-    """N-grams in the order of their words: the words of the blob, for each column places among them, and the counts. The
-    first column is stored as steps; the others as steps as long as the columns before them stay the same."""
+    """N-grams in the order of their words, those of a triple by the middle one: the words of the blob, for each column
+    places among them, and the counts. The first column is stored as steps; the others as steps as long as the columns
+    before them stay the same."""
+    columns = _middle_first(columns)
     words, place = np.unique(np.concatenate(columns), return_inverse=True)
     place = place.reshape(len(columns), -1)
     bits = len(words).bit_length()
@@ -144,7 +150,12 @@ def unpack_grams(blob: bytes, size: int) -> tuple[list[np.ndarray], list[np.ndar
         place = run - base
         columns.append(words[place])
         same[1:] &= place[1:] == place[:-1]
-    return columns, rest[size:]
+    return _middle_first(columns), rest[size:]
+
+
+def _middle_first(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """A triple's columns with the first two exchanged; others as they are."""
+    return [columns[1], columns[0], columns[2]] if len(columns) == 3 else columns
 
 
 def combine(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -179,24 +190,43 @@ def load(folder: str, at: str, key: str) -> np.ndarray:
     return array
 
 
-def _blobs(columns: list[np.ndarray], counts: list[np.ndarray], shards: int) -> Iterator[tuple[int, bytes]]:
-    """Shard and packed n-grams; a shard has all followers of a context."""
-    for k, some in _dealt(gram_key(columns[:-1]) if len(columns) > 1 else columns[0], shards):
+def is_hot(words: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(hot, words), max(len(hot) - 1, 0))
+    return hot[at] == words if len(hot) else np.zeros(len(words), bool)
+
+
+def shards_of(columns: list[np.ndarray], shards: int, hot: np.ndarray) -> np.ndarray:
+    """The shard of each n-gram: that of its word, a pair's first word, a triple's middle word, or a longer one's context.
+    Pairs that a hot word begins are dealt to shards of their own; triples around a hot word by their context."""
+    size = len(columns)
+    if size > 3:
+        by = gram_key(columns[:-1])
+    else:
+        by = columns[1] if size == 3 else columns[0]
+    many = is_hot(by, hot) if size in (2, 3) else np.zeros(len(by), bool)
+    if many.any():
+        by = by.copy()
+        by[many] = gram_key([c[many] for c in columns[:2]])
+    return (by % U64(shards)).astype(np.int64) + (shards * many if size == 2 else 0)
+
+
+def _blobs(columns: list[np.ndarray], counts: list[np.ndarray], shards: int, hot: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Shard and packed n-grams."""
+    for k, some in _dealt(shards_of(columns, shards, hot)):
         yield k, pack_grams([c[some] for c in columns], *(c[some] for c in counts))
 
 
-def _dealt(key: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    shard = (key % U64(shards)).astype(np.min_scalar_type(shards))
-    order = np.argsort(shard, kind="stable")
-    ends = np.searchsorted(shard[order], np.arange(shards + 1))
-    for k in np.flatnonzero(np.diff(ends)).tolist():
-        yield k, order[ends[k] : ends[k + 1]]
+def _dealt(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(_least(shard), kind="stable")
+    begin = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    for some in np.split(order, begin[1:]) if len(begin) else ():
+        yield int(shard[some[0]]), some
 
 
 _SHARD = "kind string, shard int, path string, blob binary, sums array<long>"
 
 
-def _grams(order: int, shards: int):
+def _grams(order: int, shards: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
@@ -204,7 +234,7 @@ def _grams(order: int, shards: int):
             columns = [np.concatenate(x) for x in zip(*held)]
             held.clear()
             _, at, n = combine(gram_key(columns), np.ones(len(columns[0]), np.int64))
-            for k, blob in _blobs([c[at] for c in columns], [n], shards):
+            for k, blob in _blobs([c[at] for c in columns], [n], shards, hot):
                 yield pa.RecordBatch.from_arrays([pa.array(["grams"]), pa.array([k], pa.int32()), pa.array([None], pa.string()), pa.array([blob], pa.binary()), pa.array([None], pa.list_(pa.int64()))], names=["kind", "shard", "path", "blob", "sums"])
 
         for b in chunks(batches, most=SLICE_BYTES):
@@ -243,59 +273,145 @@ def find_keys(ends: np.ndarray, low: np.ndarray, wanted: np.ndarray) -> tuple[np
     return hit, at
 
 
-def _coded(*values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different rows of the values, and which of them each row is."""
-    kinds, code = np.unique(np.stack(values, axis=1), axis=0, return_inverse=True) if len(values) > 1 else np.unique(values[0], return_inverse=True)
-    return kinds, code.ravel().astype(np.min_scalar_type(max(len(kinds) - 1, 0)))
+def code_rows(*values: np.ndarray) -> dict[str, np.ndarray]:
+    """The 255 most frequent rows of the values, a byte for each row that names one of them or is 255, and the rows that
+    are none of them, with their places."""
+    rows = np.stack(values, axis=1)
+    width = min(64 // len(values), 62)
+    fits = (rows >> width == 0).all(axis=1)
+    packed = rows[fits, 0].astype(U64)
+    for k in range(1, len(values)):
+        packed = packed << U64(width) | rows[fits, k].astype(U64)
+    _, first, back, n = np.unique(packed, return_index=True, return_inverse=True, return_counts=True)
+    top = np.argsort(-n, kind="stable")[:255]
+    rank = np.full(len(n), 255, np.uint8)
+    rank[top] = np.arange(len(top))
+    code = np.full(len(rows), 255, np.uint8)
+    code[fits] = rank[back]
+    others = np.flatnonzero(code == 255)
+    return {"code": code, "rows": _least(rows[fits][first[top]]), "places": _least(others), "others": _least(rows[others])}
+
+
+def decode_rows(code: np.ndarray, rows: np.ndarray, places: np.ndarray, others: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The rows at some places."""
+    found = code[at]
+    out = np.zeros((len(at), others.shape[1]), np.int64)
+    plain = found < 255
+    out[plain] = rows[found[plain]]
+    out[~plain] = others[np.searchsorted(places, at[~plain])]
+    return out
+
+
+def _coded(name: str, *values: np.ndarray) -> dict[str, np.ndarray]:
+    return {f"{name}-{k}": v for k, v in code_rows(*values).items()}
 
 
-def _count_grams(folder: str, shards: int, size: int, highest: bool):
+def _keyed(name: str, key: np.ndarray) -> dict[str, np.ndarray]:
+    return dict(zip((f"{name}-ends", f"{name}-low"), split_keys(key)))
+
+
+def _followers(n: np.ndarray) -> list[np.ndarray]:
+    """What a context sums: its total, and whether a follower was seen once, twice or more often."""
+    return [n, *(x.astype(np.int64) for x in (n == 1, n == 2, n > 2))]
+
+
+def _sums(n: np.ndarray) -> list[int]:
+    return [len(n), *(int((n == k).sum()) for k in (1, 2, 3, 4))]
+
+
+_COLUMNS = ["kind", "shard", "path", "blob", "sums"]
+
+
+def _finish_pairs(folder: str, shards: int, shard: int, columns: list[np.ndarray], n: np.ndarray, seen: np.ndarray) -> list[tuple]:
+    """Writes a shard's pairs, which come by key, and sends what it knows of words: words before, count in the text, and
+    followers."""
+    path = save(folder, "grams2", **_keyed("gram", gram_key(columns)), **_coded("n", n))
+    none = np.zeros(len(n), np.int64)
+    words = np.concatenate([columns[1], columns[0]])
+    values = [np.concatenate(x) for x in ((none + 1, none), (seen, none), *((none, f) for f in _followers(n)))]
+    words, _, *values = combine(words, *values)
+    out: list[tuple] = [("order2", shard, path, None, _sums(n))]
+    for k, some in _dealt((words % U64(shards)).astype(np.int64)):
+        out.append(("words", k, None, pack_columns(words[some], *(v[some] for v in values)), None))
+    return out
+
+
+def _count_grams(folder: str, shards: int, hot: np.ndarray, size: int, highest: bool):
     """Counts the n-grams of a shard. Of the highest order the counts are those in the text, of lower ones the number of
     words seen before; the count in the text goes with them for the sake of word counts."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        done = rows[rows["kind"] != "grams"]  # what longer n-grams have said goes on
-        out = list(done.itertuples(index=False, name=None))
-        parts = [unpack_grams(b, size) for b in rows["blob"][rows["kind"] == "grams"]]
+        grams = rows["kind"] == "grams"
+        out = list(rows[~grams].itertuples(index=False, name=None))  # what longer n-grams have said goes on
+        parts = [unpack_grams(b, size) for b in rows["blob"][grams]]
         if not parts:
-            return pd.DataFrame(out, columns=["kind", "shard", "path", "blob", "sums"])
+            return pd.DataFrame(out, columns=_COLUMNS)
+        shard = int(rows["shard"].iloc[0])
         columns = [np.concatenate([p[0][k] for p in parts]) for k in range(size)]
         counts = [np.concatenate([p[1][k] for p in parts]) for k in range(1 if highest else 2)]
         del parts
         key, at, *counts = combine(gram_key(columns), *counts)
         columns = [c[at] for c in columns]
         n, seen = counts[0], counts[-1]
-        context, _, total, ones, twos, more = combine(gram_key(columns[:-1]), n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))
-        value, code = _coded(n)
-        stats, stat = _coded(total, ones, twos, more)
-        ends, low = split_keys(key)
-        cends, clow = split_keys(context)
-        shard = int(rows["shard"].iloc[0])
-        path = save(folder, f"grams{size}", ends=ends, low=low, code=code, value=value, cends=cends, clow=clow, stat=stat, stats=stats)
-        out.append((f"order{size}", shard, path, None, [len(key), *(int((n == k).sum()) for k in (1, 2, 3, 4))]))
-        del key, ends, low, code, context, total, ones, twos, more, stat
+        if size == 2:
+            return pd.DataFrame(out + _finish_pairs(folder, shards, shard, columns, n, seen), columns=_COLUMNS)
+        context, _, *stats = combine(gram_key(columns[:-1]), *_followers(n))
+        path = save(folder, f"grams{size}", **_keyed("gram", key), **_coded("n", n), **_keyed("context", context), **_coded("stats", *stats))
+        out.append((f"order{size}", shard, path, None, _sums(n)))
+        del key, context, stats
         shorter = columns[1:]
         _, at, before, count = combine(gram_key(shorter), np.ones(len(n), np.int64), seen)
-        out += [("grams", k, None, blob, None) for k, blob in _blobs([c[at] for c in shorter], [before, count], shards)]
-        return pd.DataFrame(out, columns=["kind", "shard", "path", "blob", "sums"])
+        shorter = [c[at] for c in shorter]
+        whole = ~is_hot(shorter[0], hot) if size == 3 else np.zeros(len(at), bool)
+        if whole.any():
+            out += _finish_pairs(folder, shards, shard, [c[whole] for c in shorter], before[whole], count[whole])
+        if not whole.all():
+            out += [("grams", k, None, blob, None) for k, blob in _blobs([c[~whole] for c in shorter], [before[~whole], count[~whole]], shards, hot)]
+        return pd.DataFrame(out, columns=_COLUMNS)
 
     return run
 
 
 def _count_words(folder: str):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = list(rows[rows["kind"] != "grams"].itertuples(index=False, name=None))
-        parts = [unpack_grams(b, 1) for b in rows["blob"][rows["kind"] == "grams"]]
+        out = list(rows[rows["kind"] != "words"].itertuples(index=False, name=None))
+        parts = [unpack_columns(b) for b in rows["blob"][rows["kind"] == "words"]]
         if parts:
-            word = np.concatenate([p[0][0] for p in parts])
-            word, _, before, count = combine(word, *(np.concatenate([p[1][k] for p in parts]) for k in (0, 1)))
-            path = save(folder, "words", word=word, before=before.astype(np.uint32), count=count)
-            out.append(("order1", int(rows["shard"].iloc[0]), path, None, [len(word), int(count.sum()), *(int((before == k).sum()) for k in (1, 2, 3, 4))]))
-        return pd.DataFrame(out, columns=["kind", "shard", "path", "blob", "sums"])
+            word, *values = (np.concatenate(x) for x in zip(*parts))
+            word, _, before, count, *followers = combine(word, *values)
+            path = save(folder, "words", word=word, **_coded("n", before, count), **_coded("stats", *followers))
+            n = before[before > 0]  # the start is a context, not a word
+            out.append(("order1", int(rows["shard"].iloc[0]), path, None, [len(n), int(count.sum()), *_sums(n)[1:]]))
+        return pd.DataFrame(out, columns=_COLUMNS)
 
     return run
 
 
+def hot_words(text: DataFrame, shards: int, n_bytes: int) -> np.ndarray:
+    """Sorted words that stand before others SHARD_BYTES / HOT_SHARE times or more (some with half as many too). At most
+    2 * HOT_SHARE for each shard can, as a token has a byte. Which are found only decides where n-grams are counted."""
+    least = max(SHARD_BYTES // HOT_SHARE // 2, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            words, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n * n_bytes >= least * sum(map(len, held))  # rarer ones cannot add up to half of what is asked
+            held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(words[often].astype(np.int64)), pa.array(n[often])], names=["word", "n"])
+
+        for b in chunks(batches, most=SLICE_BYTES):
+            held.append(tokens(*texts_of(b.column("text")), 2)[0][0])
+            if sum(map(len, held)) >= COMBINE_TOKENS:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    found = text.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return np.sort(np.array([r.word for r in found.collect()], np.int64)).astype(U64)
+
+
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     """Discounts for counts of 0, 1, 2 and more; where a count of counts is missing, three quarters."""
     if not all((n1, n2, n3, n4)):
@@ -307,8 +423,8 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 class Model:
     """Paths of the arrays and the few numbers that all probabilities share; arrays are mapped when first asked for."""
 
-    def __init__(self, folder: str, shards: int, grams: dict[int, dict[int, str]], words: dict[int, str], gram_sums: dict[int, np.ndarray], word_sums: np.ndarray):
-        self.folder, self.shards, self.paths = folder, shards, {**grams, 1: words}
+    def __init__(self, folder: str, shards: int, hot: np.ndarray, grams: dict[int, dict[int, str]], words: dict[int, str], gram_sums: dict[int, np.ndarray], word_sums: np.ndarray):
+        self.folder, self.shards, self.hot, self.paths = folder, shards, hot, {**grams, 1: words}
         self.order = max(grams)
         self.pairs = int(gram_sums[2][0])
         self.vocabulary, self.tokens = int(word_sums[0]), int(word_sums[1])
@@ -332,48 +448,55 @@ class Model:
             self.open[kind, shard, key] = load(self.folder, at, key)
         return self.open[kind, shard, key]
 
-    def find(self, kind: int, part: str, by: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each shard: which of the wanted are there, and where. part: the n-grams ("") or the contexts ("c")."""
-        for k, some in _dealt(by, self.shards):
-            ends = self.array(kind, k, part + "ends")
+    def rows(self, kind: int, shard: int, name: str, at: np.ndarray) -> np.ndarray:
+        return decode_rows(*(self.array(kind, shard, f"{name}-{k}") for k in ("code", "rows", "places", "others")), at)
+
+    def find(self, size: int, keys: str, values: str, columns: list[np.ndarray], wanted: np.ndarray, out: np.ndarray) -> None:
+        """Fills in the values of those wanted keys that are there; columns: n-grams of the shards to look in."""
+        for k, some in _dealt(shards_of(columns, self.shards, self.hot)):
+            ends = self.array(size, k, f"{keys}-ends")
             if ends is not None:
-                hit, at = find_keys(ends, self.array(kind, k, part + "low"), wanted[some])
-                yield k, some[hit], at[hit]
+                hit, at = find_keys(ends, self.array(size, k, f"{keys}-low"), wanted[some])
+                out[some[hit]] = self.rows(size, k, values, at[hit])
 
     def words(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count and lower-order probability of each word."""
-        count, before = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
-        for k, some in _dealt(w, self.shards):
+        """Of each word how many stood before it and its count; and what it sums as a context."""
+        n, stats = np.zeros((len(w), 2), np.int64), np.zeros((len(w), 4), np.int64)
+        for k, some in _dealt((w % U64(self.shards)).astype(np.int64)):
             if (known := self.array(1, k, "word")) is not None:
                 at = np.minimum(np.searchsorted(known, w[some]), len(known) - 1)
                 hit = known[at] == w[some]
-                count[some[hit]] = self.array(1, k, "count")[at[hit]]
-                before[some[hit]] = self.array(1, k, "before")[at[hit]]
-        kept = before - self.word_discount[np.minimum(before, 3)]
-        return count, (kept / self.pairs if self.pairs else kept) + self.word_rest / (self.vocabulary + 1)
+                n[some[hit]] = self.rows(1, k, "n", at[hit])
+                stats[some[hit]] = self.rows(1, k, "stats", at[hit])
+        return n, stats
 
     def probabilities(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Count of the last word of each n-gram, and its probability behind the others."""
-        words, back = np.unique(columns[-1], return_inverse=True)
-        count, p = (x[back] for x in self.words(words))
-        for size in range(2, self.order + 1):
-            p = self.step(size, columns[-size:], p)
+        words, back = np.unique(np.concatenate(columns[-2:]), return_inverse=True)
+        n, stats = self.words(words)
+        first, last = back.reshape(2, -1)
+        before, count = n[last].T
+        kept = before - self.word_discount[np.minimum(before, 3)]
+        p = (kept / self.pairs if self.pairs else kept) + self.word_rest / (self.vocabulary + 1)
+        p = self.step(columns[-2:], stats[first], p)
+        for size in range(3, self.order + 1):
+            some = columns[-size:]
+            contexts, at, back = np.unique(gram_key(some[:-1]), return_index=True, return_inverse=True)
+            stats = np.zeros((len(contexts), 4), np.int64)
+            self.find(size, "context", "stats", [c[at] for c in some], contexts, stats)
+            p = self.step(some, stats[back], p)
         return count, p
 
-    def step(self, size: int, columns: list[np.ndarray], lower: np.ndarray) -> np.ndarray:
-        """Probabilities of one order from those of the order below."""
-        before, discount = gram_key(columns[:-1]), self.discount[size]
-        contexts, back = np.unique(before, return_inverse=True)
-        total, rest = np.zeros(len(contexts)), np.ones(len(contexts))
-        for k, some, at in self.find(size, "c", contexts, contexts):
-            stats = self.array(size, k, "stats")[self.array(size, k, "stat")[at]]  # total, followers seen once, twice, more
-            total[some] = stats[:, 0]
-            rest[some] = (stats[:, 1:] @ discount[1:]) / total[some]
-        total, rest = total[back], rest[back]
-        n = np.zeros(len(before), np.int64)
-        for k, some, at in self.find(size, "", before, gram_key(columns)):
-            n[some] = self.array(size, k, "value")[self.array(size, k, "code")[at]]
-        return np.where(total > 0, (n - discount[np.minimum(n, 3)]) / np.maximum(total, 1), 0.0) + rest * lower
+    def step(self, columns: list[np.ndarray], stats: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Probabilities of one order from those of the order below. stats: a context's total, followers seen once, twice
+        and more often."""
+        size = len(columns)
+        discount, total = self.discount[size], stats[:, 0]
+        n = np.zeros((len(lower), 1), np.int64)
+        self.find(size, "gram", "n", columns, gram_key(columns), n)
+        n = n[:, 0]
+        seen = (n - discount[np.minimum(n, 3)] + (stats[:, 1:] @ discount[1:]) * lower) / np.maximum(total, 1)
+        return np.where(total > 0, seen, lower)
 
 
 def train(docs: DataFrame, order: int = 2, shards: int | None = None) -> Model:
@@ -383,9 +506,12 @@ def train(docs: DataFrame, order: int = 2, shards: int | None = None) -> Model:
     n_bytes = text.agg(F.sum(F.octet_length("text"))).first()[0] or 1
     shards = shards or -(-n_bytes // SHARD_BYTES)
     folder = new_path(spark, "ngrams")
-    rows = text.coalesce(-(-n_bytes // TASK_BYTES)).mapInArrow(_grams(order, shards), _SHARD)
+    text = text.coalesce(-(-n_bytes // TASK_BYTES))
+    hot = hot_words(text, shards, n_bytes)
+    rows = text.mapInArrow(_grams(order, shards, hot), _SHARD)
     for size in range(order, 1, -1):
-        rows = rows.groupBy("shard").applyInPandas(_count_grams(folder, shards, size, size == order), _SHARD)
+        if size > 2 or order == 2 or len(hot):  # without hot words the triples' shards have counted all pairs
+            rows = rows.groupBy("shard").applyInPandas(_count_grams(folder, shards, hot, size, size == order), _SHARD)
     rows = rows.groupBy("shard").applyInPandas(_count_words(folder), _SHARD).select("kind", "shard", "path", "sums")
     paths: dict[int, dict[int, str]] = {k: {} for k in range(1, order + 1)}
     sums = {k: np.zeros(6 if k == 1 else 5, np.int64) for k in paths}
@@ -394,7 +520,7 @@ def train(docs: DataFrame, order: int = 2, shards: int | None = None) -> Model:
         paths[size][r.shard] = r.path
         sums[size] += np.array(r.sums)
     words, word_sums = paths.pop(1), sums.pop(1)
-    return Model(folder, shards, paths, words, sums, word_sums)
+    return Model(folder, shards, hot, paths, words, sums, word_sums)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

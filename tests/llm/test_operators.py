@@ -607,7 +607,13 @@ def test_near_copies_in_a_dense_family_are_exact(spark, monkeypatch):
     assert [got[i].group_id for i in range(len(texts))] == want
 
 
-def test_kneser_ney_of_three_words_matches_brute_force(docs, data):
+@pytest.mark.parametrize("hot", [False, True])
+def test_kneser_ney_of_three_words_matches_brute_force(docs, data, monkeypatch, hot):
+    monkeypatch.setattr(ngram_model, "SHARD_BYTES", 5_000)  # several shards and tasks
+    monkeypatch.setattr(ngram_model, "TASK_BYTES", 5_000)
+    monkeypatch.setattr(ngram_model, "HOT_SHARE", 500 if hot else 1)  # words of ten occurrences and more are split, or none
+    found_hot, find_hot = [], ngram_model.hot_words
+    monkeypatch.setattr(ngram_model, "hot_words", lambda *x: found_hot.append(find_hot(*x)) or found_hot[-1])
     tokens = [(i, H.WORD.findall(H.lower(t)) + ["\n"]) for i, t, *_ in data]
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in tokens}
     one, three = collections.Counter(), collections.Counter()
@@ -636,6 +642,7 @@ def test_kneser_ney_of_three_words_matches_brute_force(docs, data):
         return p3((u, a), w, p2((a,), w, (before[w] - d1[min(before[w], 3)]) / len(two) + rest / (v + 1)))
 
     found = by_id(ngram_model.score_corpus(docs, order=3))
+    assert (len(found_hot[0]) > 1) == hot
     pairs = by_id(ngram_model.score_corpus(docs))
     for i, t in tokens:
         r = found[i]
@@ -643,3 +650,12 @@ def test_kneser_ney_of_three_words_matches_brute_force(docs, data):
         assert r.score == pytest.approx(sum(np.log10(p(*g)) for g in grams(t)))
     u, a, _ = max(three, key=three.get)
     assert sum(p(u, a, w) for w in one) + p(u, a, "unseen") == pytest.approx(1.0)
+
+
+def test_coded_rows_come_back():
+    rng = np.random.RandomState(5)
+    values = [np.concatenate([rng.geometric(0.01, 5_000), [1 << 40, 0, 70_000]]) for _ in range(4)]
+    for some in (values[:1], values, [v[:0] for v in values]):
+        coded = ngram_model.code_rows(*some)
+        at = rng.permutation(len(some[0]))
+        assert (ngram_model.decode_rows(*(coded[k] for k in ("code", "rows", "places", "others")), at) == np.stack(some, 1)[at]).all()
