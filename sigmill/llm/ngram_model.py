@@ -29,7 +29,7 @@ import io
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -153,17 +153,34 @@ def unpack_grams(blob: bytes, size: int) -> tuple[list[np.ndarray], list[np.ndar
     return _middle_first(columns), rest[size:]
 
 
+def _joined(blobs: list[bytes], size: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The n-grams of all blobs and their counts, these in the smallest type, without holding every blob's twice."""
+    columns: list[list[np.ndarray]] = [[] for _ in range(size)]
+    counts: list[list[np.ndarray]] = []
+    for b in blobs:
+        words, n = unpack_grams(b, size)
+        for k, c in enumerate(words):
+            columns[k].append(c)
+        counts.append([_least(c) for c in n])
+    out = []
+    for k in range(size):
+        out.append(np.concatenate(columns[k]))
+        columns[k].clear()
+    return out, [np.concatenate(c) for c in zip(*counts)]
+
+
 def _middle_first(columns: list[np.ndarray]) -> list[np.ndarray]:
     """A triple's columns with the first two exchanged; others as they are."""
     return [columns[1], columns[0], columns[2]] if len(columns) == 3 else columns
 
 
-def combine(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sorted different keys, a row of each, and the sums of their values."""
+def combine(keys: np.ndarray, values: Iterable[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Sorted different keys, a row of each, and the sums of their values, which are asked for one after the other."""
     order = np.argsort(keys)
     keys = keys[order]
-    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], order[first], *(np.add.reduceat(v[order], first) if len(first) else v for v in values)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    keys = keys[first]
+    return keys, order[first], *(np.add.reduceat(v[order], first, dtype=np.int64) if len(first) else v.astype(np.int64) for v in values)
 
 
 def save(folder: str, name: str, **arrays: np.ndarray) -> str:
@@ -233,7 +250,7 @@ def _grams(order: int, shards: int, hot: np.ndarray):
         def flush() -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate(x) for x in zip(*held)]
             held.clear()
-            _, at, n = combine(gram_key(columns), np.ones(len(columns[0]), np.int64))
+            _, at, n = combine(gram_key(columns), [np.ones(len(columns[0]), np.uint8)])
             for k, blob in _blobs([c[at] for c in columns], [n], shards, hot):
                 yield pa.RecordBatch.from_arrays([pa.array(["grams"]), pa.array([k], pa.int32()), pa.array([None], pa.string()), pa.array([blob], pa.binary()), pa.array([None], pa.list_(pa.int64()))], names=["kind", "shard", "path", "blob", "sums"])
 
@@ -276,20 +293,22 @@ def find_keys(ends: np.ndarray, low: np.ndarray, wanted: np.ndarray) -> tuple[np
 def code_rows(*values: np.ndarray) -> dict[str, np.ndarray]:
     """The 255 most frequent rows of the values, a byte for each row that names one of them or is 255, and the rows that
     are none of them, with their places."""
-    rows = np.stack(values, axis=1)
     width = min(64 // len(values), 62)
-    fits = (rows >> width == 0).all(axis=1)
-    packed = rows[fits, 0].astype(U64)
-    for k in range(1, len(values)):
-        packed = packed << U64(width) | rows[fits, k].astype(U64)
+    fits = np.ones(len(values[0]), bool)
+    for v in values:
+        fits &= v >> width == 0
+    packed = values[0][fits].astype(U64)
+    for v in values[1:]:
+        packed = packed << U64(width) | v[fits].astype(U64)
     _, first, back, n = np.unique(packed, return_index=True, return_inverse=True, return_counts=True)
+    del packed
     top = np.argsort(-n, kind="stable")[:255]
     rank = np.full(len(n), 255, np.uint8)
     rank[top] = np.arange(len(top))
-    code = np.full(len(rows), 255, np.uint8)
+    code = np.full(len(fits), 255, np.uint8)
     code[fits] = rank[back]
-    others = np.flatnonzero(code == 255)
-    return {"code": code, "rows": _least(rows[fits][first[top]]), "places": _least(others), "others": _least(rows[others])}
+    kinds, others = np.flatnonzero(fits)[first[top]], np.flatnonzero(code == 255)
+    return {"code": code, "rows": _least(np.stack([v[kinds] for v in values], 1)), "places": _least(others), "others": _least(np.stack([v[others] for v in values], 1))}
 
 
 def decode_rows(code: np.ndarray, rows: np.ndarray, places: np.ndarray, others: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -310,9 +329,10 @@ def _keyed(name: str, key: np.ndarray) -> dict[str, np.ndarray]:
     return dict(zip((f"{name}-ends", f"{name}-low"), split_keys(key)))
 
 
-def _followers(n: np.ndarray) -> list[np.ndarray]:
+def _followers(n: np.ndarray) -> Iterator[np.ndarray]:
     """What a context sums: its total, and whether a follower was seen once, twice or more often."""
-    return [n, *(x.astype(np.int64) for x in (n == 1, n == 2, n > 2))]
+    yield n
+    yield from (x.view(np.uint8) for x in (n == 1, n == 2, n > 2))
 
 
 def _sums(n: np.ndarray) -> list[int]:
@@ -326,10 +346,11 @@ def _finish_pairs(folder: str, shards: int, shard: int, columns: list[np.ndarray
     """Writes a shard's pairs, which come by key, and sends what it knows of words: words before, count in the text, and
     followers."""
     path = save(folder, "grams2", **_keyed("gram", gram_key(columns)), **_coded("n", n))
-    none = np.zeros(len(n), np.int64)
-    words = np.concatenate([columns[1], columns[0]])
-    values = [np.concatenate(x) for x in ((none + 1, none), (seen, none), *((none, f) for f in _followers(n)))]
-    words, _, *values = combine(words, *values)
+    last, _, *of_last = combine(columns[1], [np.ones(len(n), np.uint8), seen])
+    first, _, *of_first = combine(columns[0], _followers(n))
+    nothing = [np.zeros_like(last, np.int64), np.zeros_like(first, np.int64)]
+    values = [np.concatenate([v, nothing[1]]) for v in of_last] + [np.concatenate([nothing[0], v]) for v in of_first]
+    words, _, *values = combine(np.concatenate([last, first]), values)
     out: list[tuple] = [("order2", shard, path, None, _sums(n))]
     for k, some in _dealt((words % U64(shards)).astype(np.int64)):
         out.append(("words", k, None, pack_columns(words[some], *(v[some] for v in values)), None))
@@ -343,25 +364,28 @@ def _count_grams(folder: str, shards: int, hot: np.ndarray, size: int, highest:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         grams = rows["kind"] == "grams"
         out = list(rows[~grams].itertuples(index=False, name=None))  # what longer n-grams have said goes on
-        parts = [unpack_grams(b, size) for b in rows["blob"][grams]]
-        if not parts:
+        if not grams.any():
             return pd.DataFrame(out, columns=_COLUMNS)
         shard = int(rows["shard"].iloc[0])
-        columns = [np.concatenate([p[0][k] for p in parts]) for k in range(size)]
-        counts = [np.concatenate([p[1][k] for p in parts]) for k in range(1 if highest else 2)]
-        del parts
-        key, at, *counts = combine(gram_key(columns), *counts)
-        columns = [c[at] for c in columns]
+        columns, counts = _joined([b for b in rows["blob"][grams]], size)
+        key, at, *counts = combine(gram_key(columns), counts)
+        for k in range(size):  # one by one, so that few are there twice
+            columns[k] = columns[k][at]
         n, seen = counts[0], counts[-1]
+        del at, counts
         if size == 2:
             return pd.DataFrame(out + _finish_pairs(folder, shards, shard, columns, n, seen), columns=_COLUMNS)
-        context, _, *stats = combine(gram_key(columns[:-1]), *_followers(n))
-        path = save(folder, f"grams{size}", **_keyed("gram", key), **_coded("n", n), **_keyed("context", context), **_coded("stats", *stats))
+        context, _, *stats = combine(gram_key(columns[:-1]), _followers(n))
+        of_context = {**_keyed("context", context), **_coded("stats", *stats)}
+        del context, stats
+        path = save(folder, f"grams{size}", **_keyed("gram", key), **_coded("n", n), **of_context)
         out.append((f"order{size}", shard, path, None, _sums(n)))
-        del key, context, stats
+        del key, of_context
         shorter = columns[1:]
-        _, at, before, count = combine(gram_key(shorter), np.ones(len(n), np.int64), seen)
+        del columns
+        _, at, before, count = combine(gram_key(shorter), [np.ones(len(n), np.uint8), seen])
         shorter = [c[at] for c in shorter]
+        del n, seen
         whole = ~is_hot(shorter[0], hot) if size == 3 else np.zeros(len(at), bool)
         if whole.any():
             out += _finish_pairs(folder, shards, shard, [c[whole] for c in shorter], before[whole], count[whole])
@@ -378,7 +402,7 @@ def _count_words(folder: str):
         parts = [unpack_columns(b) for b in rows["blob"][rows["kind"] == "words"]]
         if parts:
             word, *values = (np.concatenate(x) for x in zip(*parts))
-            word, _, before, count, *followers = combine(word, *values)
+            word, _, before, count, *followers = combine(word, values)
             path = save(folder, "words", word=word, **_coded("n", before, count), **_coded("stats", *followers))
             n = before[before > 0]  # the start is a context, not a word
             out.append(("order1", int(rows["shard"].iloc[0]), path, None, [len(n), int(count.sum()), *_sums(n)[1:]]))
