@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_crf, ngram_model, packing, pieces, posting_lists, quality_rules, simhash, suffix_dedup, warc
+from . import language_id, line_crf, ngram_model, packing, periodic_runs, pieces, posting_lists, quality_rules, simhash, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_posting_lists": op2_posting_lists,
@@ -63,6 +67,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_line_crf": op10_line_crf,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: Five hexadecimal digits of the SHA-1 give four base32 ones.
