@@ -1,6 +1,7 @@
 """Maximal periodic runs of words, found in tiles that are as large as the periods sought.
 
-Periods fall into octaves [P, 2P). In an octave every P-th word of a document is a boundary; a run of period q in the
+Periods fall into octaves [P, 2P), those below eight into one. In an octave every P-th word of a document is a boundary
+(below eight every sixth, as a run has twelve words); a run of period q in the
 octave has a boundary c with c and c + q inside it, so the Z-function of what follows c (words equal from c and from
 c + q on) and that of what precedes it (backwards) give the run, or the part of it within reach. A tile is a stretch of
 boundaries with the words within reach of them; tiles overlap, know nothing of each other and are dealt to tasks by
@@ -36,28 +37,29 @@ _TILES = "array<struct<octave:int,tile:long,first:long,marks:binary,words:binary
 RUNS = "array<struct<start:long,period:long,length:long>>"
 
 
-def reach(step: int) -> int:
-    """How far a boundary's comparisons go; more than any run without a further boundary needs."""
-    return max(2 * step, LEAST)
+def scale(octave: int) -> tuple[int, int, int]:
+    """First period, period behind the last and words between boundaries: a run has a boundary c with c and c + q in it."""
+    return (1, 8, 6) if octave == 0 else (4 << octave, 8 << octave, 4 << octave)
 
 
-def _window(step: int) -> int:
-    """Words that a run agrees on behind or before each of its boundaries, whichever is more."""
-    return min((max(LEAST, 2 * q) - q + 1) // 2 for q in range(step, 2 * step)) if step < LEAST else step // 2
+def reach(octave: int) -> int:
+    """How far a boundary's comparisons go: fragments of neighbouring boundaries in a run share more than a period."""
+    return max(scale(octave)[1], LEAST)
 
 
-def _boundaries_per_tile(step: int) -> int:
-    return max(8, 64 // step)
+def _window(octave: int) -> int:
+    """Words that a run agrees on behind or before each of its boundaries, whichever is more."""
+    return 3 if octave == 0 else 2 << octave
 
 
-def _meets(table: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
-    """Whether the hash at each place occurs again `step` to 2 * step - 1 places on."""
+def _meets(table: np.ndarray, at: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Whether the hash at each place occurs again `low` to high - 1 places on."""
     found = np.zeros(len(at), bool)
-    views = np.lib.stride_tricks.sliding_window_view(table, step)
-    slice_ = max(1, (1 << 21) // step)
+    views = np.lib.stride_tricks.sliding_window_view(table, high - low)
+    slice_ = max(1, (1 << 21) // high)
     for i in range(0, len(at), slice_):
         a = at[i : i + slice_]
-        found[i : i + slice_] = (views[a + step] == table[a][:, None]).any(axis=1)
+        found[i : i + slice_] = (views[a + low] == table[a][:, None]).any(axis=1)
     return found
 
 
@@ -65,24 +67,23 @@ def _marked(ids: np.ndarray, row: np.ndarray, begin: np.ndarray, count: np.ndarr
     """(octave, rows, boundaries within the row) that may lie in a run, octave by octave."""
     longest = int(count.max(initial=0))
     x = mix(ids.astype(U64) * U64(0x9E3779B97F4A7C15) + row.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
-    hashes, width, octave = x, 1, 0
-    while max(LEAST, 2 << octave) <= longest:
-        step = 1 << octave
-        w = _window(step)
-        if step > 8:
-            hashes = mix(hashes[:-width] * U64(0x9E3779B97F4A7C15) + hashes[width:]) if len(hashes) > width else hashes[:0]
-        else:
+    hashes, octave = x, 0
+    while max(LEAST, 2 * scale(octave)[0]) <= longest:
+        low, high, gap = scale(octave)
+        w = _window(octave)
+        if octave < 2:
             hashes = window_hash(x, w)
-        width = w
-        table = np.concatenate([hashes, mix(np.arange(1, len(x) - len(hashes) + 2 * step + 2).astype(U64))])
-        long = np.flatnonzero(count >= max(LEAST, 2 * step))
-        many = count[long] // step
+        else:
+            hashes = mix(hashes[: -w // 2] * U64(0x9E3779B97F4A7C15) + hashes[w // 2 :]) if len(hashes) > w // 2 else hashes[:0]
+        table = np.concatenate([hashes, mix(np.arange(1, len(x) - len(hashes) + 2 * high + 2).astype(U64))])
+        long = np.flatnonzero(count >= max(LEAST, 2 * low))
+        many = (count[long] - low) // gap + 1
         of = np.repeat(long, many)
-        at = (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)) * step
+        at = (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)) * gap
         c = begin[of] + at
-        hit = _meets(table, c, step)
+        hit = _meets(table, c, low, high)
         back = (at >= w) & ~hit
-        hit[back] = _meets(table, c[back] - w, step)
+        hit[back] = _meets(table, c[back] - w, low, high)
         if hit.any():
             yield octave, of[hit], at[hit]
         octave += 1
@@ -107,12 +108,12 @@ def _cut(docs: DataFrame, keep_text: bool) -> DataFrame:
             begin = np.cumsum(w.count) - w.count
             tiles: dict[int, list] = {}
             for octave, rows, at in _marked(ids, w.row, begin, w.count):
-                step = 1 << octave
-                tile = at // (step * _boundaries_per_tile(step))
+                _, high, gap = scale(octave)
+                tile = at // (8 * gap)
                 cut = np.flatnonzero((np.diff(rows) != 0) | (np.diff(tile) != 0)) + 1
                 for i, j in zip([0, *cut], [*cut, len(rows)]):
                     r, n = int(rows[i]), int(w.count[rows[i]])
-                    first, last = max(0, int(at[i]) - reach(step)), min(n, int(at[j - 1]) + 2 * step + reach(step))
+                    first, last = max(0, int(at[i]) - reach(octave)), min(n, int(at[j - 1]) + high + reach(octave))
                     words = ids[begin[r] + first : begin[r] + last].astype("<i4").tobytes()
                     tiles.setdefault(r, []).append({"octave": octave, "tile": int(tile[i]), "first": first, "marks": (at[i:j] - first).astype("<i4").tobytes(), "words": zstandard.compress(words, 1)})
             shas, words = [], []
@@ -131,15 +132,34 @@ def _cut(docs: DataFrame, keep_text: bool) -> DataFrame:
     return rows.mapInArrow(run, f"key long, doc_id long, n_words long, sha string, words binary, tiles {_TILES}")
 
 
-def z_function(x: list) -> list:
-    """How many items from each place on equal those from the start on."""
-    n, left, right = len(x), 0, 0
-    out = [0] * n
-    for i in range(1, n):
-        k = min(right - i, out[i - left]) if i < right else 0
-        while i + k < n and x[k] == x[i + k]:
-            k += 1
-        if i + k > right:
+def _extent(x: np.ndarray, words: list, a: int, b: int) -> int:
+    """How many words from a on equal those from b on (a < b): one by one at first, then by ever longer slices."""
+    n, k = len(words), 0
+    while k < 16 and b + k < n:
+        if words[a + k] != words[b + k]:
+            return k
+        k += 1
+    size = 64
+    while b + k < n:
+        m = min(size, n - b - k)
+        differ = x[a + k : a + k + m] != x[b + k : b + k + m]
+        if differ.any():
+            return k + int(differ.argmax())
+        k, size = k + m, 2 * size
+    return k
+
+
+def z_function(x: np.ndarray, upto: int) -> np.ndarray:
+    """How many words from each place before `upto` on equal those from the start on. Only places that hold the first
+    word are visited; elsewhere it is 0."""
+    upto = min(upto, len(x))
+    out = np.zeros(upto, np.int64)
+    left = right = 0
+    words = x.tolist()
+    for i in (np.flatnonzero(x[1:upto] == x[0]) + 1).tolist() if upto > 1 else ():
+        k = min(right - i, int(out[i - left])) if i < right else 0
+        if i + k >= right:
+            k += _extent(x, words, k, i + k)
             left, right = i, i + k
         out[i] = k
     return out
@@ -156,24 +176,31 @@ def _primes(n: int) -> list[int]:
     return [*out, n] if n > 1 else out
 
 
-def solve(words: list, marks: list[int], step: int) -> dict[int, list[list[int]]]:
-    """Intervals [begin, end) of each smallest period in [step, 2 * step) through the marked boundaries of a tile."""
-    far, found = reach(step), {}
+def solve(words: np.ndarray, marks: list[int], octave: int) -> dict[int, list[list[int]]]:
+    """Intervals [begin, end) of each smallest period of the octave through the marked boundaries of a tile."""
+    far, found = reach(octave), {}
+    lowest, high, _ = scale(octave)
+    periods = np.arange(lowest, high)
+    enough = np.maximum(LEAST, 2 * periods) - periods
     for c in marks:
-        top = min(len(words), c + 2 * step - 1)
-        ahead = z_function(words[c : top + far])
+        top = min(len(words), c + high - 1)
+        q = periods[: top - c - lowest + 1]
+        ahead = z_function(words[c : top + far], high)
+        right = np.zeros(len(q), np.int64)
+        right[: len(ahead) - lowest] = np.minimum(ahead[lowest:], far)
         low = max(0, c - far)
         back = words[low:c][::-1]
-        behind = z_function([*back, -1, *words[low:top][::-1]])[len(back) + 1 :]
-        for q in range(step, top - c + 1):
-            r = min(ahead[q], far) if q < len(ahead) else 0
-            b = behind[top - c - q]
-            if b + r >= max(LEAST, 2 * q) - q and not any(ahead[q // p] >= q - q // p for p in _primes(q)):
-                parts = found.setdefault(q, [])
-                if parts and c - b <= parts[-1][1] - q:
-                    parts[-1][1] = max(parts[-1][1], c + q + r)
-                else:
-                    parts.append([c - b, c + q + r])
+        both = np.concatenate([back, [-1], words[low:top][::-1]])
+        left = z_function(both, len(back) + 2 + top - c - lowest)[len(back) + 1 + top - c - q]
+        for k in np.flatnonzero(left + right >= enough[: len(q)]).tolist():
+            p, a, z = int(q[k]), c - int(left[k]), c + int(q[k]) + int(right[k])
+            if any(ahead[p // f] >= p - p // f for f in _primes(p)):
+                continue
+            parts = found.setdefault(p, [])
+            if parts and a <= parts[-1][1] - p:
+                parts[-1][1] = max(parts[-1][1], z)
+            else:
+                parts.append([a, z])
     return found
 
 
@@ -181,8 +208,8 @@ def _solve_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[list[int]] = [[], [], [], []]
         for key, octave, first, marks, words in zip(*(b.column(c).to_pylist() for c in ("key", "octave", "first", "marks", "words"))):
-            ids = np.frombuffer(zstandard.decompress(words), "<i4").tolist()
-            for q, parts in solve(ids, np.frombuffer(marks, "<i4").tolist(), 1 << octave).items():
+            ids = np.frombuffer(zstandard.decompress(words), "<i4")
+            for q, parts in solve(ids, np.frombuffer(marks, "<i4").tolist(), octave).items():
                 for a, z in parts:
                     for column, v in zip(out, (key, q, first + a, first + z)):
                         column.append(v)
