@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_crf, merkle, ngram_model, packing, periodic_runs, pieces, posting_lists, quality_rules, simhash, suffix_dedup, warc
+from . import language_id, line_crf, merkle, ngram_model, packing, periodic_runs, pieces, posting_lists, quality_rules, simhash, suffix_dedup, warc, word_table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_table.digests(_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_line_crf": op10_line_crf,
+    "op11_word_table": op11_word_table,
     "op12_merkle": op12_merkle,
     "op13_periodic_runs": op13_periodic_runs,
 }
