@@ -7,8 +7,9 @@ the tokenizer encodes each different word once. Ids return to their block by pla
 one row of a table bucketed by block, so what is long, the places, is written once and never exchanged; a block has a word
 once, so no word has more rows than there are blocks.
 
-Decoding explodes ids and joins the id-to-piece table, which has a row for each id of the vocabulary and is broadcast; a
-document's pieces stay neighbours and in order, and are put together as they arrive.
+Decoding explodes ids and joins the id-to-piece table, which has a row for each id of the vocabulary and is broadcast; the
+pieces of a row stay neighbours and in order, and are put together as they arrive. A round trip decodes a block's different
+words from their ids and lays the decoded words out by position, as it does with the ids; `decode` takes any ids.
 
 The splitting rules hold for the byte-level pattern of the public vocabularies (contractions, letters, numbers, others, white
 space). Text of the special tokens is a word of its own, as in the tokenizers library; what stands before it ends there.
@@ -167,57 +168,81 @@ def _width(size: int) -> str:
 
 
 def _encode(vocabulary: str | None):
-    """block, at, word (sorted by word) to block, at, ids: a word that comes again is not encoded again."""
+    """block, at, word (sorted by word) to block, at, packed (ids as bytes), ids: a word that comes again is not encoded again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(vocabulary)
         width = _width(t.get_vocab_size())
-        last, last_ids = None, b""
+        last, last_ids = None, []
         for b in batches:
             if not b.num_rows:
                 continue
             coded = b.column("word").dictionary_encode()
             words = coded.dictionary.to_pylist()
             known = [last_ids] if words[0] == last else []
-            found = t.encode_batch_fast([w.decode() for w in words[len(known) :]], add_special_tokens=False)
-            known += [np.array(e.ids, width).tobytes() for e in found]
+            known += [e.ids for e in t.encode_batch_fast([w.decode() for w in words[len(known) :]], add_special_tokens=False)]
             last, last_ids = words[-1], known[-1]
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("at"), pa.array(known, pa.binary()).take(coded.indices)], names=["block", "at", "ids"])
+            packed = pa.array([np.array(x, width).tobytes() for x in known], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("block"), b.column("at"), packed.take(coded.indices), pa.array(known, pa.list_(pa.int32())).take(coded.indices)],
+                names=["block", "at", "packed", "ids"],
+            )
 
     return run
 
 
-def _assemble(vocabulary: str | None):
-    def run(block: pa.Table, table: pa.Table) -> pa.Table:
-        row = block.to_pylist()[0]
-        width = np.dtype(_width(tokenizer(vocabulary).get_vocab_size()))
-        spelled = table.sort_by("at").column("ids").combine_chunks().cast(pa.large_binary()) if table.num_rows else pa.array([], pa.large_binary())
-        _, offs, data = spelled.buffers() if len(spelled) else (None, None, None)
-        at = np.frombuffer(offs, np.int64)[spelled.offset : spelled.offset + len(spelled) + 1] // width.itemsize if len(spelled) else np.zeros(1, np.int64)
-        ids = np.frombuffer(data, width)[: at[-1]].astype(np.int32) if len(spelled) else np.zeros(0, np.int32)
-        places, sizes = _unpack(row["places"]), np.array(row["sizes"], np.int64)
-        many = np.diff(at)
-        stops = np.concatenate([[0], np.cumsum(sizes)])
-        tokens = []
+def _spans(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column and where its rows begin and end in them."""
+    raw, offsets = texts_of(column) if len(column) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    return raw, np.array(offsets, np.int64)
+
+
+def _assemble(vocabulary: str | None, texts: bool):
+    def laid(flat: np.ndarray, at: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The stretches of `flat` at the places, one behind the other."""
+        many, out = np.diff(at), [flat[:0]]
         for i in range(0, len(places), 1 << 18):
             p = places[i : i + (1 << 18)]
             k = many[p]
-            tokens.append(ids[np.repeat(at[p] - np.cumsum(k) + k, k) + np.arange(k.sum())])
-        total = np.concatenate([[0], np.cumsum(many[places])])
-        ends = total[stops]
-        flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int32), pa.int32())
-        return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "ids": pa.LargeListArray.from_arrays(pa.array(ends), flat).cast(pa.list_(pa.int32()))})
+            out.append(flat[np.repeat(at[p] - np.cumsum(k) + k, k) + np.arange(k.sum())])
+        return np.concatenate(out)
+
+    def run(block: pa.Table, table: pa.Table) -> pa.Table:
+        row, table = block.to_pylist()[0], table.sort_by("at")
+        width = np.dtype(_width(tokenizer(vocabulary).get_vocab_size()))
+        places, stops = _unpack(row["places"]), np.concatenate([[0], np.cumsum(np.array(row["sizes"], np.int64))])
+        raw, at = _spans(table.column("packed"))
+        at = at // width.itemsize
+        flat = laid(raw.view(width).astype(np.int32), at, places)
+        ends = np.concatenate([[0], np.cumsum(np.diff(at)[places])])[stops]
+        out = {"doc_id": pa.array(row["doc_ids"], pa.int64()), "ids": pa.LargeListArray.from_arrays(pa.array(ends), pa.array(flat)).cast(pa.list_(pa.int32()))}
+        if texts:
+            raw, at = _spans(table.column("text"))
+            flat = laid(raw, at, places)
+            ends = np.concatenate([[0], np.cumsum(np.diff(at)[places])])[stops]
+            out["text"] = pa.Array.from_buffers(pa.large_string(), len(stops) - 1, [None, pa.py_buffer(ends), pa.py_buffer(flat)]).cast(pa.string())
+        return pa.table(out)
 
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None, most: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, ids: as the tokenizers library encodes each whole text without special tokens added."""
+def _words_and_ids(docs: DataFrame, vocabulary: str | None, most: int) -> tuple[DataFrame, DataFrame]:
     blocks = split(docs, vocabulary, most)
     words = blocks.select("block", F.posexplode("words").alias("at", "word"))
     words = words.repartition(shuffle_partitions(docs.sparkSession), "word").sortWithinPartitions("word")
-    ids = words.mapInArrow(_encode(vocabulary), "block long, at int, ids binary")
-    return blocks.select("block", "doc_ids", "sizes", "places").groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_assemble(vocabulary), "doc_id long, ids array<int>")
+    return blocks.select("block", "doc_ids", "sizes", "places"), words.mapInArrow(_encode(vocabulary), "block long, at int, packed binary, ids array<int>")
+
+
+def encode(docs: DataFrame, vocabulary: str | None = None, most: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, ids: as the tokenizers library encodes each whole text without special tokens added."""
+    blocks, words = _words_and_ids(docs, vocabulary, most)
+    return blocks.groupBy("block").cogroup(words.drop("ids").groupBy("block")).applyInArrow(_assemble(vocabulary, False), "doc_id long, ids array<int>")
+
+
+def round_trip(docs: DataFrame, vocabulary: str | None = None, most: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, ids, and text as decoded from the ids."""
+    blocks, words = _words_and_ids(docs, vocabulary, most)
+    return blocks.groupBy("block").cogroup(decode(words, vocabulary).groupBy("block")).applyInArrow(_assemble(vocabulary, True), "doc_id long, ids array<int>, text string")
 
 
 def piece_table(spark: SparkSession, vocabulary: str | None = None) -> DataFrame:
@@ -281,5 +306,5 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
     shown = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
-    told = encode(docs, vocabulary).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), shown.alias("ids_sha256"))
-    return decode(told, vocabulary).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    decoded = F.sha2(F.col("text").cast("binary"), 256)
+    return round_trip(docs, vocabulary).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), shown.alias("ids_sha256"), decoded.alias("decoded_sha256"))
