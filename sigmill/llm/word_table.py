@@ -2,10 +2,11 @@
 
 Texts are split into words at places where the vocabulary's own splitting always ends a token, whatever stands around
 them, so that a word's ids do not depend on its text. A block of documents is kept as its different words and, for every
-document, the places of its words among them. Blocks' words are dealt and sorted by word: equal ones are neighbours, and
-the tokenizer encodes each different word once. Ids return to their block by place and are laid out by position. A block is
-one row of a table bucketed by block, so what is long, the places, is written once and never exchanged; a block has a word
-once, so no word has more rows than there are blocks.
+document, the places of its words among them. A block's words are dealt in cells by their hash; a task explodes the cells
+that it gets and sorts them by word, so that equal words are neighbours and the tokenizer encodes each different word once.
+What it finds is sorted back into cells and returns to its block, where it is laid out by position. The blocks are a table
+bucketed by block, so what is long, the places, is written once and never exchanged; a block has a word once, so no word
+has more rows than there are blocks.
 
 Decoding explodes ids and joins the id-to-piece table, which has a row for each id of the vocabulary and is broadcast; the
 pieces of a row stay neighbours and in order, and are put together as they arrive. A round trip decodes a block's different
@@ -33,9 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import new_path, shuffle_partitions
-from .textops import CHUNK_BYTES, chunks, texts_of
+from .textops import CHUNK_BYTES, chunks, prefix_hash, span_hash, texts_of
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
 _LETTER, _DIGIT, _OTHER, _SPACE, _WHITE = 1, 2, 3, 4, 5
 
 _KIND = np.zeros(256, np.uint8)
@@ -104,6 +105,12 @@ def word_starts(raw: np.ndarray, offsets: np.ndarray, special: list[bytes]) -> n
     return np.flatnonzero(start)
 
 
+def _spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column and where its rows begin and end in them."""
+    raw, offsets = texts_of(column) if len(column) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    return raw, np.array(offsets, np.int64)
+
+
 def _pack(places: np.ndarray) -> bytes:
     """32-bit numbers, byte by byte of equal weight."""
     return zstandard.compress(np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
@@ -113,7 +120,7 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def _blocks(vocabulary: str | None, most: int):
+def _blocks(vocabulary: str | None, most: int, deals: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = special_tokens(tokenizer(vocabulary))
         block = TaskContext.get().partitionId() << 33
@@ -122,15 +129,20 @@ def _blocks(vocabulary: str | None, most: int):
         def finish() -> pa.RecordBatch:
             parts = pa.chunked_array(coded, pa.dictionary(pa.int32(), pa.large_binary())).unify_dictionaries().chunks
             words = parts[0].dictionary
-            order = pc.sort_indices(words)
+            raw, at = _spans(words)
+            deal = (span_hash(prefix_hash(raw), at[:-1], at[1:]) % np.uint64(deals)).astype(np.int64)
+            order = pc.sort_indices(words).to_numpy().astype(np.int64)
+            order = order[np.argsort(deal[order], kind="stable")]
             rank = np.empty(len(words), np.int64)
-            rank[order.to_numpy()] = np.arange(len(words))
+            rank[order] = np.arange(len(words))
             places = np.concatenate([rank[p.indices.to_numpy()] for p in parts])
-            words = words.take(order)
-            listed = pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words)
+            some, first = np.unique(deal[order], return_index=True)
+            of = pa.LargeListArray.from_arrays(pa.array([*first, len(words)], pa.int64()), words.take(pa.array(order))).cast(pa.list_(pa.binary()))
+            cells = pa.StructArray.from_arrays([pa.array(some, pa.int32()), pa.array(first, pa.int32()), of], ["deal", "first", "words"])
+            docs = pa.concat_arrays(ids)
             return pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.ListArray.from_arrays([0, sum(map(len, ids))], pa.concat_arrays(ids)), pa.array([np.concatenate(sizes)], pa.list_(pa.int64())), pa.array([_pack(places)], pa.binary()), listed.cast(pa.list_(pa.binary()))],
-                names=["block", "doc_ids", "sizes", "places", "words"],
+                [pa.array([block]), pa.ListArray.from_arrays([0, len(docs)], docs), pa.array([np.concatenate(sizes)], pa.list_(pa.int64())), pa.array([_pack(places)], pa.binary()), pa.ListArray.from_arrays([0, len(cells)], cells)],
+                names=["block", "doc_ids", "sizes", "places", "cells"],
             )
 
         for b in chunks(batches, most=min(CHUNK_BYTES, most)):
@@ -153,13 +165,15 @@ def _blocks(vocabulary: str | None, most: int):
 
 
 def split(docs: DataFrame, vocabulary: str | None = None, most: int = BLOCK_BYTES) -> DataFrame:
-    """A row a block: block, doc_ids, sizes (words of each document), places (of all their words), words (the different
-    ones, sorted). Written to the shared folder as a table bucketed by block."""
+    """A row a block: block, doc_ids, sizes (words of each document), places (of all their words among the different ones),
+    cells (deal, place of its first word, words). Written to the shared folder as a table bucketed by block."""
     spark = docs.sparkSession
+    parts = shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = rows.mapInArrow(_blocks(vocabulary, most), "block long, doc_ids array<long>, sizes array<long>, places binary, words array<binary>")
+    kinds = "block long, doc_ids array<long>, sizes array<long>, places binary, cells array<struct<deal:int,first:int,words:array<binary>>>"
+    blocks = rows.mapInArrow(_blocks(vocabulary, most, parts), kinds)
     name = f"bpe_blocks_{uuid.uuid4().hex}"
-    blocks.write.format("parquet").option("path", new_path(spark, "bpe-blocks")).option("compression", "zstd").bucketBy(shuffle_partitions(spark), "block").saveAsTable(name)
+    blocks.write.format("parquet").option("path", new_path(spark, "bpe-blocks")).option("compression", "zstd").bucketBy(parts, "block").saveAsTable(name)
     return spark.table(name)
 
 
@@ -191,58 +205,76 @@ def _encode(vocabulary: str | None):
     return run
 
 
-def _spans(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a column and where its rows begin and end in them."""
-    raw, offsets = texts_of(column) if len(column) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    return raw, np.array(offsets, np.int64)
+def _fill_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by block and place to one row for each stretch of neighbouring places, compressed."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        block, at = b.column("block").to_numpy(), b.column("at").to_numpy()
+        cuts = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(at) != 1)) + 1).tolist(), b.num_rows]
+        out = []
+        for name in ("packed", "text"):
+            raw, ends = _spans(b.column(name))
+            out.append([_pack(np.diff(ends[i : j + 1])) for i, j in zip(cuts, cuts[1:])])
+            out.append([zstandard.compress(raw[ends[i] : ends[j]].tobytes(), 3) for i, j in zip(cuts, cuts[1:])])
+        yield pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pa.array(at[cuts[:-1]]), *(pa.array(c, pa.binary()) for c in out)], names=["block", "first", "widths", "packed", "lengths", "text"])
+
 
+def _laid(flat: np.ndarray, at: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of `flat` at the places one behind the other, and where they begin and end."""
+    many = np.diff(at)[places]
+    ends = np.concatenate([[0], np.cumsum(many)])
+    return flat[np.repeat(at[places] - ends[:-1], many) + np.arange(ends[-1])], ends
 
-def _assemble(vocabulary: str | None, texts: bool):
-    def laid(flat: np.ndarray, at: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """The stretches of `flat` at the places, one behind the other."""
-        many, out = np.diff(at), [flat[:0]]
-        for i in range(0, len(places), 1 << 18):
-            p = places[i : i + (1 << 18)]
-            k = many[p]
-            out.append(flat[np.repeat(at[p] - np.cumsum(k) + k, k) + np.arange(k.sum())])
-        return np.concatenate(out)
 
-    def run(block: pa.Table, table: pa.Table) -> pa.Table:
-        row, table = block.to_pylist()[0], table.sort_by("at")
+def _assemble(vocabulary: str | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = np.dtype(_width(tokenizer(vocabulary).get_vocab_size()))
-        places, stops = _unpack(row["places"]), np.concatenate([[0], np.cumsum(np.array(row["sizes"], np.int64))])
-        raw, at = _spans(table.column("packed"))
-        at = at // width.itemsize
-        flat = laid(raw.view(width).astype(np.int32), at, places)
-        ends = np.concatenate([[0], np.cumsum(np.diff(at)[places])])[stops]
-        out = {"doc_id": pa.array(row["doc_ids"], pa.int64()), "ids": pa.LargeListArray.from_arrays(pa.array(ends), pa.array(flat)).cast(pa.list_(pa.int32()))}
-        if texts:
-            raw, at = _spans(table.column("text"))
-            flat = laid(raw, at, places)
-            ends = np.concatenate([[0], np.cumsum(np.diff(at)[places])])[stops]
-            out["text"] = pa.Array.from_buffers(pa.large_string(), len(stops) - 1, [None, pa.py_buffer(ends), pa.py_buffer(flat)]).cast(pa.string())
-        return pa.table(out)
+        for b in batches:
+            for k in range(b.num_rows):
+                row = {c: b.column(c)[k].as_py() for c in ("doc_ids", "sizes", "places", "filled")}
+                filled = sorted(row["filled"] or [], key=lambda c: c["first"])
+
+                def joined(sizes: str, blob: str, unit: int) -> tuple[np.ndarray, np.ndarray]:
+                    many = [_unpack(c[sizes]) for c in filled]
+                    raw = b"".join(zstandard.decompress(c[blob]) for c in filled)
+                    return np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum(np.concatenate(many) if many else [])]).astype(np.int64) // unit
+
+                (packed, at), (text, ends) = joined("widths", "packed", width.itemsize), joined("lengths", "text", 1)
+                ids, places, stops = packed.view(width), _unpack(row["places"]), np.concatenate([[0], np.cumsum(row["sizes"])]).astype(np.int64)
+                i = 0
+                while i < len(stops) - 1:
+                    j = max(i + 1, int(np.searchsorted(stops, stops[i] + (1 << 18), side="right")) - 1)
+                    p = places[stops[i] : stops[j]]
+                    mine, spelled = _laid(ids, at, p), _laid(text, ends, p)
+                    inner = stops[i : j + 1] - stops[i]
+                    tokens = pa.LargeListArray.from_arrays(pa.array(mine[1][inner]), pa.array(mine[0].astype(np.int32))).cast(pa.list_(pa.int32()))
+                    texts = pa.Array.from_buffers(pa.large_string(), j - i, [None, pa.py_buffer(spelled[1][inner]), pa.py_buffer(spelled[0])]).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][i:j], pa.int64()), tokens, texts], names=["doc_id", "ids", "text"])
+                    i = j
 
     return run
 
 
-def _words_and_ids(docs: DataFrame, vocabulary: str | None, most: int) -> tuple[DataFrame, DataFrame]:
+def _through_table(docs: DataFrame, vocabulary: str | None, most: int, decoded: bool) -> DataFrame:
     blocks = split(docs, vocabulary, most)
-    words = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    words = words.repartition(shuffle_partitions(docs.sparkSession), "word").sortWithinPartitions("word")
-    return blocks.select("block", "doc_ids", "sizes", "places"), words.mapInArrow(_encode(vocabulary), "block long, at int, packed binary, ids array<int>")
+    cells = blocks.select("block", F.explode("cells").alias("c")).select("block", "c.*").repartition(shuffle_partitions(docs.sparkSession), "deal")
+    words = cells.select("block", "first", F.posexplode("words").alias("k", "word")).select("block", (F.col("first") + F.col("k")).alias("at"), "word")
+    known = words.sortWithinPartitions("word").mapInArrow(_encode(vocabulary), "block long, at int, packed binary, ids array<int>")
+    known = decode(known, vocabulary) if decoded else known.select("block", "at", "packed", F.lit("").alias("text"))
+    filled = known.sortWithinPartitions("block", "at").mapInArrow(_fill_cells, "block long, first int, widths binary, packed binary, lengths binary, text binary")
+    filled = filled.groupBy("block").agg(F.collect_list(F.struct("first", "widths", "packed", "lengths", "text")).alias("filled"))
+    return blocks.select("block", "doc_ids", "sizes", "places").join(filled, "block", "left").mapInArrow(_assemble(vocabulary), "doc_id long, ids array<int>, text string")
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, most: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, ids: as the tokenizers library encodes each whole text without special tokens added."""
-    blocks, words = _words_and_ids(docs, vocabulary, most)
-    return blocks.groupBy("block").cogroup(words.drop("ids").groupBy("block")).applyInArrow(_assemble(vocabulary, False), "doc_id long, ids array<int>")
+    return _through_table(docs, vocabulary, most, False).drop("text")
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None, most: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, ids, and text as decoded from the ids."""
-    blocks, words = _words_and_ids(docs, vocabulary, most)
-    return blocks.groupBy("block").cogroup(decode(words, vocabulary).groupBy("block")).applyInArrow(_assemble(vocabulary, True), "doc_id long, ids array<int>, text string")
+    return _through_table(docs, vocabulary, most, True)
 
 
 def piece_table(spark: SparkSession, vocabulary: str | None = None) -> DataFrame:

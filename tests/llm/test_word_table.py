@@ -68,7 +68,7 @@ def test_each_word_is_encoded_once(spark):
     docs = H.frame(spark, [(i, "the same words in the same order", "en", "a", None, 1, 0.5, 1, "k", 7) for i in range(400)])
     blocks = W.split(docs.repartition(5), most=64)
     assert blocks.count() > 100
-    assert blocks.selectExpr("explode(words) as w").distinct().count() == 6
+    assert blocks.selectExpr("explode(cells) as c").selectExpr("explode(c.words) as w").distinct().count() == 6
 
 
 def test_empty_table(spark):
