@@ -2,15 +2,14 @@
 
 Texts are split into words at places where the vocabulary's own splitting always ends a token, whatever stands around
 them, so that a word's ids do not depend on its text. A block of documents is kept as its different words and, for every
-document, the places of its words among them. A block's words are dealt in cells by their hash; a task explodes the cells
-that it gets and sorts them by word, so that equal words are neighbours and the tokenizer encodes each different word once.
-What it finds is sorted back into cells and returns to its block, where it is laid out by position. The blocks are a table
-bucketed by block, so what is long, the places, is written once and never exchanged; a block has a word once, so no word
-has more rows than there are blocks.
+document, the places of its words among them. A block's words are dealt in cells by their hash; a task gets all blocks'
+cells of a deal, finds their different words, and the tokenizer encodes each of them once. The ids return to their block by
+place and are laid out by position. The blocks are a table bucketed by block, so what is long, the places, is written once
+and never exchanged; a block has a word once, so no word has more rows than there are blocks.
 
-Decoding explodes ids and joins the id-to-piece table, which has a row for each id of the vocabulary and is broadcast; the
-pieces of a row stay neighbours and in order, and are put together as they arrive. A round trip decodes a block's different
-words from their ids and lays the decoded words out by position, as it does with the ids; `decode` takes any ids.
+Ids are decoded by a join with the id-to-piece table, which has a row for each id of the vocabulary, whatever the corpus, and
+is broadcast. A round trip joins the ids of each different word once and lays the decoded words out by position, as it does
+with the ids; `decode` joins any ids: they are exploded, and the pieces of a row stay neighbours and in order.
 
 The splitting rules hold for the byte-level pattern of the public vocabularies (contractions, letters, numbers, others, white
 space). Text of the special tokens is a word of its own, as in the tokenizers library; what stands before it ends there.
@@ -21,6 +20,7 @@ and null doc_ids are kept; an empty table gives an empty result; other columns a
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 from collections.abc import Iterator
@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from .shared import new_path, shuffle_partitions
 from .textops import CHUNK_BYTES, chunks, prefix_hash, span_hash, texts_of
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
+_CELL = pa.struct([("deal", pa.int32()), ("first", pa.int32()), ("lengths", pa.binary()), ("words", pa.binary())])
 _LETTER, _DIGIT, _OTHER, _SPACE, _WHITE = 1, 2, 3, 4, 5
 
 _KIND = np.zeros(256, np.uint8)
@@ -55,6 +56,7 @@ def vocabulary_file(vocabulary: str | None) -> str:
     return vocabulary or public_tokenizers.path("byte_bpe_50k.json")
 
 
+@functools.lru_cache(maxsize=1)
 def tokenizer(vocabulary: str | None = None):
     """The library's tokenizer, without truncation and padding, one thread."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -120,9 +122,8 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def _blocks(vocabulary: str | None, most: int, deals: int):
+def _blocks(special: list[bytes], most: int, deals: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        special = special_tokens(tokenizer(vocabulary))
         block = TaskContext.get().partitionId() << 33
         ids, sizes, coded, held = [], [], [], 0
 
@@ -133,15 +134,16 @@ def _blocks(vocabulary: str | None, most: int, deals: int):
             deal = (span_hash(prefix_hash(raw), at[:-1], at[1:]) % np.uint64(deals)).astype(np.int64)
             order = pc.sort_indices(words).to_numpy().astype(np.int64)
             order = order[np.argsort(deal[order], kind="stable")]
-            rank = np.empty(len(words), np.int64)
+            rank = np.empty(len(words), np.int32)
             rank[order] = np.arange(len(words))
             places = np.concatenate([rank[p.indices.to_numpy()] for p in parts])
             some, first = np.unique(deal[order], return_index=True)
-            of = pa.LargeListArray.from_arrays(pa.array([*first, len(words)], pa.int64()), words.take(pa.array(order))).cast(pa.list_(pa.binary()))
-            cells = pa.StructArray.from_arrays([pa.array(some, pa.int32()), pa.array(first, pa.int32()), of], ["deal", "first", "words"])
+            raw, at = _spans(words.take(pa.array(order)))
+            ends = [*first[1:].tolist(), len(words)]
+            cells = [{"deal": int(d), "first": i, "lengths": _pack(np.diff(at[i : j + 1])), "words": zstandard.compress(raw[at[i] : at[j]].tobytes(), 3)} for d, i, j in zip(some, first.tolist(), ends)]
             docs = pa.concat_arrays(ids)
             return pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.ListArray.from_arrays([0, len(docs)], docs), pa.array([np.concatenate(sizes)], pa.list_(pa.int64())), pa.array([_pack(places)], pa.binary()), pa.ListArray.from_arrays([0, len(cells)], cells)],
+                [pa.array([block]), pa.ListArray.from_arrays([0, len(docs)], docs), pa.array([np.concatenate(sizes)], pa.list_(pa.int64())), pa.array([_pack(places)], pa.binary()), pa.array([cells], pa.list_(_CELL))],
                 names=["block", "doc_ids", "sizes", "places", "cells"],
             )
 
@@ -166,60 +168,16 @@ def _blocks(vocabulary: str | None, most: int, deals: int):
 
 def split(docs: DataFrame, vocabulary: str | None = None, most: int = BLOCK_BYTES) -> DataFrame:
     """A row a block: block, doc_ids, sizes (words of each document), places (of all their words among the different ones),
-    cells (deal, place of its first word, words). Written to the shared folder as a table bucketed by block."""
+    cells (deal, place of its first word, lengths, words). Written to the shared folder as a table bucketed by block."""
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kinds = "block long, doc_ids array<long>, sizes array<long>, places binary, cells array<struct<deal:int,first:int,words:array<binary>>>"
-    blocks = rows.mapInArrow(_blocks(vocabulary, most, parts), kinds)
+    kinds = "block long, doc_ids array<long>, sizes array<long>, places binary, cells array<struct<deal:int,first:int,lengths:binary,words:binary>>"
+    blocks = rows.mapInArrow(_blocks(special_tokens(tokenizer(vocabulary)), most, 2 * shuffle_partitions(spark)), kinds)
     name = f"bpe_blocks_{uuid.uuid4().hex}"
-    blocks.write.format("parquet").option("path", new_path(spark, "bpe-blocks")).option("compression", "zstd").bucketBy(parts, "block").saveAsTable(name)
+    blocks.write.format("parquet").option("path", new_path(spark, "bpe-blocks")).option("compression", "zstd").bucketBy(shuffle_partitions(spark), "block").saveAsTable(name)
     return spark.table(name)
 
 
-def _width(size: int) -> str:
-    return "<u2" if size <= 1 << 16 else "<u4"
-
-
-def _encode(vocabulary: str | None):
-    """block, at, word (sorted by word) to block, at, packed (ids as bytes), ids: a word that comes again is not encoded again."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(vocabulary)
-        width = _width(t.get_vocab_size())
-        last, last_ids = None, []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            coded = b.column("word").dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            known = [last_ids] if words[0] == last else []
-            known += [e.ids for e in t.encode_batch_fast([w.decode() for w in words[len(known) :]], add_special_tokens=False)]
-            last, last_ids = words[-1], known[-1]
-            packed = pa.array([np.array(x, width).tobytes() for x in known], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("block"), b.column("at"), packed.take(coded.indices), pa.array(known, pa.list_(pa.int32())).take(coded.indices)],
-                names=["block", "at", "packed", "ids"],
-            )
-
-    return run
-
-
-def _fill_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by block and place to one row for each stretch of neighbouring places, compressed."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        block, at = b.column("block").to_numpy(), b.column("at").to_numpy()
-        cuts = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(at) != 1)) + 1).tolist(), b.num_rows]
-        out = []
-        for name in ("packed", "text"):
-            raw, ends = _spans(b.column(name))
-            out.append([_pack(np.diff(ends[i : j + 1])) for i, j in zip(cuts, cuts[1:])])
-            out.append([zstandard.compress(raw[ends[i] : ends[j]].tobytes(), 3) for i, j in zip(cuts, cuts[1:])])
-        yield pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pa.array(at[cuts[:-1]]), *(pa.array(c, pa.binary()) for c in out)], names=["block", "first", "widths", "packed", "lengths", "text"])
-
-
 def _laid(flat: np.ndarray, at: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches of `flat` at the places one behind the other, and where they begin and end."""
     many = np.diff(at)[places]
@@ -227,69 +185,94 @@ def _laid(flat: np.ndarray, at: np.ndarray, places: np.ndarray) -> tuple[np.ndar
     return flat[np.repeat(at[places] - ends[:-1], many) + np.arange(ends[-1])], ends
 
 
-def _assemble(vocabulary: str | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = np.dtype(_width(tokenizer(vocabulary).get_vocab_size()))
-        for b in batches:
-            for k in range(b.num_rows):
-                row = {c: b.column(c)[k].as_py() for c in ("doc_ids", "sizes", "places", "filled")}
-                filled = sorted(row["filled"] or [], key=lambda c: c["first"])
-
-                def joined(sizes: str, blob: str, unit: int) -> tuple[np.ndarray, np.ndarray]:
-                    many = [_unpack(c[sizes]) for c in filled]
-                    raw = b"".join(zstandard.decompress(c[blob]) for c in filled)
-                    return np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum(np.concatenate(many) if many else [])]).astype(np.int64) // unit
-
-                (packed, at), (text, ends) = joined("widths", "packed", width.itemsize), joined("lengths", "text", 1)
-                ids, places, stops = packed.view(width), _unpack(row["places"]), np.concatenate([[0], np.cumsum(row["sizes"])]).astype(np.int64)
-                i = 0
-                while i < len(stops) - 1:
-                    j = max(i + 1, int(np.searchsorted(stops, stops[i] + (1 << 18), side="right")) - 1)
-                    p = places[stops[i] : stops[j]]
-                    mine, spelled = _laid(ids, at, p), _laid(text, ends, p)
-                    inner = stops[i : j + 1] - stops[i]
-                    tokens = pa.LargeListArray.from_arrays(pa.array(mine[1][inner]), pa.array(mine[0].astype(np.int32))).cast(pa.list_(pa.int32()))
-                    texts = pa.Array.from_buffers(pa.large_string(), j - i, [None, pa.py_buffer(spelled[1][inner]), pa.py_buffer(spelled[0])]).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][i:j], pa.int64()), tokens, texts], names=["doc_id", "ids", "text"])
-                    i = j
+def joined_words(cells: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of several cells' values, one behind the other, and where each begins and ends."""
+    many = [_unpack(sizes) for sizes, _ in cells]
+    raw = b"".join(zstandard.decompress(blob) for _, blob in cells)
+    return np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum(np.concatenate(many) if many else [])]).astype(np.int64)
 
-    return run
 
+def _encode(vocabulary: str | None, pieces):
+    """The cells of a deal to the same cells with ids and decoded words; each different word is encoded and decoded once."""
 
-def _through_table(docs: DataFrame, vocabulary: str | None, most: int, decoded: bool) -> DataFrame:
-    blocks = split(docs, vocabulary, most)
-    cells = blocks.select("block", F.explode("cells").alias("c")).select("block", "c.*").repartition(shuffle_partitions(docs.sparkSession), "deal")
-    words = cells.select("block", "first", F.posexplode("words").alias("k", "word")).select("block", (F.col("first") + F.col("k")).alias("at"), "word")
-    known = words.sortWithinPartitions("word").mapInArrow(_encode(vocabulary), "block long, at int, packed binary, ids array<int>")
-    known = decode(known, vocabulary) if decoded else known.select("block", "at", "packed", F.lit("").alias("text"))
-    filled = known.sortWithinPartitions("block", "at").mapInArrow(_fill_cells, "block long, first int, widths binary, packed binary, lengths binary, text binary")
-    filled = filled.groupBy("block").agg(F.collect_list(F.struct("first", "widths", "packed", "lengths", "text")).alias("filled"))
-    return blocks.select("block", "doc_ids", "sizes", "places").join(filled, "block", "left").mapInArrow(_assemble(vocabulary), "doc_id long, ids array<int>, text string")
+    def run(deal: pa.Table) -> pa.Table:
+        t = tokenizer(vocabulary)
+        raw, at = joined_words(list(zip(deal.column("lengths").to_pylist(), deal.column("words").to_pylist())))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(raw)]).dictionary_encode()
+        words, flat, many = coded.dictionary, [np.zeros(0, np.int32)], []
+        for i in range(0, len(words), 10_000):
+            found = [e.ids for e in t.encode_batch_fast([w.decode() for w in words.slice(i, 10_000).to_pylist()], add_special_tokens=False)]
+            many += map(len, found)
+            flat.append(np.array([k for ids in found for k in ids], np.int32))
+        ids, begins = np.concatenate(flat), np.concatenate([[0], np.cumsum(many)]).astype(np.int64)
+        spelled, ends = _spans(pieces.value.take(pa.array(ids)))  # row k of the table is the piece of id k
+        ends = ends[begins]
+        of, start, out = coded.indices.to_numpy(), 0, []
+        for sizes in deal.column("lengths").to_pylist():
+            mine = of[start : start + len(_unpack(sizes))]
+            start += len(mine)
+            (a, i), (b, j) = _laid(ids, begins, mine), _laid(spelled, ends, mine)
+            out.append((_pack(np.diff(i)), _pack(a), _pack(np.diff(j)), zstandard.compress(b.tobytes(), 3)))
+        blobs = [pa.array(c, pa.binary()) for c in zip(*out)]
+        return pa.table([deal.column("block"), deal.column("first"), *blobs], names=["block", "first", "widths", "ids", "lengths", "text"])
+
+    return run
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None, most: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, ids: as the tokenizers library encodes each whole text without special tokens added."""
-    return _through_table(docs, vocabulary, most, False).drop("text")
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with their cells' ids and decoded words to documents, a bounded number of words at a time."""
+    for b in batches:
+        for k in range(b.num_rows):
+            row = {c: b.column(c)[k].as_py() for c in ("doc_ids", "sizes", "places", "filled")}
+            filled = sorted(row["filled"] or [], key=lambda c: c["first"])
+            many = [_unpack(c["widths"]) for c in filled]
+            at = np.concatenate([[0], np.cumsum(np.concatenate(many) if many else [])]).astype(np.int64)
+            ids = np.concatenate([np.zeros(0, np.int32), *(_unpack(c["ids"]).astype(np.int32) for c in filled)])
+            text, ends = joined_words([(c["lengths"], c["text"]) for c in filled])
+            places, stops = _unpack(row["places"]), np.concatenate([[0], np.cumsum(row["sizes"])]).astype(np.int64)
+            i = 0
+            while i < len(stops) - 1:
+                j = max(i + 1, int(np.searchsorted(stops, stops[i] + (1 << 18), side="right")) - 1)
+                p = places[stops[i] : stops[j]]
+                mine, spelled = _laid(ids, at, p), _laid(text, ends, p)
+                inner = stops[i : j + 1] - stops[i]
+                tokens = pa.LargeListArray.from_arrays(pa.array(mine[1][inner]), pa.array(mine[0])).cast(pa.list_(pa.int32()))
+                texts = pa.Array.from_buffers(pa.large_string(), j - i, [None, pa.py_buffer(spelled[1][inner]), pa.py_buffer(spelled[0])]).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][i:j], pa.int64()), tokens, texts], names=["doc_id", "ids", "text"])
+                i = j
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None, most: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, ids, and text as decoded from the ids."""
-    return _through_table(docs, vocabulary, most, True)
+    """doc_id, ids as the tokenizers library encodes each whole text without special tokens added, and text as decoded."""
+    spark = docs.sparkSession
+    blocks = split(docs, vocabulary, most)
+    pieces = spark.sparkContext.broadcast(pa.array([p for _, p in pieces_of(vocabulary)], pa.binary()))
+    cells = blocks.select("block", F.explode("cells").alias("c")).select("block", "c.*")
+    kinds = "block long, first int, widths binary, ids binary, lengths binary, text binary"
+    filled = cells.groupBy("deal").applyInArrow(_encode(vocabulary, pieces), kinds)
+    filled = filled.groupBy("block").agg(F.collect_list(F.struct("first", "widths", "ids", "lengths", "text")).alias("filled"))
+    return blocks.select("block", "doc_ids", "sizes", "places").join(filled, "block", "left").mapInArrow(_assemble, "doc_id long, ids array<int>, text string")
 
 
-def piece_table(spark: SparkSession, vocabulary: str | None = None) -> DataFrame:
-    """id, piece: the bytes of each id."""
+def encode(docs: DataFrame, vocabulary: str | None = None, most: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, ids."""
+    return round_trip(docs, vocabulary, most).drop("text")
+
+
+def pieces_of(vocabulary: str | None = None) -> list[tuple[int, bytes]]:
+    """The bytes of each id."""
     t = tokenizer(vocabulary)
     added = t.get_added_tokens_decoder()
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in pieces
     hidden = [b for b in range(256) if b not in shown]
     byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-    rows = []
-    for k in range(t.get_vocab_size()):
-        token = t.id_to_token(k)
-        if token is not None:
-            rows.append((k, bytearray(token.encode() if k in added else bytes(byte[c] for c in token))))
-    return spark.createDataFrame(rows, "id int, piece binary")
+    tokens = [t.id_to_token(k) for k in range(t.get_vocab_size())]
+    return [(k, b"" if s is None else s.encode() if k in added else bytes(byte[c] for c in s)) for k, s in enumerate(tokens)]
+
+
+def piece_table(spark: SparkSession, vocabulary: str | None = None) -> DataFrame:
+    """id, piece."""
+    return spark.createDataFrame([(k, bytearray(p)) for k, p in pieces_of(vocabulary)], "id int, piece binary")
 
 
 def _join_pieces(names: list[str]):
