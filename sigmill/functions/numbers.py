@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def number(value: Column) -> Column:
@@ -50,10 +48,36 @@ def clip(x: Column, low: Column, high: Column) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, low), high))
 
 
-@F.pandas_udf(T.DoubleType())
-def two_sided_p(t: pd.Series) -> pd.Series:
-    """erfc(|t| / sqrt 2); Spark has no erfc."""
-    return t.map(lambda v: None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2.0)))
+def flat(changed_at: str, count: str, rows: int) -> Column:
+    """Whether a series had one value only in the last `rows` rows: it has `count` values up to this row, the last of another
+    value than the one before it was number `changed_at`."""
+    return F.col(count) - F.col(changed_at) + 1 >= within(count, rows)
+
+
+def last_change(x: Column, count: str) -> Column:
+    """The number, among the ticker's values of x, of the last one that differs from the value before it."""
+    up_to = by_ticker().rowsBetween(Window.unboundedPreceding, 0)
+    before = F.last(x, ignorenulls=True).over(by_ticker().rowsBetween(Window.unboundedPreceding, -1))
+    return F.max(F.when(x.isNotNull() & ~x.eqNullSafe(before), F.col(count))).over(up_to)
+
+
+def erfc(z: Column, terms: int = 60) -> Column:
+    """The complementary error function of z >= 0: the series of erf below 2, the continued fraction from there on."""
+    steps, scale = F.sequence(F.lit(1), F.lit(terms)), F.exp(-z * z) / math.sqrt(math.pi)
+    start = F.struct(z.alias("term"), z.alias("sum"))
+
+    def add(a: Column, k: Column) -> Column:
+        term = a["term"] * 2 * z * z / (2 * k + 1)
+        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
+
+    series = 1 - 2 * scale * F.aggregate(steps, start, add)["sum"]
+    fraction = scale / (z + F.aggregate(F.reverse(steps), F.lit(0.0), lambda a, k: k / 2.0 / (z + a)))
+    return F.when(z < 2, series).otherwise(fraction)
+
+
+def two_sided_p(t: Column | str) -> Column:
+    """erfc(|t| / sqrt 2)."""
+    return erfc(F.abs(F.col(t) if isinstance(t, str) else t) / math.sqrt(2.0))
 
 
 def row_mean(columns: list[Column]) -> Column:

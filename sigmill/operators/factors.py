@@ -21,9 +21,19 @@ def past_return(near: int, far: int, price: str = "price_eur") -> Column:
     return ratio(F.lag(price, near).over(w) if near else F.col(price), F.lag(price, far).over(w)) - 1
 
 
-def _largest_mean(values: Column, n: int) -> Column:
-    top = F.slice(F.sort_array(values, asc=False), 1, n)
-    return F.aggregate(top, F.lit(0.0), lambda a, x: a + x) / F.size(top)
+def _lags(column: str, step: int, most: int) -> list[Column]:
+    """The column and what it was `step`, 2 * step, ... rows ago, `most` rows ago at the farthest."""
+    at = sorted({min(k, most) for k in range(0, most + step, step)})
+    return [F.lag(column, k).over(by_ticker()) if k else F.col(column) for k in at]
+
+
+def _largest(arrays: Column, n: int) -> Column:
+    return F.slice(F.sort_array(arrays, asc=False), 1, n)
+
+
+def _mean(values: Column) -> Column:
+    there = F.filter(values, lambda x: x.isNotNull())
+    return F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(there), F.lit(0))
 
 
 def add_returns(bars: DataFrame) -> DataFrame:
@@ -39,11 +49,19 @@ def deviation(rows: int, least: int) -> Column:
 
 
 def add_factors(bars: DataFrame) -> DataFrame:
-    """Momentum, reversal, volatility, size, liquidity and lottery factors of every row."""
+    """Momentum, reversal, volatility, size, liquidity and lottery factors of every row.
+
+    No frame slides: sums and counts are differences of running ones; the maximum of 252 rows is made from maxima of 4, 16
+    and 64 rows, and the five largest of 21 from the five largest of seven, by lags (a greatest() or an array skips rows
+    that are not there)."""
     p, r, t = F.col("price_eur"), F.col("ret_1d_eur"), F.col("turnover_eur")
     df = add_returns(bars).withColumn("_illiq", ratio(F.abs(r), F.nullif(t, F.lit(0.0))))
-    df = df.withColumns({"_n": running(r.isNotNull().cast("double")), "_s": running(r), "_ss": running(r * r)})
     zero = (F.coalesce(r, F.lit(0.0)) == 0).cast("double")
+    df = df.withColumns({
+        "_n": running(r.isNotNull().cast("double")), "_s": running(r), "_ss": running(r * r), "_rows": running(F.lit(1.0)), "_zeros": running(zero), "_prices": running(p.isNotNull().cast("double")),
+        "_max4": F.greatest(*_lags("price_eur", 1, 3)), "_top7": _largest(F.array(*_lags("ret_1d_eur", 1, 6)), 5),
+    }).withColumns({"_max16": F.greatest(*_lags("_max4", 4, 12)), "_top21": _largest(F.flatten(F.filter(F.array(*_lags("_top7", 7, 14)), lambda a: a.isNotNull())), 5)})
+    df = df.withColumn("_max64", F.greatest(*_lags("_max16", 16, 48)))
     df = df.withColumns({
         "mom_12_1": past_return(21, 273),
         "mom_6_1": past_return(21, 147),
@@ -51,17 +69,16 @@ def add_factors(bars: DataFrame) -> DataFrame:
         "vol_60d": deviation(60, 40),
         "vol_252d": deviation(252, 200),
         "adv_eur_20": gated(F.avg(t), t, trailing(20), 10),
-        "hi52_prox": ratio(p, gated(F.max(p), p, trailing(252), 20)) - 1,
+        "hi52_prox": ratio(p, F.when(within("_prices", 252) >= 20, F.greatest(*_lags("_max64", 64, 188)))) - 1,
         "amihud_20d": gated(F.avg("_illiq"), F.col("_illiq"), trailing(20), 10),
-        "zero_ret_20d": gated(F.avg(zero), zero, trailing(20), 10),
-        "_recent": F.when(F.count(r).over(trailing(21)) >= 10, F.collect_list(r).over(trailing(21))),
+        "zero_ret_20d": F.when(within("_rows", 20) >= 10, within("_zeros", 20) / within("_rows", 20)),
+        "max5_21d": F.when(within("_n", 21) >= 10, _mean(F.col("_top21"))),
     })
     return df.withColumns({
         "rev_5d": -F.col("ret_5d"),
         "size_proxy": F.ln(F.nullif(F.col("adv_eur_20"), F.lit(0.0))),
         "liq_proxy": -F.ln(F.nullif(F.col("amihud_20d"), F.lit(0.0))),
-        "max5_21d": _largest_mean(F.col("_recent"), 5),
-    }).drop("_illiq", "_recent", "_n", "_s", "_ss")
+    }).drop("_illiq", "_n", "_s", "_ss", "_rows", "_zeros", "_prices", "_max4", "_max16", "_max64", "_top7", "_top21")
 
 
 def detect_splits(bars: DataFrame, tolerance: float = 0.02) -> DataFrame:
@@ -76,14 +93,25 @@ def detect_splits(bars: DataFrame, tolerance: float = 0.02) -> DataFrame:
     return df.filter(hit & blip).select("ticker", "date", "ratio")
 
 
-def forward_return(ret: str = "ret_1d_eur", horizon: int = 1) -> Column:
-    """Compounded return of the next `horizon` rows, null unless all of them have one."""
-    w = by_ticker().rowsBetween(1, horizon)
-    return F.when(F.count(ret).over(w) == horizon, F.product(1 + F.col(ret)).over(w) - 1)
+def _with_growth(df: DataFrame, ret: str) -> DataFrame:
+    """Running counts of returns, total losses and signs, and the running sum of log growth."""
+    growth = 1 + F.col(ret)
+    return df.withColumns({
+        "_gn": running(F.col(ret).isNotNull().cast("double")), "_gz": running((growth == 0).cast("double")), "_gm": running((growth < 0).cast("double")),
+        "_gl": running(F.when(growth != 0, F.ln(F.abs(growth)))),
+    })
+
+
+def forward_return(horizon: int) -> Column:
+    """Compounded return of the next `horizon` rows, null unless all of them have one: from what is running, so that a row
+    costs the same however long the horizon is. A total loss stays one."""
+    n, zeros, below, logs = (F.lead(c, horizon).over(by_ticker()) - F.col(c) for c in ("_gn", "_gz", "_gm", "_gl"))
+    sign = F.when(below % 2 == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
+    return F.when(n == horizon, F.when(zeros > 0, F.lit(0.0)).otherwise(sign * F.exp(logs)) - 1)
 
 
 def add_forward_returns(df: DataFrame, ret: str = "ret_1d_eur", horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
-    return df.withColumns({f"fwd_{h}d": forward_return(ret, h) for h in horizons})
+    return _with_growth(df, ret).withColumns({f"fwd_{h}d": forward_return(h) for h in horizons}).drop("_gn", "_gz", "_gm", "_gl")
 
 
 def shock_tags(df: DataFrame, z: float = 3.0, ret_sigma: float = 3.0) -> DataFrame:

@@ -538,6 +538,18 @@ def w15_beta_tstat(spark, d):
     return market.beta_tstat(_betas(spark, d)).select("date", "ticker", F.round("beta_tstat", 5).alias("beta_tstat"))
 
 
+_HALF = "extract(month from f.date) between 1 and 9"
+_FLAT_SQL = f"""{FACTORS_SQL}, {MARKET_SQL}, fm as (select f.*, case when {_HALF} then 0.003 else g.mkt_ret end as mkt_ret from factors f join global_market g on f.date = g.date)"""
+
+
+@query(f"""with {_FLAT_SQL}, n as (select *, count(distinct mkt_ret) {frame(60)} as k from fm)
+select {K}, round(case when k > 1 then {gate("regr_slope(ret_1d_eur, mkt_ret)", "mkt_ret", 60, 40)} end, 3) + 0.0 as beta_60 from n""")
+def w14_flat_market(spark, d):
+    """Betas where the market stands still for most of the year: none in windows in which it does not vary."""
+    df = market.add_market(built(spark, d), "global").withColumn("mkt_ret", F.when(F.month("date") <= 9, F.lit(0.003)).otherwise(F.col("mkt_ret")))
+    return market.add_betas(df).select("date", "ticker", (F.round("beta_60", 3) + 0.0).alias("beta_60"))
+
+
 @query(f"with {FACTORS_SQL} select {K}, {', '.join(f'round({_FWD.format(h=h)}, {DIGITS}) + 0.0 as fwd_{h}d' for h in fac.HORIZONS)} from factors")
 def w16_forward_returns(spark, d):
     return fac.add_forward_returns(built(spark, d)).select("date", "ticker", *(f"fwd_{h}d" for h in fac.HORIZONS))

@@ -136,3 +136,63 @@ def test_rolling_weights_shrink_and_keep_null_months(spark):
     clipped = np.array([0.4, 0.25, -0.25]) / 0.9
     want = 0.2 + 0.4 * clipped
     assert [w[dt.date(2000, 10, 31), f] for f in "abc"] == pytest.approx(list(want))
+
+
+def test_p_values_at_all_sizes(spark):
+    import math
+
+    t = [k / 7 for k in range(-300, 300)]
+    got = spark.createDataFrame([(x,) for x in t], "t double").select("t", two_sided_p("t").alias("p")).collect()
+    assert all(r.p == pytest.approx(math.erfc(abs(r.t) / math.sqrt(2)), rel=1e-11) for r in got)
+
+
+def _bars(spark, prices):
+    return spark.createDataFrame([(t, day(i), None if p is None else float(p), 10.0) for t, row in prices.items() for i, p in enumerate(row)], "ticker string, date date, price_eur double, volume double")
+
+
+def test_lags_of_lags_give_the_window(spark):
+    """Trailing maximum and mean of the five largest against slices of the series, where rows are few and where they are many."""
+    from sigmill.operators import factors
+
+    rng = np.random.RandomState(5)
+    p = 100 * np.exp(np.cumsum(rng.randn(600) * 0.03))
+    got = factors.add_factors(_bars(spark, {"A": p, "B": p[:30]})).filter("ticker = 'A'").orderBy("date").collect()
+    r = p[1:] / p[:-1] - 1
+    for i, row in enumerate(got):
+        back = p[max(0, i - 251) : i + 1]
+        assert row.hi52_prox == (pytest.approx(p[i] / back.max() - 1, abs=1e-12) if len(back) >= 20 else None)
+        last = r[max(0, i - 21) : i]
+        assert row.max5_21d == (pytest.approx(np.sort(last)[-5:].mean()) if len(last) >= 10 else None)
+    assert len(got) == 600
+
+
+def test_forward_returns_with_gaps_and_losses(spark):
+    from sigmill.operators import factors
+
+    rng = np.random.RandomState(6)
+    r = [float(x) for x in rng.randn(80) * 0.05]
+    r[20], r[45], r[60], r[61] = None, -1.0, -1.5, -2.0
+    df = spark.createDataFrame([("A", day(i), x) for i, x in enumerate(r)], "ticker string, date date, ret_1d_eur double")
+    for i, row in enumerate(factors.add_forward_returns(df).orderBy("date").collect()):
+        for h in factors.HORIZONS:
+            ahead = r[i + 1 : i + 1 + h]
+            want = None if len(ahead) < h or None in ahead else float(np.prod([1 + x for x in ahead])) - 1
+            assert row[f"fwd_{h}d"] == (None if want is None else pytest.approx(want, abs=1e-11)), (i, h)
+
+
+def test_no_beta_where_the_market_stands_still(spark):
+    from sigmill.operators import market
+
+    rng = np.random.RandomState(7)
+    m = [0.003] * 150 + list(rng.randn(60) * 0.01) + [0.003] * 100
+    rows = [("A", day(i), None if i % 17 == 0 else float(rng.randn() * 0.02), None if i % 23 == 0 else float(x)) for i, x in enumerate(m)]
+    df = spark.createDataFrame(rows, "ticker string, date date, ret_1d_eur double, mkt_ret double")
+    got = market.beta_tstat(market.add_betas(df), beta="beta_60", window=60, least=40).orderBy("date").collect()
+    for i, row in enumerate(got):
+        pairs = [(a, b) for _, _, a, b in rows[max(0, i - 59) : i + 1] if a is not None and b is not None]
+        a, b = np.array(pairs).T if pairs else (np.zeros(0), np.zeros(0))
+        if len(pairs) < 40 or len(set(b)) == 1:
+            assert row.beta_60 is None and row.beta_tstat is None, i
+        else:
+            assert row.beta_60 == pytest.approx(np.cov(a, b)[0, 1] / b.var(ddof=1), rel=1e-6)
+    assert got[100].beta_60 is None and got[180].beta_60 is not None and got[309].beta_60 is None
