@@ -1,17 +1,18 @@
 """Per-date operators: scores, clipping, buckets and regressions on groups.
 
-Windows partition by date, or by date and a group, so one exchange on the date serves them; the grouped regressions
-need another one on the month."""
+Windows partition by date, or by date and a group, so one exchange on the date serves them; regressions on several groups
+exchange sums by date and levels, not names."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.numbers import clip
 from ..sources.stage import staged
@@ -76,45 +77,40 @@ def demean_by(column: str, group: str, first: str, least: int = 2) -> Column:
     return F.when(F.count(x).over(Window.partitionBy("date")) >= least, x - own)
 
 
-def _residuals(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
-    if ridge:
-        beta = np.linalg.solve(x.T @ x + ridge * np.eye(x.shape[1]), x.T @ y)
-    else:
-        beta = np.linalg.lstsq(x, y, rcond=None)[0]
-    return y - x @ beta
-
-
-def _design(codes: np.ndarray, levels: list[int], full: bool) -> np.ndarray:
-    """Intercept and dummies. codes: -1 for null. Without `full` the first level and null are the baseline."""
-    parts = [np.ones((len(codes), 1))]
+def _coefficients(factors: list[str], levels: list[int], numeric: int, full: bool, least: int, ridge: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Sums of a month's cells to the coefficients of each date: intercept, levels of each group, numeric columns."""
+    first = 0 if full else 1
+    place = [0]  # of each design column in the full layout
     for k, n in enumerate(levels):
-        first = 0 if full else 1
-        parts.append((codes[:, k][:, None] == np.arange(first, n)[None]).astype(float))
-    return np.concatenate(parts, axis=1)
+        place += range(1 + sum(levels[:k]) + first, 1 + sum(levels[: k + 1]))
+    place += range(1 + sum(levels), 1 + sum(levels) + numeric)
+    width, m = len(place), len(factors)
 
-
-def _by_month(factors: list[str], by: list[str], levels: list[int], numeric: list[str], full: bool, least: int, ridge: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(month: pd.DataFrame) -> pd.DataFrame:
-        month = month.sort_values("date", kind="stable").reset_index(drop=True)
-        out = {f"{f}_neu": np.full(len(month), np.nan) for f in factors}
-        codes = month[[f"_c{k}" for k in range(len(by))]].to_numpy()
-        extra = month[numeric].to_numpy(float)
-        begin = np.flatnonzero(month["date"].ne(month["date"].shift()).to_numpy())
-        for a, b in zip(begin, np.append(begin[1:], len(month))):
-            x = np.concatenate([_design(codes[a:b], levels, full), extra[a:b]], axis=1)
-            fits = np.isfinite(x).all(axis=1)
-            need = x.shape[1] + 1 if full else least
-            y = month.loc[a : b - 1, factors].to_numpy(float)
-            seen = np.isfinite(y) & fits[:, None]
-            for pattern in np.unique(seen.T, axis=0):  # factors with the same gaps share a factorisation
-                if pattern.sum() < need:
+        out = []
+        for date, cells in month.groupby("date"):
+            codes = np.stack([cells[f"_c{k}"].to_numpy() for k in range(len(levels))], axis=1) if levels else np.zeros((len(cells), 0))
+            d = np.concatenate([np.ones((len(cells), 1)), *((codes[:, [k]] == np.arange(first, n)).astype(float) for k, n in enumerate(levels))], axis=1)
+            n, y, yy = (np.stack(cells[c].to_numpy()) for c in ("_n", "_y", "_yy"))
+            x, xx, xy = (np.stack(cells[c].to_numpy()).reshape(len(cells), m, *([numeric] * k)) for c, k in (("_x", 1), ("_xx", 2), ("_xy", 1)))
+            row = {"date": date}
+            for j, f in enumerate(factors):
+                seen = n[:, j].sum()
+                if seen < (width + 1 if full else least):
+                    row[f"_b_{f}"], row[f"_s_{f}"] = None, None
                     continue
-                some = [k for k in range(len(factors)) if (seen[:, k] == pattern).all()]
-                left = _residuals(x[pattern], y[np.ix_(pattern, some)], ridge)
-                for j, k in enumerate(some):
-                    out[f"{factors[k]}_neu"][np.arange(a, b)[pattern]] = left[:, j]
-        keep = month.drop(columns=["_m", *(f"_c{k}" for k in range(len(by)))])
-        return keep.assign(**{k: pd.Series(v).where(np.isfinite(v), None) for k, v in out.items()})
+                gram = np.zeros((width, width))
+                k = d.shape[1]
+                gram[:k, :k] = d.T @ (n[:, [j]] * d)
+                gram[:k, k:] = d.T @ x[:, j]
+                gram[k:, :k] = gram[:k, k:].T
+                gram[k:, k:] = xx[:, j].sum(axis=0)
+                right = np.concatenate([d.T @ y[:, j], xy[:, j].sum(axis=0)])
+                beta = np.zeros(1 + sum(levels) + numeric)
+                beta[place] = np.linalg.solve(gram + ridge * np.eye(width), right) if ridge else np.linalg.lstsq(gram, right, rcond=1e-12)[0]
+                row[f"_b_{f}"], row[f"_s_{f}"] = beta, float(np.sqrt(yy[:, j].sum() / seen))
+            out.append(row)
+        return pd.DataFrame(out)
 
     return run
 
@@ -123,35 +119,60 @@ def neutralize(df: DataFrame, factors: list[str], by: list[str], mode: str = "dr
     """Adds <factor>_neu: per-date residuals on intercept and dummies of `by`.
 
     drop_first: a null level shares the baseline, the first level of the whole table. full: all levels get a dummy, null
-    rows none, `numeric` columns enter as they are, and a date needs more rows than columns. The table is staged once, its
-    levels come from one aggregation, as codes. With one key and no ridge the residuals are differences from group means;
-    else a task gets a month of names and slices it by date."""
+    rows none, `numeric` columns enter as they are, and a date needs more rows than columns. Without a
+    ridge a residual below 1e-9 of the date's root mean square is 0 (a date with no more names than columns has no others).
+
+    With one key and no ridge the residuals are differences from group means. Else Spark sums each date's cells, the
+    combinations of levels that occur; from these come the cross products of the dummies, a small solve a date gives the
+    coefficients, and residuals are columns. The table is staged once; its levels, a row, are the codes."""
     df = staged(df, "neutralize")
     found_all = df.agg(*(F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(c) for c in by)).first()  # a row of levels
     if len(by) == 1 and mode == "drop_first" and not ridge and not numeric:
         first = (found_all[0] or [""])[0]
         return df.withColumns({f"{f}_neu": demean_by(f, by[0], first, least) for f in factors})
-    levels = []
+    full, own, levels = mode == "full", df.columns, []
     for k, c in enumerate(by):
         found = found_all[k]
-        levels.append(len(found))
-        code = F.array_position(F.array(*map(F.lit, found)), F.col(c).cast("string")) - 1 if found else F.lit(-1)
-        df = df.withColumn(f"_c{k}", F.coalesce(code, F.lit(-1)).cast("int"))
-    df = df.withColumn("_m", F.date_trunc("month", "date"))
-    kept = [f for f in df.schema.fields if f.name != "_m" and not f.name.startswith("_c")]
-    schema = T.StructType([*kept, *(T.StructField(f"{f}_neu", T.DoubleType()) for f in factors)])
-    return df.groupBy("_m").applyInPandas(_by_month(factors, by, levels, list(numeric), mode == "full", least, ridge), schema)
-
-
-def neutralize_and_z(df: DataFrame, factors: list[str], by: list[str], robust: bool = False) -> DataFrame:
-    """<factor>_z and <factor>_neu_z on every date (regression with a small ridge)."""
+        levels.append(max(1, len(found)))
+        code = F.array_position(F.array(*map(F.lit, found)), F.col(c).cast("string")) - 1 if found else F.lit(None)
+        df = df.withColumn(f"_c{k}", F.coalesce(code, F.lit(-1 if full else 0)).cast("int"))
+    codes, zero = [f"_c{k}" for k in range(len(by))], F.lit(0.0)
+    complete = reduce(and_, (F.col(c).isNotNull() for c in numeric), F.lit(True))
+    ys = {f: F.when(complete, F.col(f)) for f in factors}
+
+    def sums(terms: list[Column]) -> Column:
+        return F.array(*(F.coalesce(F.sum(t), zero) for t in terms)) if terms else F.array().cast("array<double>")
+
+    xs = {f: [F.when(F.col(f).isNotNull() & complete, F.col(c).cast("double")) for c in numeric] for f in factors}
+    cells = df.groupBy(F.date_trunc("month", "date").alias("_m"), "date", *codes).agg(
+        F.array(*(F.count(y) for y in ys.values())).alias("_n"), sums(list(ys.values())).alias("_y"), sums([y * y for y in ys.values()]).alias("_yy"),
+        sums([x for f in factors for x in xs[f]]).alias("_x"), sums([a * b for f in factors for a in xs[f] for b in xs[f]]).alias("_xx"), sums([x * ys[f] for f in factors for x in xs[f]]).alias("_xy"),
+    )
+    kinds = "date date, " + ", ".join(f"`_b_{f}` array<double>, `_s_{f}` double" for f in factors)
+    betas = cells.groupBy("_m").applyInPandas(_coefficients(factors, levels, len(numeric), full, least, ridge), kinds)
+    df, out = df.join(betas, "date"), {}  # a row a date; Spark broadcasts it while it is small
+    for f in factors:
+        b, at = F.col(f"_b_{f}"), 1
+        fit = F.get(b, F.lit(0))
+        for code, n in zip(codes, levels):
+            fit = fit + F.when(F.col(code) >= 0, F.get(b, F.col(code) + at)).otherwise(zero)
+            at += n
+        for k, c in enumerate(numeric):
+            fit = fit + F.get(b, F.lit(at + k)) * F.col(c)
+        left = F.col(f) - fit
+        out[f"{f}_neu"] = left if ridge else F.when(F.abs(left) <= 1e-9 * F.col(f"_s_{f}"), zero).otherwise(left)
+    return df.select(*own, *(c.alias(n) for n, c in out.items()))
+
+
+def neutralize_and_z(df: DataFrame, factors: list[str], by: list[str], robust: bool = False, keep: bool = False) -> DataFrame:
+    """<factor>_z and <factor>_neu_z on every date (regression with a small ridge), and with `keep` the residuals."""
     out = neutralize(df, factors, by, least=3, ridge=1e-8)
     for f in factors:
         if robust:
             out = add_robust_z(add_robust_z(out, f, f"{f}_z"), f"{f}_neu", f"{f}_neu_z")
         else:
             out = out.withColumns({f"{f}_z": zscore(f), f"{f}_neu_z": zscore(f"{f}_neu")})
-    return out.drop(*(f"{f}_neu" for f in factors))
+    return out if keep else out.drop(*(f"{f}_neu" for f in factors))
 
 
 def month_end_scores(df: DataFrame, factors: list[str], by: list[str] | None = None) -> DataFrame:

@@ -631,40 +631,77 @@ def n1_neutralize_one(spark, d):
     return out.select("date", "ticker", (F.round("mom_6_1_neu", 7) + 0.0).alias("resid"))
 
 
-def _level_sums(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The residuals of each level sum to zero on each date."""
-    parts = [rows.groupBy("date", F.lit(c).alias("key"), F.col(c).cast("string").alias("level")).agg(F.count("x").alias("n"), (F.abs(F.sum("x")) < 1e-6).alias("balanced")) for c in by]
-    return statistics.stack(parts).filter("n > 0 and level is not null")
+def _residual_sql(source: str, factors: list[str], by: dict[str, list], least: int, ridge: float = 0.0, full: bool = False, numeric: str | None = None) -> str:
+    """res: residuals x on intercept and dummies by normal equations, which are swept column by column (Gauss-Jordan); a column
+    without anything left is passed over. scale: the date's root mean square. `by` has the levels of each group."""
+    terms = ["1.0"]
+    for c, levels in by.items():
+        own = f"cast({c} as varchar)" if full else f"coalesce(cast({c} as varchar), '{levels[0]}')"
+        terms += [f"case when {own} = '{v}' then 1.0 else 0.0 end" for v in levels[0 if full else 1 :]]
+    terms += [f"cast({numeric} as double)"] if numeric else []
+    p = len(terms)
+    need = p + 1 if full else least
+    rows = " union all ".join(f"select date, ticker, '{f}' as f, {f} as y, [{', '.join(terms)}]::double[] as z from {source} where {f} is not null {f'and {numeric} is not null' if numeric else ''}" for f in factors)
+    return f"""obs as (select * from (select *, count(*) over w as n, sqrt(avg(y * y) over w) as scale from ({rows}) window w as (partition by f, date)) where n >= {need}),
+normal as (select f, date, i, j, sum(z[i] * case when j <= {p} then z[j] else y end) + case when i = j then {ridge} else 0.0 end as v from obs, range(1, {p + 1}) a(i), range(1, {p + 2}) b(j) group by f, date, i, j),
+sw as (select 0 as k, * from normal union all select k + 1, f, date, i, j, case when p <= {1e-12 if ridge else 1e-9} then case when i = k + 1 or j = k + 1 then 0.0 else v end when i = k + 1 then kj / p else v - ik * kj / p end
+ from (select *, max(case when i = k + 1 then v end) over (partition by f, date, j) as kj, max(case when j = k + 1 then v end) over (partition by f, date, i) as ik, max(case when i = k + 1 and j = k + 1 then v end) over (partition by f, date) as p from sw where k < {p})),
+beta as (select f, date, list(v order by i) as b from sw where k = {p} and j = {p + 1} group by f, date),
+res as (select date, ticker, f, scale, case when {int(not ridge)} = 1 and abs(e) <= 1e-9 * scale then 0.0 else e end as x from (select o.*, y - list_dot_product(z, b) as e from obs o join beta using (f, date)))"""
 
 
-_LEVELS = " union all ".join(f"select date, '{c}' as key, {c} as level, count(mom_6_1) as n, true as balanced from eom where date in (select date from eom group by 1 having count(mom_6_1) >= {{least}}) group by 1, 2, 3" for c in ("country", "supersector"))
+_TWO = {"country": ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"], "supersector": [f"SEC_{k}" for k in range(4)]}
+_PANEL_SQL = f"""{FACTORS_SQL}, be as (select date, list_sort(list_distinct(quantile_cont(size_proxy, [0.2, 0.4, 0.6, 0.8, 1.0]))) as size_proxy_e, list_sort(list_distinct(quantile_cont(liq_proxy, [0.2, 0.4, 0.6, 0.8, 1.0]))) as liq_proxy_e from factors group by 1),
+grouped as (select f.*, {_bucket_sql("size_proxy")} as size_bucket, {_bucket_sql("liq_proxy")} as liq_bucket from factors f join be on f.date = be.date)"""
+_FOUR = _TWO | {"size_bucket": [0, 1, 2, 3], "liq_bucket": [0, 1, 2, 3]}
+GROUPS = ["country", "supersector", "size_bucket", "liq_bucket"]
 
 
-@query(f"with {_EOM_SQL} select * from ({_LEVELS.format(least=2)}) where n > 0 and level is not null")
+def _residuals(df: DataFrame, factors: list[str]) -> DataFrame:
+    """date, ticker, f, x of the residuals that are there."""
+    return df.select("date", "ticker", *(F.col(f"{f}_neu").alias(f) for f in factors)).unpivot(["date", "ticker"], factors, "f", "x").filter("x is not null").withColumn("x", F.round("x", 5) + 0.0)
+
+
+_RES = "select date, ticker, f, round(x, 5) + 0.0 as x from res"
+
+
+@query(f"with recursive {_EOM_SQL}, {_residual_sql('eom', ['mom_6_1'], _TWO, 2)} {_RES}")
 def n1_neutralize(spark, d):
-    by = ["country", "supersector"]
-    out = xs.neutralize(panel.month_end_rows(built(spark, d)), ["mom_6_1"], by)
-    return _level_sums(out.withColumnRenamed("mom_6_1_neu", "x"), by)
+    return _residuals(xs.neutralize(panel.month_end_rows(built(spark, d)), ["mom_6_1"], ["country", "supersector"]), ["mom_6_1"])
+
+
+@query(f"with recursive {_PANEL_SQL}, eom as (select * from grouped where date in (select max(date) from grouped group by date_trunc('month', date))), {_residual_sql('eom', ['mom_6_1', 'rev_5d'], _FOUR, 2)} {_RES}")
+def n1_neutralize_four(spark, d):
+    """Month ends on all four groups of the research jobs; buckets have nulls, which share the baseline."""
+    return _residuals(xs.neutralize(panel.month_end_rows(xs.add_groups(built(spark, d))), ["mom_6_1", "rev_5d"], GROUPS), ["mom_6_1", "rev_5d"])
 
 
-@query(f"with {_EOM_SQL} select * from ({_LEVELS.format(least=3)}) where n > 0 and level is not null")
+@query(f"with recursive {FACTORS_SQL}, {_residual_sql('factors', ['mom_6_1'], _TWO, 3, 1e-8)} {_RES}")
 def n2_neutralize_ridge(spark, d):
-    by = ["country", "supersector"]
-    out = xs.neutralize(panel.month_end_rows(built(spark, d)), ["mom_6_1"], by, least=3, ridge=1e-8)
-    return _level_sums(out.withColumnRenamed("mom_6_1_neu", "x"), by)
+    return _residuals(xs.neutralize(built(spark, d), ["mom_6_1"], ["country", "supersector"], least=3, ridge=1e-8), ["mom_6_1"])
 
 
-@query(f"with {_EOM_SQL} select * from ({_LEVELS.format(least=11)}) where n > 0 and level is not null")
+@query(f"with recursive {_PANEL_SQL}, {_residual_sql('grouped', ['mom_6_1'], _TWO, 0, full=True, numeric='liq_bucket')} {_RES}")
 def n3_neutralize_full(spark, d):
-    by = ["country", "supersector"]
-    out = xs.neutralize(panel.month_end_rows(built(spark, d)), ["mom_6_1"], by, mode="full")
-    return _level_sums(out.withColumnRenamed("mom_6_1_neu", "x"), by)
+    """All dummies, and the liquidity bucket as a number."""
+    return _residuals(xs.neutralize(xs.add_groups(built(spark, d)), ["mom_6_1"], ["country", "supersector"], mode="full", numeric=("liq_bucket",)), ["mom_6_1"])
 
 
-@query()
+def _z_sql(x: str) -> str:
+    return f"round(case when stddev_pop({x}) over w = 0 then {x} * 0.0 else ({x} - avg({x}) over w) / stddev_pop({x}) over w end, 4) + 0.0"
+
+
+_N4 = ["mom_6_1", "vol_60d"]
+
+
+@query(f"""with recursive {FACTORS_SQL}, {_residual_sql('factors', _N4, _TWO, 3, 1e-8)}, raw as (select date, ticker, {", ".join(f"{_z_sql(f)} as {f}_z" for f in _N4)} from factors window w as (partition by date)),
+nz as (select date, ticker, f, case when stddev_pop(x) over w > 1e-5 * any_value(scale) over w then {_z_sql("x")} end as z from res window w as (partition by date, f))
+select raw.*, {", ".join(f"n{k}.z as {f}_neu_z" for k, f in enumerate(_N4))} from raw {" ".join(f"left join nz n{k} on n{k}.date = raw.date and n{k}.ticker = raw.ticker and n{k}.f = '{f}'" for k, f in enumerate(_N4))}""")
 def n4_neutralize_and_z(spark, d):
-    """Raw and neutralised z-scores on every date."""
-    return xs.neutralize_and_z(built(spark, d), ["mom_6_1", "vol_60d"], ["country", "supersector"]).select("date", "ticker", "mom_6_1_z", "mom_6_1_neu_z", "vol_60d_z", "vol_60d_neu_z")
+    """Raw and neutralised z-scores on every date; the latter not where groups leave no residual but the ridge's."""
+    out, w = xs.neutralize_and_z(built(spark, d), _N4, ["country", "supersector"], keep=True), Window.partitionBy("date")
+    left = {f: F.stddev_pop(f"{f}_neu").over(w) > 1e-5 * F.sqrt(F.avg(F.col(f) * F.col(f)).over(w)) for f in _N4}
+    return out.select("date", "ticker", *((F.round(f"{f}_z", 4) + 0.0).alias(f"{f}_z") for f in _N4), *((F.round(F.when(left[f], F.col(f"{f}_neu_z")), 4) + 0.0).alias(f"{f}_neu_z") for f in _N4))
 
 
 _NEU = ", ".join(f"case when count({f}) over (partition by date) >= 2 then {f} - avg({f}) over (partition by date, coalesce(country, 'AFRICA')) end as {f}_neu" for f in _ZS)
