@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.calendar import last_weekday, month_end, month_label, to_date
 from ..functions.numbers import clip, number
+from ..sources.stage import staged
 
 #: Panel columns that are no factors. Fixed values.
 NOT_FACTORS = {
@@ -84,21 +85,93 @@ def effective_return(df: DataFrame, prefer: str = "excess_ret_1d_eur", fallback:
     if not winsorize:
         return df.withColumn("ret_effective", F.coalesce(prefer, fallback))
     names = list(dict.fromkeys([prefer, fallback]))
-    clipped = [clip(F.col(c), F.col(f"_{c}")[0], F.col(f"_{c}")[1]) for c in names]
-    out = df.join(F.broadcast(global_limits(df, names, low, high, approximate))).withColumn("ret_effective", F.coalesce(*clipped))
-    return out.drop(*(f"_{c}" for c in names))
-
-
-def global_limits(df: DataFrame, columns: list[str], low: float, high: float, approximate: bool = False) -> DataFrame:
-    """One row of quantile pairs `_<column>`. Exact quantiles hold all different values in one task; for very large
-    tables take approximate ones."""
-    find = (lambda c: F.percentile_approx(c, [low, high], 100_000)) if approximate else (lambda c: F.percentile(c, F.array(F.lit(low), F.lit(high))))
-    return df.agg(*(find(F.col(c)).alias(f"_{c}") for c in columns))
+    limits = global_limits(df, names, low, high, approximate)
+    return df.withColumn("ret_effective", F.coalesce(*(clip(F.col(c), *map(F.lit, limits[c])) for c in names)))
+
+
+def global_limits(df: DataFrame, columns: list[str], low: float, high: float, approximate: bool = False) -> dict[str, list[float | None]]:
+    """The two quantiles of each column over the whole table (an action)."""
+    if approximate:
+        row = df.agg(*(F.percentile_approx(c, [low, high], 100_000).cast("array<double>").alias(c) for c in columns)).first()
+        return {c: list(row[c] or [None, None]) for c in columns}
+    return exact_quantiles(df, columns, [low, high])
+
+
+def order_statistics(df: DataFrame, ranks: dict[str, list[int]], brackets: dict[str, list[tuple[float, float]]], most: int = 10_000, accuracy: int = 10_000) -> dict[str, list[float]]:
+    """The values of these ranks (from 0) of each column, by distributed selection from a first guess of brackets.
+
+    Each round counts what lies below, on and inside every bracket. A value on an edge is found; a bracket that misses its
+    rank moves; one that holds few values hands them over; else an approximate quantile of what is inside, and two beside it,
+    narrow it. No task or driver ever holds more than `most` values of a bracket."""
+    open_ = {(c, k): list(at) for c in ranks for k, at in zip(ranks[c], brackets[c])}
+    low, high = float("-inf"), float("inf")
+    found: dict[tuple[str, int], float] = {}
+    while open_:
+        keys = list(open_)
+
+        def inside(key: tuple[str, int]) -> Column:
+            a, b = open_[key]
+            return F.when((F.col(key[0]) > a) & (F.col(key[0]) < b), F.col(key[0]))
+
+        counts = df.agg(*(F.array(F.count(F.when(F.col(c) < open_[c, k][0], 1)), F.count(F.when(F.col(c) == open_[c, k][0], 1)), F.count(inside((c, k))), F.count(F.when(F.col(c) == open_[c, k][1], 1))).alias(str(i)) for i, (c, k) in enumerate(keys))).first()
+        few, many = {}, {}
+        for i, key in enumerate(keys):
+            below, left, between, right = counts[str(i)]
+            a, b = open_[key]
+            at = key[1] - below
+            if at < 0:
+                open_[key] = [low, a]
+            elif at < left:
+                found[key] = a
+            elif at < left + between:
+                (few if between <= most else many)[key] = (at - left, between)
+            elif at < left + between + (right if b > a else 0):
+                found[key] = b
+            else:
+                open_[key] = [b, high]
+        if few:
+            rows = df.agg(*(F.sort_array(F.collect_list(inside(key))).alias(str(i)) for i, key in enumerate(few))).first()
+            found |= {key: rows[str(i)][at] for i, (key, (at, _)) in enumerate(few.items())}
+        if many:
+            step = 2.0 / accuracy
+            near = {key: [min(1.0, max(0.0, (at + 0.5) / n + d)) for d in (-step, 0.0, step)] for key, (at, n) in many.items()}
+            rows = df.agg(*(F.percentile_approx(inside(key), near[key], accuracy).alias(str(i)) for i, key in enumerate(many))).first()
+            for i, key in enumerate(many):
+                a, mid, b = rows[str(i)]
+                open_[key] = [a, b] if (a, b) != tuple(open_[key]) else [mid, b]
+        open_ = {key: at for key, at in open_.items() if key not in found}
+    return {c: [found[c, k] for k in ranks[c]] for c in ranks}
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], quantiles: list[float], most: int = 10_000, accuracy: int = 10_000) -> dict[str, list[float | None]]:
+    """Quantiles of each column over the whole table, interpolated linearly; None without values. The columns are staged
+    once; every pass over them is a small aggregate that executors merge."""
+    df = staged(df.select(*columns), "quantiles")
+    step = 2.0 / accuracy
+    near = [min(1.0, max(0.0, q + d)) for q in quantiles for d in (-step, step)]
+    row = df.agg(*(F.struct(F.count(c).alias("n"), F.percentile_approx(c, near, accuracy).alias("q")).alias(c) for c in columns)).first()
+    ranks, brackets = {}, {}
+    for c in columns:
+        if row[c]["n"]:
+            at = [q * (row[c]["n"] - 1) for q in quantiles]
+            pairs = [(int(h), min(int(h) + 1, row[c]["n"] - 1)) for h in at]
+            ranks[c] = list(dict.fromkeys(k for pair in pairs for k in pair))
+            of = {k: (float(row[c]["q"][2 * i]), float(row[c]["q"][2 * i + 1])) for i, pair in enumerate(pairs) for k in pair}
+            brackets[c] = [of[k] for k in ranks[c]]
+    values = order_statistics(df, ranks, brackets, most, accuracy)
+    out: dict[str, list[float | None]] = {c: [None] * len(quantiles) for c in columns}
+    for c in ranks:
+        known = dict(zip(ranks[c], values[c]))
+        for i, q in enumerate(quantiles):
+            h = q * (row[c]["n"] - 1)
+            a, b = known[int(h)], known[min(int(h) + 1, row[c]["n"] - 1)]
+            out[c][i] = a + (b - a) * (h - int(h))
+    return out
 
 
 def clip_global(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99, approximate: bool = False) -> DataFrame:
-    limits = global_limits(df, [column], low, high, approximate)
-    return df.join(F.broadcast(limits)).withColumn(column, clip(F.col(column), F.col(f"_{column}")[0], F.col(f"_{column}")[1])).drop(f"_{column}")
+    limits = global_limits(df, [column], low, high, approximate)[column]
+    return df.withColumn(column, clip(F.col(column), *map(F.lit, limits)))
 
 
 def factor_columns(df: DataFrame, only: list[str] | None = None) -> list[str]:

@@ -798,6 +798,41 @@ def d1_build_factors(spark, d):
     return jobs.build_factors(fx.bars(spark, d), fx.index_prices(spark, d)).select("date", "ticker", "beta_60", "country_rel_mom_6_1")
 
 
+_FOLDS_SQL = f"""{_IC_SQL}, {_BLOCKS_SQL.replace("from prices", "from factors")}, fic as (select b.fold, ic.* from ic join blocks b on ic.month between b.train_start and b.train_end),
+v as (select fold, factor, ic, row_number() over (partition by fold, factor order by date) as i, ic - avg(ic) over (partition by fold, factor) as c from fic where ic is not null),
+g as (select a.fold, a.factor, sum(2 * (1 - (b.i - a.i) / 40.0) * a.c * b.c) as g from v a join v b on a.fold = b.fold and a.factor = b.factor and b.i - a.i between 1 and 39 group by all),
+s as (select fold, factor, avg(ic) as mean, count(*) as n, sum(c * c) as g0 from v group by all),
+summ as (select s.*, case when n >= 5 and (g0 + g.g) / n > 0 then mean / sqrt((g0 + g.g) / n / n) end as t_nw from s left join g using (fold, factor)),
+pv as (select fold, factor, mean, case when abs(t_nw) > 6 then 0.0 when t_nw is not null then {_ERFC} end as p from (select distinct fold, factor from fic) left join summ using (fold, factor)),
+o as (select *, row_number() over (partition by fold order by coalesce(p, 1), factor) as i, count(*) over (partition by fold) as m from pv),
+q as (select *, least(1.0, min(m * coalesce(p, 1) / i) over (partition by fold order by i desc rows between unbounded preceding and current row)) as q from o),
+pick as (select *, max(case when q <= 0.1 and mean > 0 then 1 else 0 end) over (partition by fold) as any_ok, row_number() over (partition by fold order by mean desc nulls last, factor) as k from q),
+chosen as (select fold, factor, mean from pick where case when any_ok = 1 then q <= 0.1 and mean > 0 else k <= 5 end),
+ss as (select fold, factor, case when abs(mean) >= quantile_cont(abs(mean), 0.2) over (partition by fold) then mean else 0.0 end as s from chosen where mean is not null),
+icw as (select fold, factor, 0.5 * (case when s <> 0 then 1.0 / sum(case when s <> 0 then 1 else 0 end) over (partition by fold) else 0.0 end) + 0.5 * s / sum(abs(s)) over (partition by fold) as weight from ss),
+rr as (select fold, last_day(date) as month_eom, factor, coalesce(avg(ic) over b, 0) as m, count(*) over b as k from fic join chosen using (fold, factor) window b as (partition by fold, factor order by date rows between 17 preceding and current row)),
+ra as (select *, count(*) over w as names, sum(abs(m)) over w as tot, max(month_eom) over (partition by fold) as last_eom from rr window w as (partition by fold, month_eom)),
+rc as (select *, least(greatest(m / nullif(tot, 0), -0.4), 0.4) as c from ra),
+roll as (select fold, factor, case when k < 10 then 1.0 / names else 0.6 / names + 0.4 * case when tot > 0 then c / sum(abs(c)) over (partition by fold, month_eom) else 1.0 / names end end as weight from rc where month_eom = last_eom),
+has as (select fold, {", ".join(f"max(case when factor = '{f}' then 1 else 0 end) as h_{f}" for f in _ZS)} from chosen group by 1),
+zs as (select h.fold, f.date, fwd_40d as y, [{", ".join(f"coalesce(h_{f} * {f}, 0)" for f in _ZS)}] as z from f40 f join blocks b on last_day(f.date) between b.train_start and b.train_end join has h on h.fold = b.fold
+ where fwd_40d is not null {" ".join(f"and (h_{f} = 0 or {f} is not null)" for f in _ZS)}),
+normal as (select fold, date, i, j, sum(z[i] * case when j <= {len(_ZS)} then z[j] else y end) + case when i = j then 2.0 else 0.0 end as v from (select *, count(*) over (partition by fold, date) as n from zs), range(1, {len(_ZS) + 1}) a(i), range(1, {len(_ZS) + 2}) b(j) where n >= 15 group by fold, date, i, j),
+sw as (select 0 as k, * from normal union all select k + 1, fold, date, i, j, case when i = k + 1 then kj / p else v - ik * kj / p end
+ from (select *, max(case when i = k + 1 then v end) over (partition by fold, date, j) as kj, max(case when j = k + 1 then v end) over (partition by fold, date, i) as ik, max(case when i = k + 1 and j = k + 1 then v end) over (partition by fold, date) as p from sw where k < {len(_ZS)})),
+slope as (select c.fold, c.factor, avg(v) as b from sw join chosen c on c.fold = sw.fold and c.factor = ([{", ".join(f"'{f}'" for f in _ZS)}])[i] where k = {len(_ZS)} and j = {len(_ZS) + 1} group by all),
+half as (select fold, factor, 0.5 / count(*) over (partition by fold) + 0.5 * b as w from slope),
+fold_weights as (select fold, factor, 'score_icw' as strategy, weight from icw union all select fold, factor, 'score_icw_roll', weight from roll
+ union all select fold, factor, 'score_ridge', w / sum(w) over (partition by fold) from half union all select fold, factor, 'score_ew', 1.0 from chosen)"""
+
+
+@query(f"with recursive {_FOLDS_SQL} select fold, factor, strategy, {r('weight')} from fold_weights")
+def v2_fold_weights(spark, d):
+    """What each fold's train months select, and the four weightings of it."""
+    df = fac.add_forward_returns(built(spark, d), horizons=(40,))
+    return folds.train_weights(df, folds.time_blocks(df), _ZS, "fwd_40d").select("fold", "factor", "strategy", "weight")
+
+
 @query()
 def v2_walk_forward(spark, d):
     """Performance by fold and strategy; its parts have their own oracles."""

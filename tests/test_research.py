@@ -196,3 +196,41 @@ def test_no_beta_where_the_market_stands_still(spark):
         else:
             assert row.beta_60 == pytest.approx(np.cov(a, b)[0, 1] / b.var(ddof=1), rel=1e-6)
     assert got[100].beta_60 is None and got[180].beta_60 is not None and got[309].beta_60 is None
+
+
+@pytest.mark.parametrize("most, accuracy", [(10_000, 10_000), (5, 20), (1, 2)])
+def test_exact_quantiles_by_selection(spark, most, accuracy):
+    """Small limits make many rounds; ties, heavy tails and columns without values."""
+    from sigmill.operators import panel
+
+    rng = np.random.RandomState(8)
+    a, b = np.exp(rng.randn(700) * 20), np.round(rng.randn(700))
+    rows = [(float(x), float(y) if k % 3 else None, 1.5, None) for k, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "a double, b double, one double, none double").repartition(3)
+    q = [0.0, 0.01, 0.37, 0.99, 1.0]
+    got = panel.exact_quantiles(df, ["a", "b", "one", "none"], q, most, accuracy)
+    there = np.array([y for _, y, _, _ in rows if y is not None])
+    assert got["a"] == pytest.approx(list(np.quantile(a, q))) and got["b"] == pytest.approx(list(np.quantile(there, q)))
+    assert got["one"] == [1.5] * 5 and got["none"] == [None] * 5
+    assert panel.exact_quantiles(df.limit(0), ["a"], q)["a"] == [None] * 5
+
+
+def test_ridge_of_folds_is_the_ridge_of_their_rows(spark):
+    """One pass of cross products gives each fold's weights for whatever factors it chose, gaps included."""
+    rng = np.random.RandomState(9)
+    rows = []
+    for m in range(46):
+        for t in range(25):
+            x = [float(v) if rng.rand() > 0.1 else None for v in rng.randn(3)]
+            rows.append((dt.date(2000 + m // 12, m % 12 + 1, 15), f"T{t}", *x, float(rng.randn()) if rng.rand() > 0.05 else None))
+    df = spark.createDataFrame(rows, "date date, ticker string, a double, b double, c double, y double")
+    blocks = folds.time_blocks(df, test=3)
+    sets = {0: ["a", "c"], 1: ["b"], 2: ["a", "b", "c"]}
+    chosen = spark.createDataFrame(list(sets.items()), "fold int, chosen array<string>")
+    moments = folds.attach_folds(weights.cross_moments(df, ["a", "b", "c"], "y"), blocks, "train").join(chosen, "fold")
+    got = {(r.fold, r.factor): r.weight for r in weights.ridge_of_moments(moments, ["a", "b", "c"], by=("fold",)).collect()}
+    assert blocks.count() >= 3
+    for fold, names in sets.items():
+        mine = folds.attach_folds(df, blocks.filter(F.col("fold") == fold), "train")
+        want = {r.factor: r.weight for r in weights.ridge_weights(mine, names, "y").collect()}
+        assert {f: w for (k, f), w in got.items() if k == fold} == pytest.approx(want)
