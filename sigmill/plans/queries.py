@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -833,12 +834,19 @@ def v2_fold_weights(spark, d):
     return folds.train_weights(df, folds.time_blocks(df), _ZS, "fwd_40d").select("fold", "factor", "strategy", "weight")
 
 
+def _daily(spark, d) -> DataFrame:
+    """The whole panel of the build job."""
+    from . import jobs
+
+    return jobs.build_factors(fx.bars(spark, d), fx.index_prices(spark, d))
+
+
 @query()
 def v2_walk_forward(spark, d):
-    """Performance by fold and strategy; its parts have their own oracles."""
+    """Performance by fold and strategy, all factors, neutralised on four groups; its parts have their own oracles."""
     from . import jobs
 
-    return jobs.walk_forward(built(spark, d), _ZS)["cv_oos_summary_by_fold"]
+    return jobs.walk_forward(_daily(spark, d), jobs.FACTORS)["cv_oos_summary_by_fold"]
 
 
 @query()
@@ -846,16 +854,97 @@ def a23_oos_summary(spark, d):
     """Performance by strategy over all test months."""
     from . import jobs
 
-    return jobs.walk_forward(built(spark, d), _ZS)["cv_oos_summary_overall"]
+    return jobs.walk_forward(_daily(spark, d), jobs.FACTORS)["cv_oos_summary_overall"]
 
 
 @query()
 def d3_research(spark, d):
-    """The whole-sample research job's performance table, over the months' universe."""
+    """The whole-sample research job's performance table, over the months' universe, with robust scores."""
     from . import jobs
 
-    df = built(spark, d)
-    return jobs.research(df, _ZS, universe=panel.universe_monthly(df))["IS_summary_overall"]
+    df = _daily(spark, d)
+    return jobs.research(df, jobs.FACTORS, universe=panel.universe_monthly(df), robust=True)["IS_summary_overall"]
+
+
+_EXPLORED = ["mom_12_1", "size_proxy", "beta_252"]
+_EXPLORE_SQL = f"""{_BETA_SQL}, q as (select date, {", ".join(f"quantile_cont({c}, [0.01, 0.99]) as {c}_q" for c in _EXPLORED)} from betas group by 1),
+ex as (select b.date, b.ticker, b.country, b.supersector, b.ret_1d_eur, {", ".join(f"case when {c} is not null then least(greatest({c}, {c}_q[1]), {c}_q[2]) end as {c}" for c in _EXPLORED)} from betas b join q on b.date = q.date),
+day as (select * from ex where date = date '1999-03-15')"""
+_TOPS = " union all ".join(
+    f"(select '{side}20_{name}' as name, ticker as key, {c} as value from day order by {c} {'desc' if side == 'top' else ''} nulls last, ticker limit 20)"
+    for name, c in (("beta", "beta_252"), ("momentum", "mom_12_1"), ("size", "size_proxy")) for side in ("top", "bottom")
+)
+_QUINTILES = " union all ".join(
+    f"select 'ret_by_{name}_quintile', cast(cast(greatest(1, ceil(5.0 * (r - 1) / (n - 1))) as bigint) as varchar), avg(ret_1d_eur) from (select *, row_number() over (order by {c}, ticker) as r, count(*) over () as n from day where {c} is not null) group by 2"
+    for name, c in (("momentum", "mom_12_1"), ("size", "size_proxy"))
+)
+
+
+@query(f"""with {_EXPLORE_SQL}, l as (select min(beta_252) as lo, max(beta_252) as hi from day), t as ({_TOPS} union all {_QUINTILES}
+ union all select 'beta_by_country', country, avg(beta_252) from day where beta_252 is not null group by 2 union all select 'beta_by_supersector', supersector, avg(beta_252) from day where beta_252 is not null group by 2
+ union all select 'beta_252_histogram', cast(cast(least(floor((beta_252 - lo) / (hi - lo) * 30) + 1, 30) as bigint) as varchar), count(*) from day, l where beta_252 is not null group by 2
+ union all select 'coverage', cast(date as varchar), count(distinct ticker) from ex group by 2 union all select 'null_share', cast(date as varchar), 1 - count(mom_12_1) * 1.0 / count(*) from ex group by 2)
+select name, key, round(value, 7) + 0.0 as value from t""")
+def d2_explore(spark, d):
+    """The tables of the exploring job, one behind the other."""
+    from . import jobs
+
+    df = market.add_betas(market.add_market(built(spark, d), "global"))
+    tables = jobs.explore(df.withColumn("ret_stock", F.col("ret_1d_eur")), _EXPLORED, last="1999-03-15")
+    columns = {"coverage": ("date", "n_tickers"), "null_share": ("date", "mom_12_1"), "beta_by_country": ("country", "mean"), "beta_by_supersector": ("supersector", "mean"), "beta_252_histogram": ("bin", "n")}
+    columns |= {f"ret_by_{n}_quintile": ("bucket", "mean") for n in ("momentum", "size")}
+    columns |= {f"{side}20_{n}": ("ticker", c) for n, c in (("beta", "beta_252"), ("momentum", "mom_12_1"), ("size", "size_proxy")) for side in ("top", "bottom")}
+    rows = [tables[n].select(F.lit(n).alias("name"), F.col(k).cast("string").alias("key"), F.col(v).cast("double").alias("value")) for n, (k, v) in columns.items()]
+    return statistics.stack(rows).withColumn("value", F.round("value", 7) + 0.0)
+
+
+@query(f"""with {_BETA_SQL}, last_day_ as (select * from betas where date = (select max(date) from betas)), t as ({" union all ".join(f"select 'factor_completeness' as name, '{f}' as key, count({f}) as value from betas" for f in _FS)}
+ union all select 'factor_coverage_daily', cast(date as varchar), count(mom_6_1) from betas group by 2 union all select 'universe_monthly', strftime(date, '%Y-%m'), count(distinct ticker) from betas group by 2
+ union all (select 'top20_beta', ticker, beta_252 from last_day_ order by beta_252 desc nulls last, ticker limit 20) union all (select 'bottom20_beta', ticker, beta_252 from last_day_ order by beta_252 nulls last, ticker limit 20)
+ union all select 'factors_eom_z', cast(date as varchar), case when count(mom_6_1) >= 2 then count(mom_6_1) else 0 end from betas where date in (select max(date) from betas group by date_trunc('month', date)) group by 2)
+select name, key, round(value, 7) + 0.0 as value from t""")
+def d1_diagnostics(spark, d):
+    """The tables beside the panel, one behind the other; scores by their number."""
+    from . import jobs
+
+    tables = jobs.factor_diagnostics(_betas(spark, d), _FS, ["country", "supersector"])
+    tables["universe_monthly"] = tables["universe_monthly"].select("month", F.size("tickers").alias("n"))
+    tables["factors_eom_z"] = tables["factors_eom_z"].groupBy("date").agg(F.count("mom_6_1_neu_z").alias("n"))
+    columns = {"factor_completeness": ("factor", "non_null"), "factor_coverage_daily": ("date", "mom_6_1"), "universe_monthly": ("month", "n"), "top20_beta": ("ticker", "beta_252"), "bottom20_beta": ("ticker", "beta_252"), "factors_eom_z": ("date", "n")}
+    rows = [tables[n].select(F.lit(n).alias("name"), F.col(k).cast("string").alias("key"), F.col(v).cast("double").alias("value")) for n, (k, v) in columns.items()]
+    return statistics.stack(rows).withColumn("value", F.round("value", 7) + 0.0)
+
+
+@query(f"with {PRICES_SQL} select {K}, {r('price_eur', 'volume')} from prices where date between date '1996-03-10' and date '1996-05-05'")
+def s3_partitioned_panel(spark, d):
+    """Exports the bars by year and month and reads a stretch of days back; other months are not read."""
+    base = f"{shared_folder(spark)}/months-{uuid.uuid4().hex}"
+    io.export_by_month(fx.prices(spark, d), base)
+    return io.read_months(spark, base, dt.date(1996, 3, 10), dt.date(1996, 5, 5)).select("date", "ticker", "price_eur", "volume")
+
+
+@query(f"with {PRICES_SQL}, t as (select 'factor' as item, unnest([{', '.join(repr(f) for f in _FS)}]) as value union all select 'last_date', cast(max(date) as varchar) from prices union all select 'universe', cast(count(distinct strftime(date, '%Y-%m')) as varchar) from prices union all select 'rows', cast(count(*) as varchar) from prices) select item, value from t")
+def s7_load_exports(spark, d):
+    """Exports the bars with a universe, a factor list and a last date, and loads them by the exploring job's names."""
+    folder = f"{shared_folder(spark)}/panel-{uuid.uuid4().hex}"
+    bars = fx.prices(spark, d)
+    io.export_panel(bars, folder, _FS, {"universe_monthly": panel.universe_monthly(bars).withColumn("tickers", F.to_json("tickers"))})
+    found = io.load_exports(spark, folder, io.EXPLORE_NAMES)
+    rows = [("factor", f) for f in found["factors"]] + [("last_date", str(found["last_date"]))]
+    counted = found["universe_monthly"].filter(F.size("tickers") > 0).agg(F.lit("universe").alias("item"), F.count(F.lit(1)).cast("string").alias("value"))
+    return statistics.stack([spark.createDataFrame(rows, "item string, value string"), counted, found["panel"].agg(F.lit("rows").alias("item"), F.count(F.lit(1)).cast("string").alias("value"))])
+
+
+@query(f"with {_SUM_SQL} select 'ic_timeseries' as name, (select count(*) from ic) as counted, (select count(*) from ic) as read, '40' as horizon union all select 'ic_summary', (select count(distinct factor) from ic), (select count(distinct factor) from ic), '40'")
+def s9_publish_run(spark, d):
+    """Publishes an IC study as a run and reads the last run back: counts of the manifest and of what is read."""
+    from . import jobs
+
+    folder = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    ic = _ic(spark, d)
+    jobs.write_research({"ic_timeseries": ic, "ic_summary": statistics.ic_significance(ic, "M", 40)}, folder, {"horizon": 40})
+    settings, tables, counts = io.read_run(spark, folder)
+    return statistics.stack([df.agg(F.lit(n).alias("name"), F.lit(counts[n]).cast("long").alias("counted"), F.count(F.lit(1)).alias("read"), F.lit(settings["horizon"]).alias("horizon")) for n, df in tables.items()])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PRICE_SCHEMA = "`Unnamed: 0` string, Date string, Open string, High string, Low string, Close string, Volume string, ticker string"
-#: Fallback names of the panel, newest layout first. Fixed values.
-PANEL_NAMES = ("factors_daily", "panel_with_beta", "df_with_beta")
+#: Fallback names of the panel, in the order of the research and of the exploring job. Fixed values.
+RESEARCH_NAMES = ("factors_daily", "panel_with_beta", "df_with_beta")
+EXPLORE_NAMES = ("df_with_beta", "factors_daily")
+MANIFEST = "run string, published timestamp, settings map<string,string>, counts map<string,bigint>"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -51,19 +57,86 @@ def write_artefacts(tables: dict[str, DataFrame], folder: str, small: tuple[str,
         export(df.coalesce(1) if name in small else df, f"{folder}/{name}")
 
 
-def write_metadata(spark: SparkSession, values: dict[str, object], path: str) -> None:
-    """A JSON document of settings and counts."""
-    spark.createDataFrame([tuple(map(str, values.values()))], list(values)).coalesce(1).write.mode("overwrite").json(path)
+def export_by_month(df: DataFrame, base: str) -> None:
+    """The panel as Parquet in folders of year and month, dealt by ranges, so that a large month is many files."""
+    dated = df.withColumns({"year": F.year("date"), "month": F.month("date")})
+    dated.repartitionByRange("year", "month", "ticker").write.mode("overwrite").partitionBy("year", "month").parquet(f"{base}.parquet")
+
+
+def read_months(spark: SparkSession, base: str, first: dt.date, last: dt.date) -> DataFrame:
+    """Rows of a partitioned panel from one date to another, both included; other months are not read."""
+    df = spark.read.parquet(f"{base}.parquet")
+    months = (F.col("year") * 12 + F.col("month")).between(first.year * 12 + first.month, last.year * 12 + last.month)
+    return df.filter(months & F.col("date").between(F.lit(first), F.lit(last))).drop("year", "month")
+
+
+def publish(tables: dict[str, DataFrame], folder: str, settings: dict[str, object]) -> str:
+    """Writes the tables of a run beside those of other runs and then, as the last thing, one line of the manifest with its
+    settings and row counts. A reader knows runs by the manifest alone, so it sees a whole run or none."""
+    run = uuid.uuid4().hex
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/runs/{run}/{name}")
+    counts = {name: spark.read.parquet(f"{folder}/runs/{run}/{name}").count() for name in tables}
+    line = (run, dt.datetime.now(dt.timezone.utc), {k: str(v) for k, v in settings.items()}, counts)
+    spark.createDataFrame([line], MANIFEST).coalesce(1).write.mode("append").json(f"{folder}/manifest")
+    return run
+
+
+def read_run(spark: SparkSession, folder: str, run: str | None = None) -> tuple[dict[str, str], dict[str, DataFrame], dict[str, int]]:
+    """Settings, tables and row counts of a published run, the last one if none is named."""
+    lines = spark.read.schema(MANIFEST).json(f"{folder}/manifest")
+    line = (lines.filter(F.col("run") == run) if run else lines.orderBy(F.desc("published"), "run")).first()  # a row a run
+    if line is None:
+        raise FileNotFoundError(f"no such run in {folder}")
+    return dict(line["settings"]), {n: spark.read.parquet(f"{folder}/runs/{line['run']}/{n}") for n in line["counts"]}, dict(line["counts"])
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text as one file of a folder."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text, file or folder, or None where there is none."""
+    return "\n".join(r["value"] for r in spark.read.text(path).collect()) if exists(spark, path) else None
+
+
+def export_panel(daily: DataFrame, folder: str, factors: list[str], others: dict[str, DataFrame] | None = None, name: str = "factors_daily") -> None:
+    """The panel, further tables, the factor list and the last date, as load_exports() reads them."""
+    spark = daily.sparkSession
+    export(daily, f"{folder}/{name}", csv=False)
+    for other, df in (others or {}).items():
+        export(df, f"{folder}/{other}", csv=False)
+    write_text(spark, json.dumps(factors), f"{folder}/factors_list.json")
+    write_text(spark, str(spark.read.parquet(f"{folder}/{name}.parquet").agg(F.max("date")).first()[0]), f"{folder}/last_date.txt")
+
+
+def _parsed(parse, text: str | None):
+    """What the text says, or None where it is absent or says nothing."""
+    try:
+        return parse(text) if text else None
+    except ValueError:
+        return None
 
 
-def load_exports(spark: SparkSession, folder: str) -> dict[str, DataFrame | None]:
-    """The panel under the first name that exists, the other exports (None where absent), and last_date."""
-    panel = next((df for n in PANEL_NAMES if (df := read_best(spark, f"{folder}/{n}")) is not None), None)
+def load_exports(spark: SparkSession, folder: str, names: tuple[str, ...] = RESEARCH_NAMES) -> dict[str, object]:
+    """panel: under the first of the names that exists; market_series, factors_eom_z and universe_monthly (None where absent);
+    factors: the exported list, or None where it is absent or no list; last_date: the exported one, else the panel's."""
+    panel = next((df for n in names if (df := read_best(spark, f"{folder}/{n}")) is not None), None)
     if panel is None:
         raise FileNotFoundError(f"no panel in {folder}")
-    out: dict[str, DataFrame | None] = {"panel": panel}
+    out: dict[str, object] = {"panel": panel}
     out |= {n: read_best(spark, f"{folder}/{n}") for n in ("market_series", "factors_eom_z", "universe_monthly")}
-    out["last_date"] = panel.agg(F.max("date").alias("last_date"))
+    if out["market_series"] is None:
+        out["market_series"] = read_best(spark, f"{folder}/global_market_ew")
+    universe = out["universe_monthly"]
+    if universe is not None and isinstance(universe.schema["tickers"].dataType, T.StringType):
+        out["universe_monthly"] = universe.withColumn("tickers", parse_ticker_list(F.col("tickers")))
+    listed = _parsed(json.loads, read_text(spark, f"{folder}/factors_list.json"))
+    out["factors"] = listed if isinstance(listed, list) else None
+    last = _parsed(lambda t: dt.date.fromisoformat(t.strip()[:10]), read_text(spark, f"{folder}/last_date.txt"))
+    out["last_date"] = last or panel.agg(F.max(F.col("date").cast("date"))).first()[0]
     return out
 
 
