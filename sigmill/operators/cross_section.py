@@ -31,11 +31,20 @@ def zscore(column: str, by: tuple[str, ...] = DATE) -> Column:
 
 def add_robust_z(df: DataFrame, column: str, name: str, by: tuple[str, ...] = DATE) -> DataFrame:
     """(x - median) / (1.4826 * MAD); where the MAD is 0 the population deviation, where that is 0 one."""
-    x, w = F.col(column), Window.partitionBy(*by)
-    df = df.withColumn("_med", F.median(x).over(w)).withColumn("_dev", F.abs(x - F.col("_med")))
-    mad, sd = F.median("_dev").over(w) * 1.4826, F.stddev_pop(x).over(w)
-    scale = F.when(mad > 0, mad).when(sd > 0, sd).otherwise(F.lit(1.0))
-    return df.withColumn(name, (x - F.col("_med")) / scale).drop("_med", "_dev")
+    return add_robust_zs(df, {column: name}, by)
+
+
+def add_robust_zs(df: DataFrame, names: dict[str, str], by: tuple[str, ...] = DATE) -> DataFrame:
+    """add_robust_z for several columns (name of the score by column) in the same three steps."""
+    w = Window.partitionBy(*by)
+    df = df.withColumns({f"_med_{c}": F.median(c).over(w) for c in names})
+    df = df.withColumns({f"_dev_{c}": F.abs(F.col(c) - F.col(f"_med_{c}")) for c in names})
+    df = df.withColumns({f"_mad_{c}": F.median(f"_dev_{c}").over(w) * 1.4826 for c in names} | {f"_sd_{c}": F.stddev_pop(c).over(w) for c in names})
+    out = {}
+    for c, name in names.items():
+        mad, sd = F.col(f"_mad_{c}"), F.col(f"_sd_{c}")
+        out[name] = (F.col(c) - F.col(f"_med_{c}")) / F.when(mad > 0, mad).when(sd > 0, sd).otherwise(F.lit(1.0))
+    return df.withColumns(out).drop(*(f"_{k}_{c}" for k in ("med", "dev", "mad", "sd") for c in names))
 
 
 def winsorize(column: str, by: tuple[str, ...] = DATE, low: float = 0.01, high: float = 0.99) -> Column:
@@ -167,11 +176,8 @@ def neutralize(df: DataFrame, factors: list[str], by: list[str], mode: str = "dr
 def neutralize_and_z(df: DataFrame, factors: list[str], by: list[str], robust: bool = False, keep: bool = False) -> DataFrame:
     """<factor>_z and <factor>_neu_z on every date (regression with a small ridge), and with `keep` the residuals."""
     out = neutralize(df, factors, by, least=3, ridge=1e-8)
-    for f in factors:
-        if robust:
-            out = add_robust_z(add_robust_z(out, f, f"{f}_z"), f"{f}_neu", f"{f}_neu_z")
-        else:
-            out = out.withColumns({f"{f}_z": zscore(f), f"{f}_neu_z": zscore(f"{f}_neu")})
+    names = {c: f"{c}_z" for f in factors for c in (f, f"{f}_neu")}
+    out = add_robust_zs(out, names) if robust else out.withColumns({z: zscore(c) for c, z in names.items()})
     return out if keep else out.drop(*(f"{f}_neu" for f in factors))
 
 

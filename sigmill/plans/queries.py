@@ -441,14 +441,14 @@ def a18_ic_weights(spark, d):
 
 
 @query(f"""with {FACTORS_SQL}, f5 as (select *, {_FWD.format(h=5)} as fwd_5d from factors), x as (select date, mom_6_1 as x, fwd_5d as y from f5 where mom_6_1 is not null and fwd_5d is not null),
-b as (select date, sum(x * y) / (sum(x * x) + 2.0) as b from x group by 1 having count(*) >= 15 and stddev_pop(x) > 0) select 'mom_6_1' as factor, round((0.5 + 0.5 * avg(b)) / (0.5 + 0.5 * avg(b)), {DIGITS}) as weight from b""")
+b as (select date, sum(x * y) / (sum(x * x) + 2.0) as b from x group by 1 having count(*) >= 15 and stddev_pop(x) > 0) select 'mom_6_1' as factor, round(coalesce((0.5 + 0.5 * avg(b)) / (0.5 + 0.5 * avg(b)), 1), {DIGITS}) as weight from b""")
 def a19_ridge_one(spark, d):
     return weights.ridge_weights(fac.add_forward_returns(built(spark, d), horizons=(5,)), ["mom_6_1"], "fwd_5d")
 
 
 @query(f"""with {FACTORS_SQL}, f5 as (select *, {_FWD.format(h=5)} as fwd_5d from factors), x as (select date, mom_6_1 as a, vol_60d as b, fwd_5d as y from f5 where mom_6_1 is not null and vol_60d is not null and fwd_5d is not null),
 m as (select date, sum(a*a) + 2.0 as aa, sum(a*b) as ab, sum(b*b) + 2.0 as bb, sum(a*y) as ay, sum(b*y) as yb from x group by 1 having count(*) >= 15),
-s as (select avg((bb*ay - ab*yb) / (aa*bb - ab*ab)) as wa, avg((aa*yb - ab*ay) / (aa*bb - ab*ab)) as wb from m), w as (select 0.25 + 0.5 * wa as wa, 0.25 + 0.5 * wb as wb from s)
+s as (select coalesce(avg((bb*ay - ab*yb) / (aa*bb - ab*ab)), 1) as wa, coalesce(avg((aa*yb - ab*ay) / (aa*bb - ab*ab)), 1) as wb from m), w as (select 0.25 + 0.5 * wa as wa, 0.25 + 0.5 * wb as wb from s)
 select 'mom_6_1' as factor, round(wa / (wa + wb), {DIGITS}) as weight from w union all select 'vol_60d', round(wb / (wa + wb), {DIGITS}) from w""")
 def a19_ridge_weights(spark, d):
     return weights.ridge_weights(fac.add_forward_returns(built(spark, d), horizons=(5,)), ["mom_6_1", "vol_60d"], "fwd_5d")
@@ -898,7 +898,7 @@ def d2_explore(spark, d):
     return statistics.stack(rows).withColumn("value", F.round("value", 7) + 0.0)
 
 
-@query(f"""with {_BETA_SQL}, last_day_ as (select * from betas where date = (select max(date) from betas)), t as ({" union all ".join(f"select 'factor_completeness' as name, '{f}' as key, count({f}) as value from betas" for f in _FS)}
+@query(f"""with {_BETA_SQL}, last_day_ as (select * from betas where date = (select max(date) from betas)), t as ({" union all ".join(f"select 'factor_completeness' as name, '{f}' as key, count({f}) as value from betas having count(*) > 0" for f in _FS)}
  union all select 'factor_coverage_daily', cast(date as varchar), count(mom_6_1) from betas group by 2 union all select 'universe_monthly', strftime(date, '%Y-%m'), count(distinct ticker) from betas group by 2
  union all (select 'top20_beta', ticker, beta_252 from last_day_ order by beta_252 desc nulls last, ticker limit 20) union all (select 'bottom20_beta', ticker, beta_252 from last_day_ order by beta_252 nulls last, ticker limit 20)
  union all select 'factors_eom_z', cast(date as varchar), case when count(mom_6_1) >= 2 then count(mom_6_1) else 0 end from betas where date in (select max(date) from betas group by date_trunc('month', date)) group by 2)
@@ -930,9 +930,9 @@ def s7_load_exports(spark, d):
     bars = fx.prices(spark, d)
     io.export_panel(bars, folder, _FS, {"universe_monthly": panel.universe_monthly(bars).withColumn("tickers", F.to_json("tickers"))})
     found = io.load_exports(spark, folder, io.EXPLORE_NAMES)
-    rows = [("factor", f) for f in found["factors"]] + [("last_date", str(found["last_date"]))]
+    listed = spark.createDataFrame([("factor", f) for f in found["factors"]], "item string, value string")
     counted = found["universe_monthly"].filter(F.size("tickers") > 0).agg(F.lit("universe").alias("item"), F.count(F.lit(1)).cast("string").alias("value"))
-    return statistics.stack([spark.createDataFrame(rows, "item string, value string"), counted, found["panel"].agg(F.lit("rows").alias("item"), F.count(F.lit(1)).cast("string").alias("value"))])
+    return statistics.stack([listed, found["last_date"].select(F.lit("last_date").alias("item"), F.col("last_date").cast("string").alias("value")), counted, found["panel"].agg(F.lit("rows").alias("item"), F.count(F.lit(1)).cast("string").alias("value"))])
 
 
 @query(f"with {_SUM_SQL} select 'ic_timeseries' as name, (select count(*) from ic) as counted, (select count(*) from ic) as read, '40' as horizon union all select 'ic_summary', (select count(distinct factor) from ic), (select count(distinct factor) from ic), '40'")

@@ -122,7 +122,7 @@ def _parsed(parse, text: str | None):
 
 def load_exports(spark: SparkSession, folder: str, names: tuple[str, ...] = RESEARCH_NAMES) -> dict[str, object]:
     """panel: under the first of the names that exists; market_series, factors_eom_z and universe_monthly (None where absent);
-    factors: the exported list, or None where it is absent or no list; last_date: the exported one, else the panel's."""
+    factors: the exported list, or None where it is absent or no list; last_date: a row with the exported one, else the panel's."""
     panel = next((df for n in names if (df := read_best(spark, f"{folder}/{n}")) is not None), None)
     if panel is None:
         raise FileNotFoundError(f"no panel in {folder}")
@@ -136,7 +136,8 @@ def load_exports(spark: SparkSession, folder: str, names: tuple[str, ...] = RESE
     listed = _parsed(json.loads, read_text(spark, f"{folder}/factors_list.json"))
     out["factors"] = listed if isinstance(listed, list) else None
     last = _parsed(lambda t: dt.date.fromisoformat(t.strip()[:10]), read_text(spark, f"{folder}/last_date.txt"))
-    out["last_date"] = last or panel.agg(F.max(F.col("date").cast("date"))).first()[0]
+    dates = panel.agg(F.max(F.col("date").cast("date")).alias("last_date"))
+    out["last_date"] = dates if last is None else spark.createDataFrame([(last,)], "last_date date")
     return out
 
 
