@@ -834,6 +834,44 @@ def v2_fold_weights(spark, d):
     return folds.train_weights(df, folds.time_blocks(df), _ZS, "fwd_40d").select("fold", "factor", "strategy", "weight")
 
 
+_FS3 = "fold, strategy"
+_OOS_SQL = f"""{_FOLDS_SQL}, wf as (select {_FS3}, {", ".join(f"coalesce(max(case when factor = '{f}' then weight end), 0) as w_{f}" for f in _ZS)} from fold_weights group by 1, 2),
+tested as (select b.fold, w.strategy, f.date, f.ticker, f.ret_1d_eur as ret, {" + ".join(f"w_{f} * coalesce({f}, 0)" for f in _ZS)} as total, {" + ".join(f"case when {f} is not null then w_{f} else 0 end" for f in _ZS)} as there
+ from f40 f join blocks b on last_day(f.date) between b.test_start and b.test_end join wf w on w.fold = b.fold),
+sc as (select *, case when strategy = 'score_ew' then total / nullif(there, 0) else total end as s from tested),
+ranked as (select {_FS3}, date, ticker, s, count(s) over (partition by {_FS3}, date) as n, row_number() over (partition by {_FS3}, date order by s desc nulls last, ticker) as t from sc where date = {_LAST_WEEKDAY}),
+hold as (select {_FS3}, date as reb_id, ticker, case when t <= greatest(1, floor(n * cast(0.2 as double))) then 1.0 / greatest(1, floor(n * cast(0.2 as double))) else 0.0 end as w from ranked where n > 0),
+nx as (select *, lead(reb_id) over (partition by {_FS3} order by reb_id) as nxt, min(reb_id) over (partition by {_FS3}) as first from (select distinct {_FS3}, reb_id from hold)),
+moves as (select * from hold union all select {_FS3}, nxt, ticker, -w from hold join nx using ({_FS3}, reb_id) where nxt is not null),
+turn as (select {_FS3}, reb_id, case when reb_id = first then 0.0 else sum(abs(dw)) end as turnover from (select {_FS3}, reb_id, ticker, sum(w) as dw from moves group by all) join nx using ({_FS3}, reb_id) group by {_FS3}, reb_id, first),
+since as (select d.fold, d.strategy, d.date, n.reb_id from (select distinct {_FS3}, date from sc) d asof join nx n on d.fold = n.fold and d.strategy = n.strategy and d.date >= n.reb_id where d.date > n.reb_id),
+port as (select {_FS3}, date, reb_id, coalesce(sum(ret * coalesce(w, 0)), 0) as gross from sc join since using ({_FS3}, date) left join hold using ({_FS3}, reb_id, ticker) group by all),
+net as (select {_FS3}, date, gross - case when date = min(date) over (partition by {_FS3}, reb_id) then coalesce(turnover, 0) * 5.0 / 10000 else 0 end as ret from port left join turn using ({_FS3}, reb_id))"""
+
+
+def _oos_perf_sql(keys: str) -> str:
+    up_to = f"over (partition by {keys} order by date rows between unbounded preceding and current row)"
+    return f"""with recursive {_OOS_SQL}, curve as (select *, product(1 + ret) {up_to} as equity from net), dd as (select *, equity / max(equity) {up_to} - 1 as drawdown from curve)
+select {keys}, round(pow(product(1 + ret), 252.0 / count(*)) - 1, 7) + 0.0 as ann_ret, round(stddev_samp(ret) * sqrt(252.0), 7) as ann_vol, round(avg(ret) / stddev_samp(ret) * sqrt(252.0), 6) + 0.0 as sharpe, round(min(drawdown), 7) + 0.0 as max_dd from dd group by all"""
+
+
+def _oos(spark, d, part: int, *keys: str) -> DataFrame:
+    df = folds.walk_forward(fac.add_forward_returns(built(spark, d), horizons=(40,)), _ZS, "fwd_40d", "ret_1d_eur")[part]
+    return df.select(*keys, *((F.round(c, n) + 0.0).alias(c) for c, n in (("ann_ret", 7), ("ann_vol", 7), ("sharpe", 6), ("max_dd", 7))))
+
+
+@query(_oos_perf_sql(_FS3))
+def v2_oos_by_fold(spark, d):
+    """Walk-forward on raw factors, so that SQL can say all of it: train weights, scores, holdings, costs, performance."""
+    return _oos(spark, d, 1, "fold", "strategy")
+
+
+@query(_oos_perf_sql("strategy"))
+def a23_oos_pooled(spark, d):
+    """The same test months, pooled over the folds."""
+    return _oos(spark, d, 2, "strategy")
+
+
 def _daily(spark, d) -> DataFrame:
     """The whole panel of the build job."""
     from . import jobs
