@@ -822,7 +822,7 @@ normal as (select fold, date, i, j, sum(z[i] * case when j <= {len(_ZS)} then z[
 sw as (select 0 as k, * from normal union all select k + 1, fold, date, i, j, case when i = k + 1 then kj / p else v - ik * kj / p end
  from (select *, max(case when i = k + 1 then v end) over (partition by fold, date, j) as kj, max(case when j = k + 1 then v end) over (partition by fold, date, i) as ik, max(case when i = k + 1 and j = k + 1 then v end) over (partition by fold, date) as p from sw where k < {len(_ZS)})),
 slope as (select c.fold, c.factor, avg(v) as b from sw join chosen c on c.fold = sw.fold and c.factor = ([{", ".join(f"'{f}'" for f in _ZS)}])[i] where k = {len(_ZS)} and j = {len(_ZS) + 1} group by all),
-half as (select fold, factor, 0.5 / count(*) over (partition by fold) + 0.5 * b as w from slope),
+half as (select c.fold, c.factor, 0.5 / count(*) over (partition by c.fold) + 0.5 * coalesce(b, 1) as w from chosen c left join slope s on c.fold = s.fold and c.factor = s.factor),
 fold_weights as (select fold, factor, 'score_icw' as strategy, weight from icw union all select fold, factor, 'score_icw_roll', weight from roll
  union all select fold, factor, 'score_ridge', w / sum(w) over (partition by fold) from half union all select fold, factor, 'score_ew', 1.0 from chosen)"""
 
