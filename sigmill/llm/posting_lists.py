@@ -4,25 +4,28 @@ Equal vectors are one entry with their smallest ids, so a vector that a third of
 entries are dealt to clusters of balanced size (bisecting 2-means that split at the median, on a bounded sample);
 an entry near a boundary is replicated to the clusters that are nearly as close as its nearest one, but not behind a
 cluster it already has (the relative-neighbourhood rule). The centroids, of bounded number, are held in memory as a
-neighbour graph that a beam search walks, for the placing of entries and for queries. A query visits the lists whose
-centroids pass a distance-ratio test against its nearest centroid. Lists are joined with the queries that visit them in
-slices of bounded size, and the best of each slice are merged in Spark.
-
-Edge cases: vectors that are null, empty, zero or hold null or non-finite parts take no part; vectors of another length
-than most (the length of the smallest id) take no part; repeated rows count as one candidate each, except rows of one
-vec_id, which count once; null ids take no part; ties go to the smaller vec_id; an empty table gives an empty result;
+neighbour graph that a beam search walks, for the placing of entries and for queries. A query visits every list whose
+centroid passes a distance-ratio test against its nearest centroid, however many they are: the beam is widened until the
+farthest centroid found fails the test. Lists are joined with the queries that visit them in slices of bounded size, and
+the best of each slice are merged in Spark.
+
+Edge cases: vectors that are null, empty, zero or hold null or non-finite parts take no part; vectors are compared with
+those of their own length (each length has an index of its own); repeated rows count as one candidate each, except rows of
+one vec_id, which count once; null ids take no part; ties go to the smaller vec_id; an empty table gives an empty result;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .shared import materialize, shuffle_partitions
 
@@ -32,6 +35,8 @@ LIST_SIZE = 150  # entries of a list, before replication, as long as MOST_CLUSTE
 SLICE = 4_096  # entries of a list that one comparison takes
 NEIGHBOURS = 16
 BEAM = 48
+RATIO = 1.2  # lists are visited up to this multiple of the nearest centroid's distance
+CELLS = 1 << 16  # centroids that the queries of one search hold in their beams
 
 
 def clusters(sample: np.ndarray, count: int, seed: int = 7) -> np.ndarray:
@@ -79,6 +84,7 @@ class Graph:
         """The nearest centroids found and their cosines, nearest first, for each row of unit vectors."""
         x = x.astype(np.float32)
         n, width = len(x), max(want, min(BEAM, len(self.centroids)))
+        steps = max(4, width // 16)
         ids = np.tile(self.entries, (n, 1))
         score = x @ self.centroids[self.entries].T
         seen = np.zeros((n, len(self.centroids)), bool)
@@ -91,8 +97,8 @@ class Graph:
             waiting = ~opened[rows, ids] & (score > -2)
             if not waiting.any():
                 return ids[:, :want], score[:, :want]
-            # open the four best that wait
-            pick = np.argsort(~waiting, axis=1, kind="stable")[:, :4]
+            # open the best that wait
+            pick = np.argsort(~waiting, axis=1, kind="stable")[:, :steps]
             chosen = ids[rows, pick]
             live = waiting[rows, pick]
             opened[np.repeat(np.arange(n), pick.shape[1])[live.ravel()], chosen[live]] = True
@@ -119,9 +125,9 @@ def distances(cosines: np.ndarray) -> np.ndarray:
 class Router:
     """Which lists an entry belongs to, and which a query visits."""
 
-    def __init__(self, centroids: np.ndarray, closure: float = 1.15, replicas: int = 6, ratio: float = 1.35, visits: int = 32, least: int = 8):
+    def __init__(self, centroids: np.ndarray, closure: float = 1.15, replicas: int = 6, ratio: float = RATIO, least: int = 8):
         self.graph = Graph(centroids)
-        self.closure, self.replicas, self.ratio, self.visits, self.least = closure, replicas, ratio, visits, least
+        self.closure, self.replicas, self.ratio, self.least = closure, replicas, ratio, least
 
     def lists(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row and cluster of each placement."""
@@ -142,24 +148,47 @@ class Router:
         return row, ids[row, k]
 
     def visited(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row and cluster of each visit: at least `least` lists, more while the distance ratio allows it."""
-        ids, cos = self.graph.search(x, min(self.visits, len(self.graph.centroids)))
-        d = distances(cos)
-        keep = (d <= self.ratio * d[:, :1] + 1e-9) & (cos > -2)
-        keep[:, : self.least] = cos[:, : self.least] > -2
-        row, k = np.nonzero(keep)
-        return row, ids[row, k]
+        """Row and cluster of each visit: all lists within the distance ratio, and at least `least`."""
+        n = len(self.graph.centroids)
+        want, rows, lists = 2 * self.least, [], []
+        open_rows = np.arange(len(x))
+        while len(open_rows):
+            want = min(4 * want, n)
+            block = max(1, CELLS // want)
+            left = []
+            for a in range(0, len(open_rows), block):
+                at = open_rows[a : a + block]
+                ids, cos = self.graph.search(x[at], want)
+                d = distances(cos)
+                keep = (d <= self.ratio * d[:, :1] + 1e-9) & (cos > -2)
+                keep[:, : self.least] = cos[:, : self.least] > -2
+                # the farthest found passes the test, so others may
+                more = keep[:, -1] if want < n else np.zeros(len(at), bool)
+                left.append(at[more])
+                row, k = np.nonzero(keep & ~more[:, None])
+                rows.append(at[row])
+                lists.append(ids[row, k])
+            open_rows = np.concatenate(left)
+        return np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate([np.zeros(0, np.int32), *lists])
+
+
+def _numbers(vectors: DataFrame, column: str) -> Column:
+    """The vectors as they are, if of floats, or else of doubles."""
+    kind = vectors.schema[column].dataType
+    return F.col(column) if kind in (ArrayType(FloatType()), ArrayType(FloatType(), False)) else F.col(column).cast("array<double>")
+
+
+def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
+    """id, vec of the rows that take part."""
+    v = vectors.select(F.col(id_column).cast("long").alias("id"), _numbers(vectors, vector_column).alias("vec"))
+    finite = ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return v.filter(F.col("id").isNotNull() & F.col("vec").isNotNull()).filter(finite).filter(F.exists("vec", lambda x: x != 0))
 
 
-def entries(vectors: DataFrame, keep: int, id_column: str, vector_column: str) -> DataFrame:
-    """class_id (the smallest id), vec (array<double>), ids (its `keep` smallest ids, sorted)."""
-    v = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vec"))
-    finite = ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    v = v.filter(F.col("id").isNotNull() & F.col("vec").isNotNull()).filter(finite).filter(F.exists("vec", lambda x: x != 0))
-    size = v.agg(F.min_by(F.size("vec"), "id")).first()[0]
-    v = v.filter(F.size("vec") == F.lit(size)).distinct() if size else v.limit(0)
+def entries(v: DataFrame, keep: int) -> DataFrame:
+    """class_id (the smallest id), vec, ids (its `keep` smallest ids, sorted)."""
     by = Window.partitionBy("vec").orderBy("id")
-    first = v.withColumn("k", F.row_number().over(by)).filter(F.col("k") <= keep)  # limited before the shuffle
+    first = v.distinct().withColumn("k", F.row_number().over(by)).filter(F.col("k") <= keep)  # limited before the shuffle
     return first.groupBy("vec").agg(F.min("id").alias("class_id"), F.sort_array(F.collect_list("id")).alias("ids"))
 
 
@@ -176,12 +205,12 @@ def _compare(k: int):
     def run(key: tuple, queries: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(listed):
-            y, ids = np.stack(listed["vec"]), listed["ids"].to_numpy()
+            y, ids = np.stack(listed["vec"]).astype(float), listed["ids"].to_numpy()
             classes = listed["class_id"].to_numpy()
             yn = np.linalg.norm(y, axis=1)
             for a in range(0, len(queries), 256):
                 q = queries.iloc[a : a + 256]
-                x = np.stack(q["vec"])
+                x = np.stack(q["vec"]).astype(float)
                 s = np.clip((x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * yn[None]), -1, 1)
                 top = min(k + 1, len(y))
                 for i, (c, row) in enumerate(zip(q["class_id"].to_numpy(), s)):
@@ -195,17 +224,25 @@ def _compare(k: int):
     return run
 
 
-def search(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", list_size: int = LIST_SIZE) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row for which is_query (a condition on id_column) holds."""
-    spark = vectors.sparkSession
-    table = materialize(entries(vectors, k + 1, id_column, vector_column), "vector-entries")
+def search(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", list_size: int = LIST_SIZE, ratio: float = RATIO) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each row for which is_query (a condition on query_id) holds."""
+    v = usable(vectors, id_column, vector_column)
+    lengths = sorted(r[0] for r in v.select(F.size("vec")).distinct().collect())
+    if not lengths:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = [_search(v.filter(F.size("vec") == F.lit(size)), is_query, k, list_size, ratio) for size in lengths]
+    return reduce(DataFrame.unionAll, found)
+
+
+def _search(v: DataFrame, is_query, k: int, list_size: int, ratio: float) -> DataFrame:
+    """The search among vectors of one length."""
+    spark = v.sparkSession
+    table = materialize(entries(v, k + 1), "vector-entries")
     total = table.count()
     sample = table.orderBy(F.xxhash64("class_id"), "class_id").limit(SAMPLE).select("vec").toPandas()
-    if not total:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = _unit(np.stack(sample["vec"]))
-    router = Router(clusters(x, max(1, min(MOST_CLUSTERS, total // list_size, len(x) // 4))))
-    dim = x.shape[1]
+    x = _unit(np.stack(sample["vec"]).astype(float))
+    router = Router(clusters(x, max(1, min(MOST_CLUSTERS, total // list_size, len(x) // 4))), ratio=ratio)
+    kind = table.schema["vec"].dataType.simpleString()
 
     def route(which: str, *kept: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,15 +256,15 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id",
         return run
 
     n = shuffle_partitions(spark)
-    placed = table.select("class_id", "vec", "ids").mapInArrow(route("lists", "class_id", "vec", "ids"), "cluster int, class_id long, vec array<double>, ids array<long>")
+    placed = table.select("class_id", "vec", "ids").mapInArrow(route("lists", "class_id", "vec", "ids"), f"cluster int, class_id long, vec {kind}, ids array<long>")
     placed = materialize(placed, "posting-lists")
     slices = placed.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))  # at most MOST_CLUSTERS rows
     placed = placed.join(F.broadcast(slices), "cluster").withColumn("slice", F.pmod(F.xxhash64("class_id"), F.col("slices")).cast("int")).drop("slices")
 
-    asked = vectors.select(F.col(id_column).cast("long").alias("query_id"), F.col(vector_column).cast("array<double>").alias("vec")).filter(is_query).distinct()
+    asked = v.select(F.col("id").alias("query_id"), "vec").filter(is_query).distinct()
     asked = materialize(asked.join(table.select("class_id", "vec"), "vec").select("query_id", "class_id"), "queries")
     query_classes = table.join(asked.select("class_id").distinct(), "class_id").select("class_id", "vec")
-    visits = query_classes.mapInArrow(route("visited", "class_id", "vec"), "cluster int, class_id long, vec array<double>")
+    visits = query_classes.mapInArrow(route("visited", "class_id", "vec"), f"cluster int, class_id long, vec {kind}")
     parts = slices.select(F.col("cluster").alias("c"), F.col("slices").alias("parts"))
     visits = visits.join(F.broadcast(parts), F.col("cluster") == F.col("c")).select("cluster", "class_id", "vec", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slice"))
     hits = visits.groupBy("cluster", "slice").cogroup(placed.groupBy("cluster", "slice")).applyInPandas(_compare(k), "query long, score double, class_id long, ids array<long>")

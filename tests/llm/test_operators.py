@@ -132,6 +132,36 @@ def test_posting_lists_match_brute_force(spark):
     few = posting_lists.search(df.filter("vec_id < 3"), F.col("query_id") == 0).toPandas()
     assert list(few["rank"]) == [1, 2]
     assert posting_lists.search(df.filter("vec_id < 0"), F.col("query_id") == 0).count() == 0
+    short = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 2.0]), (4, [1.0])], "vec_id long, embedding array<double>")
+    odd = posting_lists.search(df.select("vec_id", F.col("embedding").cast("array<double>")).filter("vec_id = 0").unionAll(short), F.col("query_id") < 5)
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in odd.collect()) == [(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 3), (3, 1, 2), (3, 2, 1)]
+
+
+@pytest.mark.parametrize("spread", [None, 0.3])
+def test_posting_lists_reach_their_recall(spread):
+    """Lists and visits of vectors without clusters (None) and with them, against brute force over all."""
+    rng = np.random.RandomState(3)
+    n, lists, asked = 24_000, 160, 150
+    x = rng.randn(n, 64) if spread is None else rng.randn(200, 64)[rng.randint(0, 200, n)] + spread * rng.randn(n, 64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    router = posting_lists.Router(posting_lists.clusters(x[:20_000], lists))
+    parts = [router.lists(x[a : a + 4000]) for a in range(0, n, 4000)]
+    held = np.zeros((n, lists), bool)
+    for a, (row, c) in enumerate(parts):
+        held[4000 * a + row, c] = True
+    row, c = router.visited(x[:asked])
+    sees = np.zeros((asked, lists), bool)
+    sees[row, c] = True
+    s = x[:asked] @ x.T
+    s[np.arange(asked), np.arange(asked)] = -9
+    best = np.argsort(-s, axis=1)[:, :5]
+    assert np.mean([(sees[i] & held[b]).any() for i in range(asked) for b in best[i]]) >= 0.95
+    # no list within the ratio is left out, however many there are
+    d = posting_lists.distances(x[:asked] @ router.graph.centroids.T)
+    within = d <= router.ratio * d.min(axis=1, keepdims=True)
+    assert (within & sees).sum() / within.sum() > 0.98
+    if spread is None:
+        assert within.sum(axis=1).max() > 64
 
 
 def test_graph_search_finds_the_nearest_centroids():
