@@ -8,10 +8,11 @@ Every document gets length, symbol and repetition counts, which become a vector
 
 For each (language, source) group the share `share` of documents whose covariance has the least determinant is searched
 for from several starts: the moments of all documents, and of random subsets. C-steps (the share of nearest documents
-gives the next mean and covariance) go on from the start with the least determinant, `most_steps` of them or until it
-falls no further in any group, which a handful does. The result
-is made consistent for normal data, and a document whose squared Mahalanobis distance lies above the chi-squared quantile
-`level` is rejected. A statistic that most documents share exactly has no variance; so that no distance is infinite, every
+gives the next mean and covariance; of the bin at the edge of the share a part counts, so that the share never changes) go
+on from the start with the least determinant. A group goes on as long as its determinant falls and keeps its best
+estimate; groups that have settled are not read again, and no number of steps ends the others. The result is made
+consistent for normal data, and a document whose squared Mahalanobis distance lies above the chi-squared quantile `level`
+is rejected. A statistic that most documents share exactly has no variance; so that no distance is infinite, every
 covariance gets the variance of the statistics' own rounding and counting error (ERROR), and the degrees of freedom of the
 quantile count only what variance there is besides.
 
@@ -124,6 +125,7 @@ ERROR = np.diag([v for _, v in FEATURES.values()])
 _PAIRS = [(i, j) for i in range(len(_X)) for j in range(i, len(_X))]
 _BIN = 24.0  # bins for each unit of ln(1 + d2)
 SUBSET = 24  # documents of a random start, about
+SETTLED = 1e-3  # a log-determinant that falls by no more has settled
 _PARAMS = "g_lang string, g_source string, start int, g_n long, log_det double, cutoff double, " + ", ".join(
     [*(f"m{i} double" for i in range(len(_X))), *(f"v{i}_{j} double" for i, j in _PAIRS)]
 )
@@ -153,39 +155,57 @@ def chi2_quantile(q: float, k: float) -> float:
     return high
 
 
-def _estimate(rows: pd.DataFrame, share: float, level: float, last: bool) -> pd.DataFrame:
-    """Mean and inverse covariance from the nearest bins that hold the share of a group."""
+def _estimate(rows: pd.DataFrame, share: float) -> pd.DataFrame:
+    """Mean and inverse covariance of the nearest share of a group; the last bin counts with the part that fills it."""
     rows = rows.sort_values("bin")
-    n = rows["n"].sum()
-    part = rows.iloc[: int(np.searchsorted(rows["n"].cumsum().to_numpy(), share * n)) + 1]
-    m = part["n"].sum()
+    held = rows["n"].to_numpy(float)
+    n = held.sum()
+    weight = np.clip((share * n - (held.cumsum() - held)) / held, 0, 1)
+    m = weight @ held
     p = len(_X)
-    mean = np.array([part[f"s{i}"].sum() / m for i in range(p)])
+    mean = np.array([weight @ rows[f"s{i}"].to_numpy() / m for i in range(p)])
     cov = np.zeros((p, p))
     for i, j in _PAIRS:
-        cov[i, j] = cov[j, i] = part[f"s{i}_{j}"].sum() / m - mean[i] * mean[j]
-    log_det = float(np.linalg.slogdet(cov + ERROR)[1])
-    cutoff = 0.0
-    if last:
-        free = max(float(np.trace(cov @ np.linalg.inv(cov + ERROR))), 1.0)
-        held = min(m / n, 0.9999)
-        # the mean of squared distances within the nearest share of a normal cloud is less than all of its mean
-        cov = cov * (held / chi2_cdf(chi2_quantile(held, free), free + 2))
-        cutoff = chi2_quantile(level, free)
+        cov[i, j] = cov[j, i] = weight @ rows[f"s{i}_{j}"].to_numpy() / m - mean[i] * mean[j]
+    keys = {k: rows[k].iloc[:1].to_list() for k in ("g_lang", "g_source", "start")}
+    return pd.DataFrame(keys | {"g_n": [int(n)]} | _columns(mean, cov, 0.0))
+
+
+def _columns(mean: np.ndarray, cov: np.ndarray, cutoff: float) -> dict[str, list]:
     inverse = np.linalg.inv(cov + ERROR)
-    out = {k: rows[k].iloc[:1].to_list() for k in ("g_lang", "g_source", "start")} | {"g_n": [int(n)], "log_det": [log_det], "cutoff": [cutoff]}
-    out |= {f"m{i}": [float(mean[i])] for i in range(p)} | {f"v{i}_{j}": [float(inverse[i, j])] for i, j in _PAIRS}
-    return pd.DataFrame(out)
+    out = {"log_det": [float(np.linalg.slogdet(cov + ERROR)[1])], "cutoff": [cutoff]}
+    return out | {f"m{i}": [float(v)] for i, v in enumerate(mean)} | {f"v{i}_{j}": [float(inverse[i, j])] for i, j in _PAIRS}
 
 
-def _step(binned: DataFrame, share: float, level: float = 0.0, last: bool = False) -> DataFrame:
+def _step(binned: DataFrame, share: float) -> DataFrame:
     """Parameters of each group and start, from rows with a bin."""
     sums = binned.groupBy("g_lang", "g_source", "start", "bin").agg(
         F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(f"s{i}") for i, c in enumerate(_X)),
         *(F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"s{i}_{j}") for i, j in _PAIRS),
     )
-    made = sums.groupBy("g_lang", "g_source", "start").applyInPandas(lambda rows: _estimate(rows, share, level, last), _PARAMS)
-    return materialize(made, "quality-mcd")
+    return sums.groupBy("g_lang", "g_source", "start").applyInPandas(lambda rows: _estimate(rows, share), _PARAMS)
+
+
+def _consistent(params: DataFrame, share: float, level: float) -> DataFrame:
+    """Each group's covariance made consistent for normal data, and its cutoff."""
+
+    def one(row: pd.Series) -> pd.DataFrame:
+        inverse = np.zeros((len(_X), len(_X)))
+        for i, j in _PAIRS:
+            inverse[i, j] = inverse[j, i] = row[f"v{i}_{j}"]
+        cov = np.linalg.inv(inverse) - ERROR
+        free = max(float(np.trace(cov @ inverse)), 1.0)
+        held = min(share, 0.9999)
+        # the mean of squared distances within the nearest share of a normal cloud is less than all of its mean
+        cov *= held / chi2_cdf(chi2_quantile(held, free), free + 2)
+        found = _columns(np.array([row[f"m{i}"] for i in range(len(_X))]), cov, chi2_quantile(level, free))
+        return pd.DataFrame(found | {k: [row[k]] for k in ("g_lang", "g_source", "start", "g_n", "log_det")})[list(row.index)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield from (one(row) for _, row in b.iterrows())
+
+    return params.mapInPandas(run, _PARAMS)
 
 
 def _grouped(stats: DataFrame, min_group: int) -> DataFrame:
@@ -202,28 +222,39 @@ def _grouped(stats: DataFrame, min_group: int) -> DataFrame:
     return stats.join(sizes, F.col("lang").eqNullSafe(F.col("k_lang")) & F.col("source").eqNullSafe(F.col("k_source")), "left").drop("k_lang", "k_source")
 
 
-def mcd(stats: DataFrame, starts: int = 5, share: float = 0.75, level: float = 0.999999, min_group: int = 50, most_steps: int = 6) -> tuple[DataFrame, DataFrame]:
+def mcd(stats: DataFrame, starts: int = 5, share: float = 0.75, level: float = 0.999999, min_group: int = 50) -> tuple[DataFrame, DataFrame]:
     """The rows with their group (g_lang, g_source) and transformed statistics, and each group's parameters."""
     keys = ["g_lang", "g_source"]
     x = _grouped(stats, min_group).withColumn("word_length", F.expr("ln(greatest(word_chars, 1) / greatest(n_words, 1))"))
     x = materialize(x, "quality-groups")
-    middle = x.filter("not base_failed").groupBy(*keys).agg(F.percentile_approx("word_length", 0.5).alias("median_length"), F.count(F.lit(1)).alias("all"))
+    middle = x.filter("not base_failed").groupBy(*keys).agg(F.expr("percentile(round(word_length, 3), 0.5)").alias("median_length"), F.count(F.lit(1)).alias("all"))
     x = x.join(middle, keys, "left").withColumns({k: F.expr(e) for k, (e, _) in FEATURES.items()})
     every = F.greatest(F.floor(F.col("all") / SUBSET), F.lit(1)).cast("long")
     begins = F.array(*(F.when(F.lit(s) == 0, F.lit(True)).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(s)), every) == 0) for s in range(starts)))
     x = materialize(x.withColumn("begins", begins).drop("word_length", "median_length", "all"), "quality-stats")
     good = x.filter("not base_failed")
-    params = _step(good.withColumn("start", F.explode(F.filter(F.sequence(F.lit(0), F.lit(starts - 1)), lambda s: F.element_at("begins", s + 1)))).withColumn("bin", F.lit(0)), share)
+    begun = good.withColumn("start", F.explode(F.filter(F.sequence(F.lit(0), F.lit(starts - 1)), lambda s: F.element_at("begins", s + 1))))
+    params = materialize(_step(begun.withColumn("bin", F.lit(0)), share), "quality-mcd")
     for _ in range(2):
-        params = _step(_binned(good, params), share)
-    params = params.groupBy(*keys).agg(F.min_by(F.struct(*(c for c in params.columns if c not in keys)), F.struct("log_det", "start")).alias("p")).select(*keys, "p.*")
-    params = materialize(params, "quality-mcd")
-    for _ in range(most_steps):
-        before, params = params, _step(_binned(good, params), share)
-        fall = before.select(*keys, F.col("log_det").alias("was")).join(params, keys).agg(F.max(F.col("was") - F.col("log_det"))).first()[0]
-        if fall is None or fall < 1e-3:
-            break
-    return x, _step(_binned(good, params), share, level, True)
+        params = materialize(_step(_binned(good, params), share), "quality-mcd")
+    best = params.groupBy(*keys).agg(_least(params, "start")).select(*keys, "p.*", F.lit(True).alias("falls"))
+    best = materialize(best, "quality-mcd")
+    while not best.filter("falls").isEmpty():
+        best = materialize(_better(best, _step(_binned(good, best.filter("falls")), share)), "quality-mcd")
+    return x, materialize(_consistent(best.drop("falls"), share, level), "quality-mcd")
+
+
+def _least(params: DataFrame, *ties: str) -> Column:
+    return F.min_by(F.struct(*(c for c in params.columns if c not in ("g_lang", "g_source", "falls"))), F.struct("log_det", *ties)).alias("p")
+
+
+def _better(best: DataFrame, stepped: DataFrame) -> DataFrame:
+    """The estimate of the lesser determinant of each group, and whether it still falls."""
+    keys = ["g_lang", "g_source"]
+    falls = F.col("was") - F.col("log_det") > SETTLED
+    stepped = stepped.join(best.select(*keys, F.col("log_det").alias("was")), keys).withColumn("falls", falls).drop("was")
+    both = best.withColumn("falls", F.lit(False)).unionByName(stepped)
+    return both.groupBy(*keys).agg(_least(best), F.max("falls").alias("falls")).select(*keys, "p.*", "falls")
 
 
 def _distance() -> Column:
