@@ -3,7 +3,9 @@
 A document's 64-bit fingerprint is the bitwise majority of the XXH64 hashes of its word shingles. Distinct fingerprints
 are dealt into shards such that two fingerprints within the radius meet in at least one shard (they agree on all bits
 of some combination of blocks, by the pigeonhole principle). Each shard grows a BK-tree: children are keyed by their
-integer Hamming distance to the parent, and a search follows only the edges within the radius of its own distance.
+integer Hamming distance to the parent, and a search follows only the edges within the radius of its own distance. The
+bits that a shard shares are no more than leave it about TREE fingerprints, so that few shards are met and their trees do
+the search.
 Shard trees are sent by a shuffle instead of a broadcast, because all fingerprints together have no size bound.
 
 A shard reports a spanning forest of its links, not all pairs, and components are found by star steps in Spark. Copies
@@ -30,7 +32,8 @@ from .shared import materialize, shuffle_partitions
 from .textops import LOWER, Words, chunks, texts_of
 
 SEED = 42
-LEAF = 32
+LEAF = 8  # words that a node keeps unsplit
+TREE = 512  # words of a shard's tree, about
 
 
 def shingle_bounds(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -152,14 +155,7 @@ def shard_links(shard: np.ndarray, words: np.ndarray, radius: int) -> tuple[np.n
     forest = Forest(len(words))
     begin = np.flatnonzero(np.diff(shard, prepend=shard[0] - 1))
     sizes = np.diff(begin, append=len(shard))
-    small = np.repeat(sizes, sizes) <= LEAF
-    for lag in range(1, min(LEAF, int(sizes.max()))):
-        i = np.flatnonzero(small[:-lag] & (shard[:-lag] == shard[lag:]))
-        if not len(i):
-            break
-        i = i[np.bitwise_count(words[i] ^ words[i + lag]) <= radius]
-        forest.join(i, i + lag)
-    for at, n in zip(begin[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
+    for at, n in zip(begin[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
         for a, b in BKTree(words[at : at + n]).within(radius):
             forest.join(a + at, b + at)
     linked = np.flatnonzero(forest.root != np.arange(len(words)))
@@ -167,14 +163,18 @@ def shard_links(shard: np.ndarray, words: np.ndarray, radius: int) -> tuple[np.n
 
 
 def block_masks(radius: int, distinct: int) -> list[int]:
-    """Bit masks such that two words within the radius agree on all bits of at least one. The more words there are, the
-    more bits a mask holds: about as many as keep a shard small, whatever the input's size."""
+    """Bit masks such that two words within the radius agree on all bits of at least one, with about as many bits as keep
+    a shard at TREE words, whatever the input's size."""
+    bits = max(int(np.ceil(np.log2(max(distinct, 1) / TREE))), 0)
     blocks = radius + 1
-    while blocks < radius + 4 and 64 * (blocks - radius) / blocks < np.log2(max(distinct, 2)) - 2:
+    while blocks < 32 and 64 * (blocks - radius) // blocks < bits:
         blocks += 1
     edges = [64 * k // blocks for k in range(blocks + 1)]
-    part = [((1 << edges[k + 1]) - 1) & ~((1 << edges[k]) - 1) for k in range(blocks)]
-    return [sum(c) for c in combinations(part, blocks - radius)]
+    masks = set()
+    for held in combinations(range(blocks), blocks - radius):
+        places = [p for k in held for p in range(edges[k], edges[k + 1])]
+        masks.add(sum(1 << places[len(places) * k // bits] for k in range(min(bits, len(places)))))
+    return sorted(masks)
 
 
 def links(fps: DataFrame, masks: list[int], radius: int) -> DataFrame:

@@ -393,6 +393,22 @@ def test_bk_tree_and_block_masks_lose_no_link():
             assert ((words[i] & masks) == (words[j] & masks)).any()
 
 
+def test_trees_hold_the_shards_of_a_table(spark):
+    """Nearly all fingerprints of a whole table lie in shards whose tree has edges, of bounded size and depth."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = np.unique(np.array([r.fp for r in simhash.fingerprints(docs).collect()], np.int64)).view(np.uint64)
+    masks = simhash.block_masks(3, len(words))
+    searched = 0
+    for m in masks:
+        keys = words & np.uint64(m)
+        for key in np.unique(keys):
+            tree = simhash.BKTree(words[keys == key])
+            edges = sum(len(below) for pivot, below in tree.nodes if pivot is not None)
+            assert edges == len(tree.nodes) - 1
+            searched += len(tree.words) * (edges > 0)
+    assert searched > 0.9 * len(words) * len(masks)
+
+
 def test_chain_components(spark):
     from sigmill.llm.components import connected
 
