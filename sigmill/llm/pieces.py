@@ -7,10 +7,11 @@ exact. Of paths with equal scores the one with the longer last piece wins.
 The search takes a text character by character. Only boundaries from which a piece may still go on can lead further, so its
 window is never longer than the longest piece; whenever the backpointers of all of them lead through one boundary, the ids
 before it are committed and forgotten. (In a run of one character they may never meet; then the backpointers, not the
-window, grow with the run, and the time stays linear.) No piece holds a word start inside, so each space behind a
-non-space is such a boundary, and so is each full stop or comma that no piece joins to what stands before it: the stream is
-told of these cuts, and what it commits between two of them is kept in a bounded table, so that it need not go through
-the same span again.
+window, grow with the run, and the time stays linear.)
+
+A text is one stream, fed in parts of about a word. What is committed never counts again, so the state of the stream is the
+text behind the last commit, and what the next part leads to depends on these two alone: ids committed, text left. Such
+transitions are kept in a bounded table, so that a state and part that come again are not searched again.
 
 Text is not normalised: a space is the word-start mark, everything without a piece (line feeds, a literal word-start mark)
 becomes byte pieces, and decoding gives back the exact text.
@@ -26,6 +27,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from math import log
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +38,8 @@ from pyspark.sql import types as T
 from .textops import chunks
 
 MARK = "▁"
-CUTS = ".,"  # no piece of letters goes on with these
-_CUT = "\x1f"
 UNIT = 1 << 20
+NONE: dict = {}  # follows no piece that no other goes on
 
 
 class Vocabulary:
@@ -57,20 +58,18 @@ class Vocabulary:
         self.byte_ids = {int(names[i][3:5], 16): i for i in range(len(names)) if p.is_byte(i)}
         self.byte_score = -round((log(2 * (len(plain) + 2)) + norm) * UNIT)
         self.longest = max(map(len, self.ids))
-        # beginnings of pieces: twice the piece's id (-2: none), and one more where a piece goes on
-        self.table = {name[:k]: -1 for name in self.ids for k in range(1, len(name))}
-        self.table |= {name: 2 * i + (name in self.table) for name, i in self.ids.items()}
+        # the pieces by their characters: what may follow, id (-1: no piece ends here), score
+        self.start: dict = {}
+        for name in sorted(self.ids, key=len, reverse=True):
+            i, kids = self.ids[name], self.start
+            for c in name[:-1]:
+                kids = kids.setdefault(c, ({}, -1, 0))[0]
+            kids[name[-1]] = (kids[name[-1]][0] if name[-1] in kids else NONE, i, self.scores[i])
         self.bytes = [b""] * len(names)
         for name, i in self.ids.items():
             self.bytes[i] = name.replace(MARK, " ").encode()
         for b, i in self.byte_ids.items():
             self.bytes[i] = bytes([b])
-        if any(MARK in name.lstrip(MARK) for name in self.ids):
-            raise ValueError("a piece with a word start inside would cross the parts of a text")
-        joined = {name[k : k + 2] for name in self.ids for k in range(len(name) - 1)}
-        self.crossed = sorted(p for p in joined if p[1] in CUTS)  # pieces that cross a cut hold one of these
-        if any("\n" in p for p in joined):
-            raise ValueError("a piece with a line feed inside would cross the parts of a text")
 
 
 @lru_cache(maxsize=2)
@@ -81,68 +80,86 @@ def vocabulary(path: str | None = None) -> Vocabulary:
 class StreamingViterbi:
     """The best path through one text, given in any number of parts; ids come out as soon as they are certain."""
 
-    STEP = 64  # boundaries after which the survivors' backpointers are compared, at first
+    STEP = 64  # boundaries after which `feed` compares the survivors' backpointers, at first
 
     def __init__(self, vocab: Vocabulary):
         self.v = vocab
-        self._restart()
+        self.restart()
 
-    def _restart(self) -> None:
-        """A new beginning at the present boundary."""
-        self.raw, self.text = "", ""  # characters behind the last commit
+    def restart(self, behind: str = "") -> None:
+        """A new beginning with this text behind the last commit."""
+        self.raw = ""  # characters behind the last commit
         self.score, self.back, self.piece = [0], [0], [-1]  # of each boundary there
-        self.open: list[int] = []  # boundaries from which a piece may go on behind the last character
+        self.open: list[tuple[int, dict]] = []  # boundaries from which a piece may go on, and with what
         self.next = self.STEP
+        self._advance(behind)
 
     def feed(self, part: str) -> list[int]:
-        """Takes more text; returns the ids that no later text can change."""
+        """Takes more text; returns ids that no later text can change."""
         out: list[int] = []
-        raw, text = self.raw + part, self.text + part.replace(MARK, "\0").replace(" ", MARK)
+        at = 0
+        while at < len(part):
+            more = part[at : at + max(1, self.next + 1 - len(self.score))]
+            self._advance(more)
+            at += len(more)
+            if len(self.score) > self.next:
+                out += self.settle()
+        return out
+
+    def settle(self, within: int | None = None) -> list[int]:
+        """Commits all up to the last boundary that the backpointers of all survivors lead through; `within`: if it is
+        no further back than that many characters."""
+        at = len(self.score) - 1
+        alive = {at, *(b for b, _ in self.open)}
+        while len(alive) > 1:
+            last = max(alive)
+            if within is not None and at - last > within:
+                return []
+            alive.discard(last)
+            alive.add(self.back[last])
+        (common,) = alive
+        out = []
+        if common:
+            out = self._path(self.raw, self.back, self.piece, common)
+            self.raw = self.raw[common:]
+            self.score, self.piece = self.score[common:], [-1, *self.piece[common + 1 :]]
+            self.back = [0, *(max(k - common, 0) for k in self.back[common + 1 :])]
+            self.open = [(b - common, kids) for b, kids in self.open]
+        self.next = max(self.STEP, 2 * (at - common))
+        return out
+
+    def finish(self) -> list[int]:
+        """The text ends here: all is certain."""
+        out = self._path(self.raw, self.back, self.piece, len(self.score) - 1)
+        self.restart()
+        return out
+
+    def _advance(self, part: str) -> None:
         score, back, piece, open_ = self.score, self.back, self.piece, self.open
-        table, scores, byte_score = self.v.table, self.v.scores, self.v.byte_score
+        start, byte_score = self.v.start, self.v.byte_score
         at = len(score) - 1
-        while at < len(text):
-            best, begin, found = score[at] + byte_score * (1 if raw[at] < "\x80" else len(raw[at].encode())), at, -1
-            open_.append(at)
+        for r, c in zip(part, part.replace(MARK, "\0").replace(" ", MARK)):
+            begin, found = at, -1
+            best = score[at] + (byte_score if r < "\x80" else byte_score * len(r.encode()))
+            open_.append((at, start))
             at += 1
             on = []
-            for b in open_:  # the longest piece first; it wins over others of the same score
-                code = table.get(text[b:at])
-                if code is not None:
-                    if code >= 0:
-                        s = score[b] + scores[code >> 1]
+            for b, kids in open_:  # the longest piece first; it wins over others of the same score
+                node = kids.get(c)
+                if node is not None:
+                    kids, i, worth = node
+                    if i >= 0:
+                        s = score[b] + worth
                         if s > best or (s == best and found < 0):
-                            best, begin, found = s, b, code >> 1
-                    if code & 1:
-                        on.append(b)
+                            best, begin, found = s, b, i
+                    if kids:
+                        on.append((b, kids))
             open_ = on
             score.append(best)
             back.append(begin)
             piece.append(found)
-            if at >= self.next:
-                common = at
-                if open_:
-                    alive = {at, *open_}
-                    while len(alive) > 1:
-                        last = max(alive)
-                        alive.discard(last)
-                        alive.add(back[last])
-                    (common,) = alive
-                if common:
-                    out += self._path(raw, back, piece, common)
-                    raw, text, at = raw[common:], text[common:], at - common
-                    score, piece = score[common:], [-1, *piece[common + 1 :]]
-                    back = [0, *(max(k - common, 0) for k in back[common + 1 :])]
-                    open_ = [k - common for k in open_]
-                self.next = max(self.STEP, 2 * at)
-        self.raw, self.text, self.score, self.back, self.piece, self.open = raw, text, score, back, piece, open_
-        return out
-
-    def cut(self) -> list[int]:
-        """No piece crosses the present boundary, or the text ends here: all is certain."""
-        out = self._path(self.raw, self.back, self.piece, len(self.score) - 1)
-        self._restart()
-        return out
+        self.raw += part
+        self.open = open_
 
     def _path(self, raw: str, back: list[int], piece: list[int], boundary: int) -> list[int]:
         out: list[int] = []
@@ -156,59 +173,73 @@ class StreamingViterbi:
         return out[::-1]
 
 
-_parts = re.compile(r" *[^ ]+| +")
+# A part ends behind the character that follows a word: there the backpointers mostly meet before that character.
+_parts = re.compile(r" *[^ .,\n]+[ .,\n]?| +|[.,\n]+").findall
 
 
 class Encoder:
-    """Sends texts through one stream and keeps what it commits between cuts that are near each other."""
+    """Sends texts through one stream, part by part, and keeps what it does with short ones."""
 
-    MOST = 1_000_000  # spans
+    MOST = 1_000_000  # transitions
     SPAN = 48  # characters
     FEED = 4096
 
     def __init__(self, path: str | None = None):
         self.v = vocabulary(path)
         self.stream = StreamingViterbi(self.v)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, tuple[bytes, str]] = {}  # text behind the last commit and next part: ids, text left
+        self.ends: dict[str, bytes] = {}  # text left where a text ends: ids
         self.streamed = 0  # characters that went through the stream
-
-    def span(self, text: str) -> bytes:
-        """Ids of the text between two cuts."""
-        self.streamed += len(text)
-        ids: list[int] = []
-        for i in range(0, len(text), self.FEED):
-            ids += self.stream.feed(text[i : i + self.FEED])
-        return np.array(ids + self.stream.cut(), "<u4").tobytes()
-
-    def parts(self, text: str) -> list[str]:
-        """The text cut at boundaries that no piece crosses."""
-        if _CUT in text or "  " in text or text[:1] == " " or text[-1:] == " ":
-            return _parts.findall(text)
-        marked = text.replace(" ", _CUT + " ")
-        if not any(p in text for p in self.v.crossed):
-            for c in CUTS:
-                marked = marked.replace(c, _CUT + c)
-            marked = marked.replace("\n", _CUT + "\n" + _CUT)
-        return marked.split(_CUT)
+        self.at_end = 0  # ids that only the end of their text made certain
 
     def __call__(self, text: str) -> bytes:
-        parts, known = self.parts(text), self.known
+        known, out, left, ready = self.known, [], "", False
         if len(known) > self.MOST:
             known.clear()
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            pass
-        out = []
-        for p in parts:
-            ids = known.get(p)
-            if ids is None:
-                ids = self.span(p)
-                if len(p) <= self.SPAN:
-                    known[p] = ids
+        for part in _parts(text):
+            if len(left) + len(part) > self.SPAN:
+                ids, left = self._go(left, part, ready)
+                ready = True
+            elif (hit := known.get(left + part)) is not None:
+                ids, left = hit
+                ready = False
+            else:
+                key = left + part
+                ids, left = known[key] = self._go(left, part, ready)
+                ready = True
             out.append(ids)
+        out.append(self._end(left, ready))
         return b"".join(out)
 
+    def _go(self, left: str, part: str, ready: bool) -> tuple[bytes, str]:
+        """Feeds a part to the stream, which is brought to what is left first, unless it stands there."""
+        if not ready:
+            self.stream.restart(left)
+        self.streamed += len(part) + len(left) * (not ready)
+        ids: list[int] = []
+        for i in range(0, len(part), self.FEED):
+            ids += self.stream.feed(part[i : i + self.FEED])
+        ids += self.stream.settle(2 * self.SPAN)
+        left = self.stream.raw
+        return np.array(ids, "<u4").tobytes(), intern(left) if len(left) <= self.SPAN else left
+
+    def _end(self, left: str, ready: bool) -> bytes:
+        """Ids of what is left where a text ends."""
+        if not left:
+            return b""
+        if left in self.ends:
+            ids = self.ends[left]
+        else:
+            if not ready:
+                self.stream.restart(left)
+            ids = np.array(self.stream.finish(), "<u4").tobytes()
+            if len(left) <= self.SPAN:
+                if len(self.ends) > self.MOST:
+                    self.ends.clear()
+                self.ends[left] = ids
+        self.at_end += len(ids) // 4
+        return ids
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.v.bytes.__getitem__, ids)).decode()
 
