@@ -27,6 +27,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from math import log
+from struct import pack
 from sys import intern
 
 import numpy as np
@@ -110,7 +111,10 @@ class StreamingViterbi:
         """Commits all up to the last boundary that the backpointers of all survivors lead through; `within`: if it is
         no further back than that many characters."""
         at = len(self.score) - 1
-        alive = {at, *(b for b, _ in self.open)}
+        if len(self.open) == 1 and self.open[0][0] == self.back[at]:
+            alive = {self.back[at]}  # as mostly where a word ends
+        else:
+            alive = {at, *(b for b, _ in self.open)}
         while len(alive) > 1:
             last = max(alive)
             if within is not None and at - last > within:
@@ -214,14 +218,15 @@ class Encoder:
     def _go(self, left: str, part: str, ready: bool) -> tuple[bytes, str]:
         """Feeds a part to the stream, which is brought to what is left first, unless it stands there."""
         if not ready:
-            self.stream.restart(left)
-        self.streamed += len(part) + len(left) * (not ready)
+            self.stream.restart()
+            part = left + part
+        self.streamed += len(part)
         ids: list[int] = []
         for i in range(0, len(part), self.FEED):
             ids += self.stream.feed(part[i : i + self.FEED])
         ids += self.stream.settle(2 * self.SPAN)
         left = self.stream.raw
-        return np.array(ids, "<u4").tobytes(), intern(left) if len(left) <= self.SPAN else left
+        return pack(f"<{len(ids)}I", *ids), intern(left) if len(left) <= self.SPAN else left
 
     def _end(self, left: str, ready: bool) -> bytes:
         """Ids of what is left where a text ends."""
