@@ -741,3 +741,31 @@ def test_coded_rows_come_back():
         coded = ngram_model.code_rows(*some)
         at = rng.permutation(len(some[0]))
         assert (ngram_model.decode_rows(*(coded[k] for k in ("code", "rows", "places", "others")), at) == np.stack(some, 1)[at]).all()
+
+
+def test_blobs_of_triples_do_not_grow_with_the_shards():
+    rng = np.random.RandomState(5)
+    u, a, w = (np.minimum(rng.zipf(1.2, 200_000), 5_000_000) for _ in range(3))
+    size = {}
+    for shards in (4, 64):
+        blobs = dict(ngram_model._blobs([u, a, w], np.ones(len(u), np.int64), shards, np.zeros(0, np.int64)))
+        size[shards] = sum(map(len, blobs.values()))
+        back = [ngram_model.unpack_grams(b, 3) for b in blobs.values()]
+        got = np.concatenate([np.stack(c, 1) for c, _ in back])
+        assert sorted(map(tuple, got.tolist())) == sorted(zip(u.tolist(), a.tolist(), w.tolist()))
+    assert size[64] < 1.2 * size[4]
+
+
+@pytest.mark.parametrize("shards", [1, 7])
+def test_words_are_numbered_by_count(docs, tmp_path, shards):
+    text = docs.select("text")
+    found = ngram_model.number_words(text, f"file://{tmp_path}", shards)
+    counts = collections.Counter(w for r in text.collect() for w in H.WORD.findall(H.lower(r.text)) + ["\n"])
+    words = ngram_model.Vocabulary(f"file://{tmp_path}", shards, found)
+    assert (words.size, words.tokens) == (len(counts), sum(counts.values()))
+    raw = "a A unseen-word b".encode()
+    out = ngram_model.tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+    number, n = words.numbers(out, counted=True)
+    assert n.tolist() == [counts["a"], counts["a"], 0, counts["b"], counts["\n"]] and number[2] == ngram_model.UNKNOWN and number[0] == number[1]
+    every = np.concatenate([np.load(f"{r.path}/rank.npy").astype(np.int64) * shards + r.shard for r in found])
+    assert len(set(every.tolist())) == len(counts) + 1  # the start has a number too
