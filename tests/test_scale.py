@@ -92,3 +92,24 @@ def test_diagnostics_store_no_other_factors(spark, monkeypatch):
     monkeypatch.setattr(jobs, "staged", lambda df, name: stored.update({name: df.columns}) or keep(df, name))
     queries.QUERIES["d1_diagnostics"](spark, str(DATA))
     assert "mom_12_1" in stored["diagnostics"] and "amihud_20d" not in stored["diagnostics"] and "max5_21d" not in stored["diagnostics"]
+
+
+@tables
+def test_exploring_stores_no_other_factors(spark, monkeypatch):
+    stored = {}
+    keep = jobs.staged
+    monkeypatch.setattr(jobs, "staged", lambda df, name: stored.update({name: set(df.columns)}) or keep(df, name))
+    queries.QUERIES["d2_explore"](spark, str(DATA))
+    assert stored["explore"] == {"date", "ticker", "country", "supersector", "mom_12_1", "size_proxy", "vol_252d", "beta_252", "beta_tstat", "ret_stock", "mkt_ret"}
+
+
+def test_a_lean_exploration_has_the_same_tables(spark):
+    daily = jobs.build_factors(panel_of(spark))
+    for by in (None, ["country", "liq_bucket"]):
+        whole, lean = (jobs.explore(daily, ["mom_6_1", "vol_252d", "size_proxy"], by=by, lean=x) for x in (False, True))
+        assert set(lean) == set(whole) and set(lean["panel"].columns) < set(whole["panel"].columns)
+        for name in set(whole) - {"panel", "market_level"}:
+            a, b = ([tuple(r) for r in x[name].orderBy(*x[name].columns).collect()] for x in (whole, lean))
+            assert len(a) == len(b)
+            for x, y in zip(a, b):
+                assert all(u == (pytest.approx(v) if isinstance(v, float) else v) for u, v in zip(x, y))
