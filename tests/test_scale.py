@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigmill.functions.numbers import with_trailing
-from sigmill.operators import cross_section, factors, folds, market
+from sigmill.operators import cross_section, factors, folds, market, panel
 from sigmill.plans import jobs, queries
 from sigmill.sources.stage import shared_folder
 
@@ -113,3 +113,53 @@ def test_a_lean_exploration_has_the_same_tables(spark):
             assert len(a) == len(b)
             for x, y in zip(a, b):
                 assert all(u == (pytest.approx(v) if isinstance(v, float) else v) for u, v in zip(x, y))
+
+
+def test_groups_from_stored_limits_are_the_window_groups(spark):
+    rng = np.random.RandomState(5)
+    some = lambda x, k: None if k % 11 == 3 else float(x)
+    rows = [(f"T{i}", None if k == 3 else day(k), None if i % 9 == 4 else f"C{i % 3}", None if k == 2 else f"S{i % 2}", *(some(rng.randint(0, 40), i + j) for j in range(2)), None if k == 1 else 2.5) for k in range(5) for i in range(40)]
+    df = spark.createDataFrame(rows, "ticker string, date date, country string, supersector string, mom_6_1 double, size_proxy double, liq_proxy double")
+    want, got = cross_section.add_groups(df), cross_section.add_stored_groups(df)
+    assert got.columns == want.columns and got.count() == 200 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+@pytest.mark.parametrize("robust", [False, True])
+def test_scores_from_stored_rows_are_the_plain_ones(spark, robust):
+    rng = np.random.RandomState(6)
+    names = [f"x{j}" for j in range(8)]  # more than are exchanged at a time
+    rows = [(f"T{i}", day(k), f"C{i % 3}", i % 4 if i % 5 else None, *(None if (i + j) % 13 == 5 else float(rng.randn()) for j in range(8))) for k in range(3) for i in range(60)]
+    df = spark.createDataFrame(rows, "ticker string, date date, country string, size_bucket int, " + ", ".join(f"{n} double" for n in names))
+    stored = []
+    want = cross_section.neutralize_and_z(df, names, ["country", "size_bucket"], robust).orderBy("date", "ticker").collect()
+    df = cross_section.neutralize_and_z(df, names, ["country", "size_bucket"], robust, raw=False, stored=stored)
+    got = df.orderBy("date", "ticker").collect()
+    assert len(got) == len(want) == 180 and len(stored) == 4 and "x0_z" not in df.columns
+    for a, b in zip(got, want):
+        assert all(a[f"{n}_neu_z"] == (pytest.approx(b[f"{n}_neu_z"], rel=1e-6, abs=1e-8) if b[f"{n}_neu_z"] is not None else None) for n in names)
+
+
+def test_a_panel_keeps_its_order_of_tickers(spark):
+    daily = jobs.build_factors(panel_of(spark))
+    listed = spark.createDataFrame([(day(30), ["T01", "T02"]), (day(59), ["T02"])], "month_end date, tickers array<string>")
+    assert "hashpartitioning(date" not in plan(daily)
+    out = panel.universe_filter(daily, listed)
+    assert not re.search(r"hashpartitioning\((_m|date)", plan(out)) and out.columns == daily.columns
+    assert {(r.ticker, r.m): r["count"] for r in out.groupBy("ticker", F.month("date").alias("m")).count().collect()} == {("T01", 1): 30, ("T02", 1): 30, ("T02", 2): 29}
+
+
+def test_research_stores_one_wide_table(spark, monkeypatch):
+    stored = {}
+    keep = jobs.staged
+
+    def staged(df, name):
+        stored[name] = keep(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(jobs, "staged", staged)
+    daily = jobs.build_factors(panel_of(spark))
+    jobs.research(daily, ["mom_6_1", "rev_5d"], universe=panel.universe_monthly(daily))
+    assert [n for n, df in stored.items() if "mom_6_1" in df.columns or "mom_6_1_neu_z" in df.columns] == ["research-daily"]
+    scores = stored["research-scores"]
+    assert scores.columns == ["date", "ticker", "score_ew", "score_icw", "score_ridge", "score_icw_roll"]
+    assert scores.count() == scores.select("date").distinct().count() * 30 and scores.select(F.last_day("date")).distinct().count() == scores.select("date").distinct().count()
