@@ -163,3 +163,24 @@ def test_research_stores_one_wide_table(spark, monkeypatch):
     scores = stored["research-scores"]
     assert scores.columns == ["date", "ticker", "score_ew", "score_icw", "score_ridge", "score_icw_roll"]
     assert scores.count() == scores.select("date").distinct().count() * 30 and scores.select(F.last_day("date")).distinct().count() == scores.select("date").distinct().count()
+
+
+def test_walking_does_not_copy_returns_for_strategies(spark, monkeypatch):
+    rng = np.random.RandomState(8)
+    days = [d for d in (dt.date(2018, 1, 1) + dt.timedelta(days=k) for k in range(27 * 31)) if d.weekday() in (1, 4) or (d + dt.timedelta(days=4)).month != d.month]
+    rows = [(d, f"T{i:02d}", *map(float, rng.randn(3) * 0.01), float(rng.randn())) for d in days for i in range(14)]
+    df = spark.createDataFrame(rows, "date date, ticker string, r double, fwd double, a double, b double")
+    calls = []
+    keep = folds.portfolio.portfolio_returns
+    monkeypatch.setattr(folds.portfolio, "portfolio_returns", lambda df, holdings, *rest, **by: calls.append((df, holdings)) or keep(df, holdings, *rest, **by))
+    daily = folds.walk_forward(df, ["a", "b"], "fwd", "r", train=24, test=2)[0]
+    assert len(calls) == 4 and daily.columns == ["fold", "strategy", "date", "ret"]
+    assert {tuple(x.columns) for x, _ in calls} == {("date", "ticker", "_ret", "fold")} and calls[0][0].count() <= df.count()
+    together, by = spark.createDataFrame([(s,) for s in folds.STRATEGIES], "strategy string"), ["fold", "strategy", "date"]
+    holdings = None
+    for (_, own), s in zip(calls, folds.STRATEGIES):
+        own = own.withColumn("strategy", F.lit(s))
+        holdings = own if holdings is None else holdings.unionByName(own)
+    want = keep(calls[0][0].crossJoin(together), holdings, "_ret", 5.0, by=("fold", "strategy"))
+    got, want = ({tuple(x[c] for c in by): x[n] for x in t.collect()} for t, n in ((daily, "ret"), (want, "ret_port")))
+    assert len(got) > 40 and got == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
