@@ -184,3 +184,13 @@ def test_walking_does_not_copy_returns_for_strategies(spark, monkeypatch):
     want = keep(calls[0][0].crossJoin(together), holdings, "_ret", 5.0, by=("fold", "strategy"))
     got, want = ({tuple(x[c] for c in by): x[n] for x in t.collect()} for t, n in ((daily, "ret"), (want, "ret_port")))
     assert len(got) > 40 and got == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
+
+
+@tables
+def test_pooled_walk_stores_one_wide_table(spark, monkeypatch):
+    stored = []
+    for module in (jobs, folds, cross_section):
+        monkeypatch.setattr(module, "staged", lambda df, name, keep=module.staged: stored.append((name, set(df.columns))) or keep(df, name))
+    queries.QUERIES["a23_oos_summary"](spark, str(DATA))
+    assert [name for name, columns in stored if {"mom_6_1", "mom_6_1_neu", "mom_6_1_neu_z"} & columns] == ["research-daily"]
+    assert max(len(columns & {f"_b_{f}" for f in jobs.FACTORS}) for _, columns in stored) == cross_section.AT_ONCE
